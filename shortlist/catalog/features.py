@@ -1 +1,572 @@
+"""Queries over feature sets: keys, collisions, membership, retrieval."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import features as fx
+from ..functions.features import FeatureConfig
+from ..operators import collisions, policy, retrieve
+from ..operators.guards import same_config
+from ..plans import retrieval as plans
+from ..sources import tables as t
+from . import sqlviews as v
+from .registry import query
+
+B128 = FeatureConfig(n_bits=128)
+C128 = FeatureConfig(n_bits=128, counts=True)
+B2048 = FeatureConfig(n_bits=2048)
+UNFOLDED = FeatureConfig(folded=False)
+TEXT_BANDS = t.TEXT_BANDS
+
+_D = f"{v.ITEMS}, {v.DISTINCT_ITEMS}"
+
+
+def _binary(spark, path, cfg):
+    """``item_id, size, key, n_set, mass`` over distinct items."""
+    rows = t.with_features(t.distinct_items(spark, path, "tokens", "size"), cfg)
+    return rows.select(
+        "item_id",
+        "digest",
+        "size",
+        "key",
+        F.size("bits").alias("n_set"),
+        F.size("bits").cast("long").alias("mass"),
+    )
+
+
+def _counted(spark, path, cfg):
+    rows = t.distinct_items(spark, path, "tokens", "size")
+    maps = fx.feature_maps(rows, "item_id", "tokens", cfg)
+    return rows.select("item_id", "size").join(maps, "item_id").select(
+        "item_id",
+        "size",
+        fx.map_key(F.col("fmap")).alias("key"),
+        F.size("fmap").alias("n_set"),
+        fx.count_mass(F.col("fmap")).alias("mass"),
+    )
+
+
+def _bits_sql(n_bits, name="fb") -> str:
+    return f"""{name} AS (SELECT *, {v.bits_key('bits')} AS key, len(bits) AS n_set,
+      len(bits) AS mass FROM (SELECT item_id, canonical, size, group_key,
+      {v.feature_bits('tokens', n_bits)} AS bits FROM ditems))"""
+
+
+_COUNTS = f"""tc AS (SELECT item_id, unnest(tokens) AS t FROM ditems),
+  bc AS (SELECT item_id, ('0x' || substr(md5(t), 1, 8))::BIGINT % 128 AS bit, count(*) AS cnt
+    FROM tc GROUP BY ALL),
+  fc AS (SELECT d.item_id, any_value(d.size) AS size,
+    md5(coalesce(string_agg(bit || ':' || cnt, ',' ORDER BY bit), '')) AS key,
+    count(bit) AS n_set, coalesce(sum(cnt), 0)::BIGINT AS mass
+    FROM ditems d LEFT JOIN bc USING (item_id) GROUP BY d.item_id)"""
+
+
+@query(
+    "feature_sets",
+    f"WITH {_D}, {_bits_sql(2048)} SELECT item_id, key, n_set FROM fb",
+)
+def feature_sets(spark, path):
+    return _binary(spark, path, B2048).select("item_id", "key", "n_set")
+
+
+@query("feature_counts", f"WITH {_D}, {_COUNTS} SELECT item_id, key, n_set, mass FROM fc")
+def feature_counts(spark, path):
+    return _counted(spark, path, C128).select("item_id", "key", "n_set", "mass")
+
+
+@query(
+    "feature_ngrams",
+    f"""WITH {_D}, g AS (SELECT item_id, list_concat(tokens, list_transform(range(1, len(tokens)),
+      lambda i: tokens[i] || ' ' || tokens[i + 1])) AS grams FROM ditems)
+    SELECT item_id, {v.bits_key(v.feature_bits('grams', 2048))} AS key,
+      len({v.feature_bits('grams', 2048)}) AS n_set FROM g""",
+)
+def feature_ngrams(spark, path):
+    """Words and word pairs as features."""
+    cfg = FeatureConfig(n_bits=2048, ngram=2)
+    return _binary(spark, path, cfg).select("item_id", "key", "n_set")
+
+
+def _profile_sql(source: str, cfg: FeatureConfig) -> str:
+    density = f"round(sum(n_set) / count(*) / {cfg.n_bits}, 8)" if cfg.folded else "NULL::DOUBLE"
+    return f"""SELECT '{cfg.describe()}' AS mode, '{cfg.config_id}' AS config_id,
+      count(*) AS n_items, (SELECT count(DISTINCT key) FROM {source}) AS n_distinct_keys,
+      round((SELECT count(*) FROM (SELECT key FROM {source} GROUP BY key HAVING count(*) = 1))
+        / count(*), 8) AS frac_uniquely_determined,
+      (SELECT max(c) FROM (SELECT count(*) AS c FROM {source} GROUP BY key)) AS max_items_per_key,
+      round((SELECT avg(c) FROM (SELECT count(*) AS c FROM {source} GROUP BY key)), 8)
+        AS mean_items_per_key,
+      round(avg(n_set), 8) AS bits_mean, min(n_set)::INT AS bits_min, max(n_set)::INT AS bits_max,
+      median(n_set)::DOUBLE AS bits_median, {density} AS mean_density,
+      round(avg(mass), 8) AS mean_count_mass FROM {source}"""
+
+
+@query(
+    "collision_profile",
+    f"""WITH {_D}, {_bits_sql(128, 'f1')}, {_COUNTS}, {_bits_sql(2048, 'f2')}, {_bits_sql(None, 'f3')}
+    {_profile_sql('f1', B128)} UNION ALL {_profile_sql('fc', C128)}
+    UNION ALL {_profile_sql('f2', B2048)} UNION ALL {_profile_sql('f3', UNFOLDED)}""",
+)
+def collision_profile(spark, path):
+    return plans.recoverability(
+        [
+            (B128, _binary(spark, path, B128)),
+            (C128, _counted(spark, path, C128)),
+            (B2048, _binary(spark, path, B2048)),
+            (UNFOLDED, _binary(spark, path, UNFOLDED)),
+        ]
+    )
+
+
+@query(
+    "collision_delta",
+    f"""WITH {_D}, {_bits_sql(128, 'f1')}, {_COUNTS},
+    u AS (SELECT (SELECT count(*) FROM (SELECT key FROM f1 GROUP BY key HAVING count(*) = 1)) AS a,
+      (SELECT count(*) FROM (SELECT key FROM fc GROUP BY key HAVING count(*) = 1)) AS b,
+      (SELECT count(*) FROM f1) AS n)
+    SELECT '{B128.describe()}' AS base_mode, '{C128.describe()}' AS other_mode,
+      round(b / n - a / n, 8) AS delta FROM u""",
+)
+def collision_delta(spark, path):
+    profiles = plans.recoverability(
+        [(B128, _binary(spark, path, B128)), (C128, _counted(spark, path, C128))]
+    )
+    share = lambda m: F.max(F.when(F.col("mode") == m, F.col("frac_uniquely_determined")))
+    return profiles.agg(
+        F.lit(B128.describe()).alias("base_mode"),
+        F.lit(C128.describe()).alias("other_mode"),
+        (share(C128.describe()) - share(B128.describe())).alias("delta"),
+    )
+
+
+@query(
+    "group_size_histogram",
+    f"""WITH {_D}, {_bits_sql(128)}, g AS (SELECT count(*) AS items_per_key FROM fb GROUP BY key)
+    SELECT items_per_key, count(*) AS n_keys FROM g GROUP BY items_per_key""",
+)
+def group_size_histogram(spark, path):
+    return collisions.group_size_histogram(_binary(spark, path, B128))
+
+
+@query(
+    "folding_loss",
+    f"""WITH {_D}, {_bits_sql(128, 'f1')}, {_bits_sql(None, 'f3')},
+    j AS (SELECT f3.n_set AS t, f1.n_set AS k FROM f1 JOIN f3 USING (item_id))
+    SELECT round(avg(t), 8) AS mean_true, round(avg(k), 8) AS mean_kept,
+      round(avg(t - k), 8) AS mean_lost, round(sum(t - k) / sum(t), 8) AS frac_lost,
+      round(avg((t > k)::INT), 8) AS frac_with_any_collision FROM j""",
+)
+def folding_loss(spark, path):
+    rows = t.distinct_items(spark, path, "tokens").select(
+        F.size(fx.feature_set(F.col("tokens"), UNFOLDED)).alias("true_size"),
+        F.size(fx.feature_set(F.col("tokens"), B128)).alias("kept_size"),
+    )
+    return collisions.folding_loss(rows, "true_size", "kept_size")
+
+
+def _ambiguity_sql(source: str) -> str:
+    return f"""tw AS (SELECT *, count(*) OVER (PARTITION BY key) AS twins FROM {source}),
+    {v.bands(TEXT_BANDS)}
+    SELECT band, count(*) AS items, count(*) FILTER (twins > 1) AS ambiguous,
+      round(count(*) FILTER (twins > 1) / count(*), 8) AS ambiguous_rate,
+      round(avg(twins), 8) AS mean_group_size, max(twins) AS max_group_size
+    FROM tw JOIN bands ON size BETWEEN lo AND hi GROUP BY band"""
+
+
+@query("ambiguity_by_band", f"WITH {_D}, {_bits_sql(128)}, {_ambiguity_sql('fb')}")
+def ambiguity_by_band(spark, path):
+    return collisions.ambiguity_by_band(_binary(spark, path, B128), bands=TEXT_BANDS)
+
+
+@query("ambiguity_by_band_counts", f"WITH {_D}, {_COUNTS}, {_ambiguity_sql('fc')}")
+def ambiguity_by_band_counts(spark, path):
+    return collisions.ambiguity_by_band(_counted(spark, path, C128), bands=TEXT_BANDS)
+
+
+@query(
+    "config_ids",
+    f"WITH {_D}, {_bits_sql(128)} SELECT '{B128.config_id}' AS config_id, count(*) AS n FROM fb",
+)
+def config_ids(spark, path):
+    """Rows stamped with their configuration pass the guard of the same configuration."""
+    stamped = _binary(spark, path, B128).withColumn("config_id", F.lit(B128.config_id))
+    return same_config(stamped, "config_id", B128.config_id).groupBy("config_id").agg(
+        F.count(F.lit(1)).alias("n")
+    )
+
+
+@query(
+    "dense_round_trip",
+    f"WITH {_D}, {_COUNTS} SELECT item_id, key FROM fc",
+)
+def dense_round_trip(spark, path):
+    """Counts to a dense vector and back: the key survives."""
+    rows = t.distinct_items(spark, path, "tokens")
+    maps = fx.feature_maps(rows, "item_id", "tokens", C128)
+    dense = maps.select("item_id", fx.dense_vector(F.col("fmap"), C128).alias("vec"))
+    back = dense.select("item_id", fx.sparse_from_dense(F.col("vec"), 128).alias("fmap"))
+    return back.select("item_id", fx.map_key(F.col("fmap")).alias("key"))
+
+
+@query(
+    "sparse_from_vectors",
+    """WITH c AS (SELECT vec_id, list_transform(embedding, lambda x: floor(abs(x::DOUBLE) * 20)::INT) AS q
+      FROM embeddings)
+    SELECT vec_id, len(list_filter(q, lambda x: x <> 0))::INT AS n_set, list_sum(q)::BIGINT AS mass FROM c""",
+)
+def sparse_from_vectors(spark, path):
+    """Quantised vectors as feature maps of their non-zero cells."""
+    q = F.transform(
+        "embedding", lambda x: F.floor(F.abs(x.cast("double")) * 20).cast("int")
+    )
+    rows = t.table(spark, path, "embeddings").select(
+        "vec_id", fx.sparse_from_dense(q, 64).alias("fmap")
+    )
+    return rows.select(
+        "vec_id", F.size("fmap").alias("n_set"), fx.count_mass(F.col("fmap")).alias("mass")
+    )
+
+
+@query(
+    "model_indices",
+    f"""WITH {_D}, tc AS (SELECT item_id, unnest(tokens) AS t FROM ditems),
+    bc AS (SELECT item_id, ('0x' || substr(md5(t), 1, 8))::BIGINT AS bit, count(*) AS cnt
+      FROM tc GROUP BY ALL)
+    SELECT item_id, md5(string_agg((bit % 1048576) || ':' || least(cnt, 8), ',' ORDER BY bit)) AS digest
+    FROM bc GROUP BY item_id""",
+)
+def model_indices(spark, path):
+    """Unfolded identifiers wrapped into the vocabulary, counts clamped."""
+    cfg = FeatureConfig(folded=False, counts=True)
+    rows = t.distinct_items(spark, path, "tokens")
+    maps = fx.feature_maps(rows, "item_id", "tokens", cfg).filter(F.size("fmap") > 0)
+    cells = F.transform(
+        fx.model_indices(F.col("fmap"), cfg),
+        lambda e: F.concat_ws(":", e["index"].cast("string"), e["count"].cast("string")),
+    )
+    return maps.select("item_id", F.md5(F.array_join(cells, ",")).alias("digest"))
+
+
+# ----------------------------------------------------------------- membership
+
+_TRAIN = f"""{_D}, {_bits_sql(128)}, tr AS (SELECT * FROM fb WHERE {v.hb("'tv:' || item_id", 4)} <> 0),
+  va AS (SELECT * FROM fb WHERE {v.hb("'tv:' || item_id", 4)} = 0)"""
+
+
+def _train_valid(spark, path):
+    from ..functions.hashing import hash_bucket
+
+    rows = t.with_features(
+        t.distinct_items(spark, path, "tokens", "size", "group_key"), B128
+    ).withColumn("part", hash_bucket(4, "tv", F.col("item_id")))
+    rows = rows.drop("tokens")
+    return rows.filter(F.col("part") != 0), rows.filter(F.col("part") == 0)
+
+
+@query(
+    "unseen_flag",
+    f"WITH {_TRAIN} SELECT item_id, key NOT IN (SELECT key FROM tr) AS fp_unseen FROM va",
+)
+def unseen_flag(spark, path):
+    train, valid = _train_valid(spark, path)
+    return retrieve.seen_flag(valid, train).select("item_id", "fp_unseen")
+
+
+@query(
+    "unseen_union",
+    f"""WITH {_TRAIN} SELECT count(*) AS n, count(*) FILTER (key NOT IN
+    (SELECT key FROM tr WHERE item_id % 2 = 0)) AS unseen_even, count(*) FILTER (key NOT IN
+    (SELECT key FROM tr)) AS unseen_union FROM va""",
+)
+def unseen_union(spark, path):
+    """Flags against one training set and against the union of two."""
+    train, valid = _train_valid(spark, path)
+    even = train.filter(F.col("item_id") % 2 == 0)
+    odd = train.filter(F.col("item_id") % 2 == 1)
+    both = retrieve.union_of_keys(even, odd)
+    rows = retrieve.seen_flag(retrieve.seen_flag(valid, even, out="u1"), both, out="u2")
+    return rows.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if("u1").alias("unseen_even"),
+        F.count_if("u2").alias("unseen_union"),
+    )
+
+
+@query(
+    "query_twins",
+    f"""WITH {_TRAIN}, kc AS (SELECT key, count(*) AS n FROM fb WHERE item_id % 3 <> 0 GROUP BY key)
+    SELECT item_id, greatest(coalesce(kc.n, 0) - (item_id % 3 <> 0)::INT, 0) AS twins
+    FROM va LEFT JOIN kc USING (key)""",
+)
+def query_twins(spark, path):
+    train, valid = _train_valid(spark, path)
+    corpus = train.unionByName(valid).filter(F.col("item_id") % 3 != 0)
+    return collisions.query_twins(valid, corpus, identity="digest").select("item_id", "twins")
+
+
+@query(
+    "exact_lookup",
+    f"""WITH {_TRAIN}, fk AS (SELECT key, min(item_id) AS first_item FROM tr GROUP BY key)
+    SELECT va.item_id, first_item AS exact_item FROM va LEFT JOIN fk USING (key)""",
+)
+def exact_lookup(spark, path):
+    train, valid = _train_valid(spark, path)
+    return retrieve.exact_lookup(valid, train, pos="item_id").select("item_id", "exact_item")
+
+
+@query(
+    "group_novelty",
+    f"""WITH {_TRAIN}, kn AS (SELECT DISTINCT group_key FROM tr WHERE item_id % 29 < 2)
+    SELECT item_id, group_key IN (SELECT group_key FROM kn) AS group_seen FROM va
+    WHERE group_key IS NOT NULL""",
+)
+def group_novelty(spark, path):
+    train, valid = _train_valid(spark, path)
+    return retrieve.group_novelty(
+        valid, train.filter(F.col("item_id") % 29 < 2), "group_key"
+    ).select("item_id", "group_seen")
+
+
+# ------------------------------------------------------------------ retrieval
+
+_BQ = """bq AS (SELECT item_id AS query_id,
+    trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS canonical,
+    regexp_extract_all(lower(text), '[a-z]+') AS tokens FROM benchmark)"""
+
+
+def _knn(q_bits: str, index: str, k: int) -> str:
+    """Brute force over every pair, as the oracle of the pruned search."""
+    return f"""qb AS (SELECT query_id, {q_bits} AS bits FROM bq),
+  qe AS (SELECT query_id, unnest(bits) AS bit FROM qb),
+  ie AS (SELECT item_id, unnest(bits) AS bit FROM {index}),
+  ov AS (SELECT query_id, item_id, count(*) AS o FROM qe JOIN ie USING (bit) GROUP BY ALL),
+  pairs AS (SELECT q.query_id, i.item_id,
+    CASE WHEN len(q.bits) + len(i.bits) = 0 THEN 1.0
+      ELSE coalesce(o, 0) / (len(q.bits) + len(i.bits) - coalesce(o, 0)) END AS similarity
+    FROM qb q CROSS JOIN {index} i LEFT JOIN ov ON ov.query_id = q.query_id AND ov.item_id = i.item_id),
+  knn AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, item_id) AS rank
+    FROM pairs QUALIFY rank <= {k})"""
+
+
+def _index(spark, path, cfg, *extra):
+    return t.with_features(t.distinct_items(spark, path, "tokens", *extra), cfg).withColumn(
+        "pos", F.col("item_id")
+    )
+
+
+def _bench(spark, path, cfg):
+    return t.with_features(t.benchmark_queries(spark, path), cfg).withColumn(
+        "size", F.size("tokens")
+    )
+
+
+@query(
+    "tanimoto_topk",
+    f"""WITH {_D}, {_bits_sql(2048)}, {_BQ}, {_knn(v.feature_bits('tokens', 2048), 'fb', 20)}
+    SELECT query_id, item_id, round(similarity, 8) AS similarity, rank FROM knn""",
+)
+def tanimoto_topk(spark, path):
+    """Twenty nearest documents of every benchmark passage, exact."""
+    return retrieve.tanimoto_topk(
+        _bench(spark, path, B2048).drop("tokens", "canonical"),
+        _index(spark, path, B2048).drop("tokens"),
+        20,
+        n_bits=2048,
+    )
+
+
+@query(
+    "tanimoto_topk_unfolded",
+    f"""WITH {_D}, {_bits_sql(None)}, {_BQ}, {_knn(v.feature_bits('tokens', None), 'fb', 10)}
+    SELECT query_id, item_id, round(similarity, 8) AS similarity, rank FROM knn""",
+)
+def tanimoto_topk_unfolded(spark, path):
+    """The same over unbounded identifiers, without packed words."""
+    return retrieve.tanimoto_topk(
+        _bench(spark, path, UNFOLDED).drop("tokens", "canonical"),
+        _index(spark, path, UNFOLDED).drop("tokens"),
+        10,
+        n_bits=None,
+    )
+
+
+@query(
+    "tanimoto_topk_counts",
+    f"""WITH {_D}, {_BQ}, {_COUNTS},
+    qt AS (SELECT query_id, unnest(tokens) AS t FROM bq),
+    qc AS (SELECT query_id, ('0x' || substr(md5(t), 1, 8))::BIGINT % 128 AS bit, count(*) AS cnt
+      FROM qt GROUP BY ALL),
+    ov AS (SELECT query_id, item_id, sum(least(qc.cnt, bc.cnt)) AS o FROM qc JOIN bc USING (bit)
+      GROUP BY ALL),
+    qm AS (SELECT query_id, len(tokens) AS m FROM bq), im AS (SELECT item_id, len(tokens) AS m FROM ditems),
+    pairs AS (SELECT q.query_id, i.item_id, CASE WHEN q.m + i.m = 0 THEN 1.0
+      ELSE coalesce(o, 0) / (q.m + i.m - coalesce(o, 0)) END AS similarity
+      FROM qm q CROSS JOIN im i LEFT JOIN ov ON ov.query_id = q.query_id AND ov.item_id = i.item_id),
+    knn AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, item_id) AS rank
+      FROM pairs QUALIFY rank <= 10)
+    SELECT query_id, item_id, round(similarity, 8) AS similarity, rank FROM knn""",
+)
+def tanimoto_topk_counts(spark, path):
+    """Count features: sum of minima over sum of maxima."""
+
+    def as_sets(df, item):
+        maps = fx.feature_maps(df, item, "tokens", C128)
+        return maps.select(
+            item, fx.map_key(F.col("fmap")).alias("key"),
+            retrieve.multiset_bits(F.col("fmap")).alias("bits"),
+        )
+
+    q = as_sets(t.benchmark_queries(spark, path), "query_id")
+    index = as_sets(t.distinct_items(spark, path, "tokens"), "item_id")
+    return retrieve.tanimoto_topk(
+        q, index.withColumn("pos", F.col("item_id")), 10, n_bits=None
+    )
+
+
+_BASE = f"""{_D}, {_bits_sql(2048)}, {_BQ}, {_knn(v.feature_bits('tokens', 2048), 'fb', 20)},
+  jd AS (SELECT k.query_id, k.rank - 1 AS pos, k.similarity,
+    {v.bits_key('q.bits')} = f.key AS fp_match, f.canonical = b.canonical AS exact,
+    f.canonical, {v.bits_key('q.bits')} AS qkey
+    FROM knn k JOIN qb q USING (query_id) JOIN bq b USING (query_id)
+    JOIN fb f ON f.item_id = k.item_id)"""
+
+
+@query(
+    "retrieval_baseline",
+    f"""WITH {_BASE}, pq AS (SELECT query_id, qkey NOT IN (SELECT key FROM fb) AS unseen,
+      min(pos) FILTER (fp_match) AS r, min(pos) FILTER (exact) AS x, max(similarity) AS best
+      FROM jd GROUP BY query_id, qkey)
+    SELECT sl AS slice, count(*) AS n_queries, round(avg(coalesce(r < 1, false)::INT), 8) AS recovery_at_1,
+      round(avg(coalesce(r < 20, false)::INT), 8) AS recovery_at_20,
+      round(avg(coalesce(x < 20, false)::INT), 8) AS structure_at_20,
+      round(avg(best), 8) AS mean_best_tanimoto
+    FROM pq, (VALUES ('all'), ('fp_unseen')) s(sl) WHERE sl = 'all' OR unseen GROUP BY sl""",
+)
+def retrieval_baseline(spark, path):
+    """Nearest-item retrieval scored by the same metrics; unseen recovery is zero by construction."""
+    from ..operators import metrics
+
+    q, judged = plans.retrieve_and_judge(
+        _bench(spark, path, B2048).drop("tokens"),
+        _index(spark, path, B2048, "canonical").drop("tokens"),
+        20,
+        n_bits=2048,
+    )
+    wide = metrics.slice_metrics(metrics.query_summary(q, judged), (1, 20))
+    return wide.filter(F.col("n_queries") > 0).select(
+        "slice", "n_queries", "recovery_at_1", "recovery_at_20",
+        F.col("structure_accuracy_at_20").alias("structure_at_20"), "mean_best_tanimoto",
+    )
+
+
+@query(
+    "rejudge",
+    f"""WITH {_BASE}, {_bits_sql(16, 'f16')}, q16 AS (SELECT query_id,
+      {v.bits_key(v.feature_bits('tokens', 16))} AS k16 FROM bq),
+    r AS (SELECT jd.query_id, min(pos) FILTER (fp_match) AS own, min(pos) FILTER (f16.key = q16.k16) AS oth
+      FROM jd JOIN q16 USING (query_id) JOIN f16 ON f16.canonical = jd.canonical GROUP BY jd.query_id)
+    SELECT k, round(avg(coalesce(own < k, false)::INT), 8) AS own,
+      round(avg(coalesce(oth < k, false)::INT), 8) AS other
+    FROM bq LEFT JOIN r USING (query_id), (VALUES (1), (5), (20)) ks(k) GROUP BY k""",
+)
+def rejudge(spark, path):
+    """Retrieved lists judged again with a much coarser fold."""
+    q = _bench(spark, path, B2048)
+    index = _index(spark, path, B2048, "canonical")
+    _, judged = plans.retrieve_and_judge(
+        q.drop("tokens"), index.drop("tokens"), 20, n_bits=2048
+    )
+    return plans.rejudge(judged, q, index, FeatureConfig(n_bits=16), (1, 5, 20))
+
+
+CONDITIONS = plans.perturbation_conditions(("drop", "add", "swap"), (0, 2, 8))
+
+
+@query("perturbation_probe")
+def perturbation_probe(spark, path):
+    """Damaged queries against an index that holds the undamaged ones.
+
+    Checked against brute force in the tests; the pairs of all conditions are
+    too many for the SQL side.
+    """
+    q = _bench(spark, path, B2048)
+    docs = _index(spark, path, B2048, "canonical").select(
+        "item_id", "canonical", "key", "bits", "pos"
+    )
+    own = q.dropDuplicates(["canonical"]).select(
+        (-1 - F.col("query_id")).alias("item_id"), "canonical", "key", "bits",
+        (-1 - F.col("query_id")).alias("pos"),
+    )
+    damaged = plans.perturbed_queries(q, B2048, CONDITIONS, "pp")
+    return plans.perturbation_probe(damaged, docs.unionByName(own), 10, B2048)
+
+
+@query(
+    "perturbed_sets",
+    f"""WITH {_BQ}, qb AS (SELECT query_id, {v.feature_bits('tokens', 2048)} AS bits FROM bq),
+    dr AS (SELECT query_id, len(bits) - least(2, len(bits) - 1) AS n FROM qb)
+    SELECT 'none' AS condition, query_id, len(bits)::INT AS n_set FROM qb
+    UNION ALL SELECT 'drop2', query_id, n::INT FROM dr
+    UNION ALL SELECT 'drop8', query_id, (len(bits) - greatest(least(8, len(bits) - 1), 0))::INT FROM qb
+    UNION ALL SELECT 'add2', query_id, (len(bits) + 2)::INT FROM qb
+    UNION ALL SELECT 'add8', query_id, (len(bits) + 8)::INT FROM qb
+    UNION ALL SELECT 'swap2', query_id,
+      (len(bits) - greatest(least(1, len(bits) - 1), 0) + 1)::INT FROM qb
+    UNION ALL SELECT 'swap8', query_id,
+      (len(bits) - greatest(least(4, len(bits) - 1), 0) + 4)::INT FROM qb""",
+)
+def perturbed_sets(spark, path):
+    damaged = plans.perturbed_queries(_bench(spark, path, B2048), B2048, CONDITIONS, "pp")
+    return damaged.select("condition", "query_id", F.size("bits").alias("n_set"))
+
+
+# --------------------------------------------------- feature count against size
+
+_SWEEP = f"{_D}, {_bits_sql(2048)}"
+
+
+def _sized(spark, path):
+    return _binary(spark, path, B2048).withColumn("large", F.col("size") >= 200)
+
+
+@query(
+    "feature_size_relation",
+    f"""WITH {_SWEEP}, {v.bands("0-49,50-99,100-199,200+")}
+    SELECT band, count(*) AS n, round(avg(n_set), 8) AS mean_bits,
+      round(coalesce(stddev_samp(n_set), 0), 8) AS sd_bits,
+      round((SELECT corr(n_set, size) FROM fb), 8) AS r
+    FROM fb JOIN bands ON size BETWEEN lo AND hi GROUP BY band""",
+)
+def feature_size_relation(spark, path):
+    return policy.feature_size_relation(
+        _sized(spark, path), "n_set", "size", "0-49,50-99,100-199,200+"
+    )
+
+
+_SWEPT = f"""{_SWEEP}, rg AS (SELECT min(n_set) AS a, max(n_set) AS b FROM fb),
+  cuts AS (SELECT unnest(range(a, b + 1)) AS cut FROM rg),
+  cn AS (SELECT cut, count(*) FILTER (n_set >= cut AND size >= 200) AS tp,
+    count(*) FILTER (n_set >= cut) AS hi, count(*) FILTER (size >= 200) AS pos, count(*) AS n
+    FROM cuts, fb GROUP BY cut),
+  pr AS (SELECT cut, CASE WHEN hi > 0 THEN tp / hi ELSE 0 END AS p,
+    CASE WHEN pos > 0 THEN tp / pos ELSE 0 END AS r, (n - (hi - tp) - (pos - tp)) / n AS acc FROM cn),
+  sw AS (SELECT cut, p, r, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END AS f1, acc FROM pr)"""
+
+
+@query(
+    "threshold_sweep",
+    f"""WITH {_SWEPT} SELECT cut, round(p, 8) AS precision, round(r, 8) AS recall, round(f1, 8) AS f1,
+    round(acc, 8) AS accuracy FROM sw""",
+)
+def threshold_sweep(spark, path):
+    return policy.threshold_sweep(_sized(spark, path), "n_set", "large")
+
+
+@query(
+    "best_threshold",
+    f"""WITH {_SWEPT} SELECT cut, round(p, 8) AS precision, round(r, 8) AS recall, round(f1, 8) AS f1,
+    round(acc, 8) AS accuracy FROM sw ORDER BY sw.f1 DESC, cut LIMIT 1""",
+)
+def best_threshold(spark, path):
+    return policy.best_threshold(policy.threshold_sweep(_sized(spark, path), "n_set", "large"))
