@@ -206,7 +206,7 @@ _SAMPLE_A = f"""{v.ITEMS}, sa AS (SELECT size FROM items
 
 
 def _cap_cost(spark, path):
-    rows = t.items(spark, path).withColumn("n_tokens", F.length("canonical"))
+    rows = t.items(spark, path).withColumn("n_tokens", F.length(F.col("canonical")))
 
     def rules(cap):
         cfg = prep.StandardizeConfig(

@@ -66,6 +66,17 @@ def first_reason(rules: Sequence[tuple[str, Column]]) -> Column:
     return reason
 
 
+def compute_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns through a one-row ``inline``.
+
+    A filter pushed below a plain projection copies its expressions, so a costly
+    text expression would run again for every predicate that uses it.  Nothing
+    is pushed below a generator's own output.
+    """
+    cells = F.struct(*[c.alias(n) for n, c in columns.items()])
+    return df.select("*", F.inline(F.array(cells)))
+
+
 def rule_chain(
     df: DataFrame, rules: Sequence[tuple[str, Column]], canonical: Column, out: str = "canonical"
 ) -> DataFrame:

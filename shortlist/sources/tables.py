@@ -21,8 +21,9 @@ from ..functions.hashing import hash_bucket, hex_long, order_key, text_key
 from ..operators.guards import protocol
 from ..operators.prep import (
     StandardizeConfig,
+    compute_once,
+    first_reason,
     first_seen,
-    rule_chain,
     standard_rules,
     with_digest,
 )
@@ -40,6 +41,16 @@ def table(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{path}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a scan with fewer splits than cores, dealt out to all of them.
+
+    A small file with one row group is one task however heavy the work on its
+    rows; a scan of a large table has splits enough and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def canonical_text(text: Column) -> Column:
     """Default canonical form: lower case with single spaces."""
     return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
@@ -49,33 +60,51 @@ def word_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("([a-z]+)"), F.lit(1))
 
 
-def items(spark: SparkSession, path: str) -> DataFrame:
-    """Every document: canonical form, its digest, tokens, size, group and shuffle order."""
-    docs = table(spark, path, "documents")
-    return with_digest(
+def documents(spark: SparkSession, path: str) -> DataFrame:
+    """``item_id, canonical, digest, group_key, lang`` of every document.
+
+    The canonical form is computed once per row, whatever filters follow.
+    """
+    docs = spread(table(spark, path, "documents").select("doc_id", "text", "source", "lang"))
+    canonical = compute_once(
         docs.select(
-            F.col("doc_id").alias("item_id"),
-            canonical_text(F.col("text")).alias("canonical"),
-            word_tokens(F.col("text")).alias("tokens"),
-            F.col("source").alias("group_key"),
-            "lang",
-            F.col("text").alias("raw"),
+            F.col("doc_id").alias("item_id"), "text", F.col("source").alias("group_key"), "lang"
         ),
-        "canonical",
-    ).withColumn("size", F.size("tokens")).withColumn(
-        "order_key", order_key("seed0", F.col("item_id"))
+        canonical=canonical_text(F.col("text")),
     )
+    return with_digest(canonical.drop("text"), "canonical")
+
+
+def items(spark: SparkSession, path: str) -> DataFrame:
+    """Every document with its size (word count) and place in the shuffle order."""
+    return compute_once(
+        documents(spark, path), size=F.size(word_tokens(F.col("canonical")))
+    ).withColumn("order_key", order_key("seed0", F.col("item_id")))
 
 
 def distinct_items(spark: SparkSession, path: str, *columns: str) -> DataFrame:
-    """First item of every canonical text, by ``item_id``."""
-    keep = ["item_id", "digest", *columns]
-    return first_seen(items(spark, path).select(*dict.fromkeys(keep)), "digest", ["item_id"])
+    """The stored first item of every canonical text, with the columns asked for.
+
+    Only canonical texts are stored; tokens and sizes are derived on reading.
+    """
+    stored = _stored(
+        spark,
+        path,
+        "distinct",
+        lambda: first_seen(documents(spark, path), "digest", ["item_id"]),
+    )
+    wanted = list(dict.fromkeys(("item_id", "digest", *columns)))
+    rows = spread(stored)
+    if "tokens" in wanted or "size" in wanted:
+        rows = compute_once(rows, tokens=word_tokens(F.col("canonical")))
+    if "size" in wanted:
+        rows = rows.withColumn("size", F.size("tokens"))
+    return rows.select(*wanted)
 
 
 def with_features(df: DataFrame, cfg: FeatureConfig, tokens: str = "tokens") -> DataFrame:
     """Add the sorted feature set ``bits`` and its ``key``."""
-    return df.withColumn("bits", feature_set(F.col(tokens), cfg)).withColumn(
+    return compute_once(df, bits=feature_set(F.col(tokens), cfg)).withColumn(
         "key", set_key(F.col("bits"))
     )
 
@@ -98,10 +127,11 @@ def raw_candidates(spark: SparkSession, path: str, runs: Sequence[str] = RUNS) -
 
     One digest per order line serves every run; each run reads its own hex digits.
     """
-    line = table(spark, path, "lineitem").select(
+    columns = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    line = spread(table(spark, path, "lineitem").select(*columns)).select(
         "l_orderkey",
         (F.col("l_partkey") % 120).cast("int").alias("raw"),
-        F.md5(text_key(*[F.col(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")])).alias("h"),
+        F.md5(text_key(*[F.col(c) for c in columns])).alias("h"),
     )
     orders = table(spark, path, "orders").select(
         F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("query_id")
@@ -261,10 +291,8 @@ def corpus_rules(cfg: StandardizeConfig = CORPUS_RULES) -> list:
 
 def standardized(spark: SparkSession, path: str, cfg: StandardizeConfig = CORPUS_RULES):
     """Every document with its drop reason; ``kept_text`` is null for dropped ones."""
-    rows = items(spark, path).select(
-        "item_id", "canonical", "digest", "size", "group_key", "lang", "order_key"
-    )
-    return rule_chain(rows, corpus_rules(cfg), F.col("canonical"), out="kept_text")
+    rows = compute_once(items(spark, path), reason=first_reason(corpus_rules(cfg)))
+    return rows.withColumn("kept_text", F.when(F.col("reason") == "ok", F.col("canonical")))
 
 
 def shard(spark: SparkSession, path: str) -> DataFrame:
