@@ -936,7 +936,7 @@ def _exposure(spark, path):
     for name, threshold, factor, _ in _MIXES:
         mix = arms.mix_summary(sizes, "size", threshold, factor, t.ELEMENTARY)
         part = mix.filter(F.col("band") != "at_or_above_threshold").select(
-            F.lit(name).alias("arm"), "band", (F.col("weighted_share") / F.col("share")).alias("ratio")
+            F.lit(name).alias("arm"), "band", stats.safe_ratio(F.col("weighted_share"), F.col("share")).alias("ratio")
         )
         exposure = part if exposure is None else exposure.unionByName(part)
     mixes = [parse_arm(f"{name}={runs}") for name, _, _, runs in _MIXES]

@@ -101,18 +101,22 @@ def binomial_expected(n: Column, m: int, j: int, p: Column) -> Column:
 
 def ols_columns(x: Column, y: Column, tolerance: float, min_points: int = 3) -> dict[str, Column]:
     """Slope, intercept and correlation aggregates; null without enough variance."""
-    defined = (
-        (F.count(F.when(x.isNotNull() & y.isNotNull(), F.lit(1))) >= min_points)
-        & (F.regr_sxx(y, x) >= tolerance)
-        & (F.regr_syy(y, x) >= tolerance)
-    )
+    sxx, syy, sxy = F.regr_sxx(y, x), F.regr_syy(y, x), F.regr_sxy(y, x)
+    defined = (F.regr_count(y, x) >= min_points) & (sxx >= tolerance) & (syy >= tolerance)
+    # try_divide: a plain division by a zero variance is an error under ANSI rules.
+    slope = F.try_divide(sxy, sxx)
     return {
-        "slope": F.when(defined, F.regr_slope(y, x)),
-        "intercept": F.when(defined, F.regr_intercept(y, x)),
-        "r": F.when(defined, F.corr(y, x)),
+        "slope": F.when(defined, slope),
+        "intercept": F.when(defined, F.regr_avgy(y, x) - slope * F.regr_avgx(y, x)),
+        "r": F.when(defined, F.try_divide(sxy, F.sqrt(sxx * syy))),
     }
 
 
+def pearson(x: Column, y: Column) -> Column:
+    """Correlation aggregate; null when either side does not vary."""
+    return F.try_divide(F.regr_sxy(y, x), F.sqrt(F.regr_sxx(y, x) * F.regr_syy(y, x)))
+
+
 def budget_for(slope: Column, intercept: Column, target: float) -> Column:
     """k at which the fitted deficit law reaches ``target``.
 

@@ -171,7 +171,7 @@ def mean_samples(queries: DataFrame) -> DataFrame:
 
 def feature_size_relation(rows: DataFrame, bits: str, size: str, bands: str) -> DataFrame:
     """Correlation of feature count and size, and the feature count per band."""
-    r = rows.agg(F.corr(bits, size).alias("r")).scalar()
+    r = rows.agg(stats.pearson(F.col(bits), F.col(size)).alias("r")).scalar()
     return (
         explode_bands(rows, size, bands)
         .groupBy("band")

@@ -119,7 +119,7 @@ def read_mix_record(spark: SparkSession, path: str, arm: str) -> DataFrame:
     doc = _document(spark, path, schemas.MIX_RECORD)
     bands = doc.select(F.explode("size_weighted_mix.bands").alias("band", "b"))
     return bands.select(
-        F.lit(arm).alias("arm"), "band", (F.col("b.weighted_share") / F.col("b.share")).alias("ratio")
+        F.lit(arm).alias("arm"), "band", F.try_divide("b.weighted_share", "b.share").alias("ratio")
     )
 
 
