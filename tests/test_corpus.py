@@ -234,12 +234,12 @@ def test_tokens_round_trip(spark):
 def test_tsv_column_by_name(spark, tmp_path):
     path = tmp_path / "raw.txt.gz"
     with gzip.open(path, "wt") as fh:
-        fh.write("id\tcanonical_smiles\tkey\nA\tCC\tk\nB\t\tk\nC\nD\tC\"O\tk\n")
-    got = corpus.read_column(spark, str(path), "canonical_smiles").collect()
+        fh.write("id\tcanonical_text\tkey\nA\tCC\tk\nB\t\tk\nC\nD\tC\"O\tk\n")
+    got = corpus.read_column(spark, str(path), "canonical_text").collect()
     assert sorted(r["raw"] for r in got) == ["C\"O", "CC"]
     assert corpus.read_second_column(spark, str(path)).count() == 2
     with pytest.raises(ValueError, match="no column"):
-        corpus.read_column(spark, str(path), "smiles")
+        corpus.read_column(spark, str(path), "no_such")
 
 
 def test_prepare_and_write_shard(spark, tmp_path):
