@@ -107,7 +107,7 @@ def test_consumed_counts_expose_the_double_count(spark):
     assert (r["consumed"], r["consumed_legacy"], r["kept_rate"]) == (16, 20, 0.5)
 
 
-def test_feature_config():
+def test_feature_config(spark):
     cfg = FeatureConfig(n_bits=64)
     assert FeatureConfig.from_dict(cfg.to_dict()) == cfg and len(cfg.config_id) == 12
     with pytest.raises(ValueError):
