@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_query
+from . import linededup_query, quality_query
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_MODULES = (quality_query,)
+_MODULES = (linededup_query, quality_query)
 
 
 def queries() -> dict[str, Query]:
