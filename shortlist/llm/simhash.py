@@ -210,18 +210,21 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return placed.mapInPandas(scan, "a long, b long")
 
 
-def classes(
-    prints: DataFrame, max_bits: int = MAX_BITS, node_max: int = NODE_MAX
-) -> DataFrame:
-    """``fp`` and ``component_id`` for a table of ``id``, ``fp``: the smallest id reachable over links."""
+def labelled(prints: DataFrame, max_bits: int = MAX_BITS, node_max: int = NODE_MAX) -> DataFrame:
+    """``fp``, its smallest id ``least`` and the ``label`` of its class, for a table of ``id``, ``fp``."""
     distinct = materialize(prints.groupBy("fp").agg(F.min("id").alias("least")), "simhash-distinct")
     edges = links(upper_nodes(distinct.select("fp"), max_bits, node_max), max_bits)
     labels = components(edges)
-    named = materialize(
+    return materialize(
         distinct.join(labels, distinct.fp == labels.node, "left").select(
             "fp", "least", F.coalesce("label", "fp").alias("label")
         ),
         "simhash-labels",
     )
+
+
+def classes(prints: DataFrame, max_bits: int = MAX_BITS, node_max: int = NODE_MAX) -> DataFrame:
+    """``fp`` and ``component_id``: the smallest id reachable over links."""
+    named = labelled(prints, max_bits, node_max)
     least = materialize(named.groupBy("label").agg(F.min("least").alias("component_id")), "simhash-classes")
     return materialize(named.join(least, "label").select("fp", "component_id"), "simhash-named")
