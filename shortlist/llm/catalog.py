@@ -6,11 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate_query, htmltext_query, linededup_query, packing_query, quality_query, simhash_query
+from . import (
+    decontaminate_query,
+    htmltext_query,
+    linededup_query,
+    packing_query,
+    quality_query,
+    secrets_query,
+    simhash_query,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_MODULES = (simhash_query, decontaminate_query, htmltext_query, linededup_query, packing_query, quality_query)
+_MODULES = (
+    secrets_query,
+    simhash_query,
+    decontaminate_query,
+    htmltext_query,
+    linededup_query,
+    packing_query,
+    quality_query,
+)
 
 
 def queries() -> dict[str, Query]:
