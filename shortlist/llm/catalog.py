@@ -14,6 +14,7 @@ from . import (
     quality_query,
     secrets_query,
     simhash_query,
+    warc_query,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +22,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 _MODULES = (
     secrets_query,
     simhash_query,
+    warc_query,
     decontaminate_query,
     htmltext_query,
     linededup_query,
