@@ -14,6 +14,7 @@ from . import (
     quality_query,
     secrets_query,
     simhash_query,
+    tokenfiles_query,
     warc_query,
 )
 
@@ -21,6 +22,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 _MODULES = (
     secrets_query,
+    tokenfiles_query,
     simhash_query,
     warc_query,
     decontaminate_query,

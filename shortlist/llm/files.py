@@ -10,6 +10,9 @@ from __future__ import annotations
 import uuid
 
 import pyarrow.fs as pafs
+from pyspark.sql import SparkSession
+
+from ..session import shared_dir
 
 #: Schemes that Spark's file systems and Arrow's spell differently.
 _SCHEMES = {"s3a": "s3", "s3n": "s3"}
@@ -27,6 +30,10 @@ def opened(folder: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(f"{_SCHEMES.get(scheme, scheme)}{mark}{rest}")
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def attempt_name(part: int, ending: str) -> str:
     return f"part-{part:06d}-{uuid.uuid4().hex}{ending}"
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import warc
+from .files import new_folder
 from .rows import table, whole_text
 
 NAME = "op8_warc"
@@ -14,7 +15,7 @@ NAME = "op8_warc"
 def query(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "pages")
     rows = pages.select("page_id", "url", F.encode(whole_text(pages.html), "utf-8").alias("payload"))
-    archives = warc.new_folder(rows, "warc")
+    archives = new_folder(spark, "warc")
     manifest = warc.write(rows, archives)
     return warc.read(manifest, archives, payloads=False).drop("payload", "url")
 
