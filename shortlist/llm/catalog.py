@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import (
     decontaminate_query,
     htmltext_query,
+    licenses_query,
     linededup_query,
     packing_query,
     quality_query,
@@ -27,6 +28,7 @@ _MODULES = (
     warc_query,
     decontaminate_query,
     htmltext_query,
+    licenses_query,
     linededup_query,
     packing_query,
     quality_query,
