@@ -33,8 +33,8 @@ WITH template AS (
   FROM (SELECT key, license, {_WORDS.format(t="body")} AS w FROM (VALUES {_TEMPLATES}) AS v(key, license, body))),
 cut AS (
   SELECT row_number() OVER () AS r, doc_id,
-         string_split(regexp_replace(text, '((?:^|[\\x20\\x09-\\x0D])*?(?:[.!?]\\x20|\\n[\\x20\\x09]{{0,16}}))([^\\x20\\x09-\\x0D])',
-                                     '\\1' || chr(1) || '\\2', 'g'), chr(1)) AS lines
+         string_split(regexp_replace(text, '([.!?][\\x20\\x09]|\\n[\\x20\\x09]?)([^\\x20\\x09-\\x0D])', '\\1' || chr(1) || '\\2', 'g'),
+                      chr(1)) AS lines
   FROM documents WHERE regexp_matches(text, '(?i)licen|reserved|permission|redistribut|software')),
 line AS (
   SELECT r, i, {_PAIRS.format(w="w")} AS p

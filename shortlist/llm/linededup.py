@@ -32,7 +32,7 @@ from .rows import ROW, SPACE, field, let, packed
 GRAM_WORDS = 25
 SURE_WORDS = 50
 
-_CUT = rf"(?<=[{SPACE}])(?=[^{SPACE}])(?<=[.!?]\x20|\n[\x20\x09]{{0,16}})"
+_CUT = rf"(?<=[{SPACE}])(?=[^{SPACE}])(?<=[.!?\n][\x20\x09]?)"
 _WORD = f"[^{SPACE}]+"
 
 
@@ -42,15 +42,16 @@ def pieces(text: Column) -> Column:
 
 
 def lined(keyed: DataFrame) -> DataFrame:
-    """Per document: the hash and word count of every line."""
-    lines = F.transform(
-        pieces(F.col("text")),
-        lambda u: F.struct(
-            F.xxhash64(F.trim(F.regexp_replace(u, f"[{SPACE}]+", " "))).alias("h"),
-            F.regexp_count(u, F.lit(_WORD)).alias("c"),
-        ),
-    )
-    return keyed.where(F.col("text").isNotNull()).select("id", "th", lines.alias("lines"))
+    """Per document: the hash ``h`` and word count ``c`` of every line."""
+
+    def measured(us: Column) -> Column:
+        return F.struct(
+            F.transform(us, lambda u: F.xxhash64(F.btrim(u, F.lit(" \t\n\x0b\f\r")))).alias("h"),
+            F.transform(us, lambda u: F.regexp_count(u, F.lit(_WORD))).alias("c"),
+        )
+
+    lines = let(pieces(F.col("text")), measured)
+    return keyed.where(F.col("text").isNotNull()).select("id", "th", lines.alias("l")).select("id", "th", "l.h", "l.c")
 
 
 def fingerprints(lines: DataFrame, gram_words: int = GRAM_WORDS, sure_words: int = SURE_WORDS) -> DataFrame:
@@ -60,9 +61,8 @@ def fingerprints(lines: DataFrame, gram_words: int = GRAM_WORDS, sure_words: int
     whole window of ``sure_words - gram_words`` gram starts, hence its smallest gram.
     """
     units = (
-        lines.where(F.size("lines") > 0)
-        .withColumn("r", F.monotonically_increasing_id())
-        .select("r", "id", "th", F.posexplode("lines").alias("p", "u"))
+        lines.withColumn("r", F.monotonically_increasing_id())
+        .select("r", "id", "th", F.posexplode(F.arrays_zip("h", "c")).alias("p", "u"))
         .where(F.col("u.c") > 0)
         .select("r", "id", "th", "p", F.col("u.h").alias("h"), F.col("u.c").alias("c"))
     )
@@ -103,58 +103,59 @@ def originals(seeds: DataFrame) -> DataFrame:
     )
 
 
-def _reach(lines: Column, words: int) -> Column:
-    """Hashes of the leading lines that together hold at least ``words`` words."""
-    start = F.struct(F.lit(0).cast("int").alias("w"), F.array().cast("array<bigint>").alias("hs"))
-    return F.aggregate(
-        lines,
+def _reach(hashes: Column, counts: Column, words: int) -> Column:
+    """The leading hashes whose lines together hold at least ``words`` words."""
+    start = F.struct(F.lit(0).alias("w"), F.lit(0).alias("n"))
+    taken = F.aggregate(
+        counts,
         start,
-        lambda acc, u: F.when(acc["w"] >= words, acc).otherwise(
-            F.struct((acc["w"] + u["c"]).alias("w"), F.array_append(acc["hs"], u["h"]).alias("hs"))
+        lambda acc, c: F.when(acc["w"] >= words, acc).otherwise(
+            F.struct((acc["w"] + c).alias("w"), (acc["n"] + 1).alias("n"))
         ),
-    )["hs"]
+    )
+    return F.slice(hashes, F.lit(1), taken["n"])
+
+
+def _before(lines: str, p: Column, n: Column | int) -> Column:
+    """Up to ``n`` elements before place ``p``, nearest first."""
+    return F.reverse(F.slice(lines, F.greatest(p - n, F.lit(0)) + 1, F.least(p, F.lit(n) if isinstance(n, int) else n)))
 
 
-def _sides(p: Column, n: Column, words: int) -> tuple[Column, Column]:
-    """Lines before ``p``, nearest first, and lines from ``p + n`` on, as far as ``words`` words."""
-    lines = F.col("lines")
-    left = F.reverse(F.slice(lines, F.greatest(p - words, F.lit(0)) + 1, F.least(p, F.lit(words))))
-    right = F.slice(lines, p + n + 1, F.lit(words))
-    return _reach(left, words), _reach(right, words)
+def _after(lines: str, p: Column, n: Column | int) -> Column:
+    return F.slice(lines, p + 1, F.lit(n) if isinstance(n, int) else n)
 
 
 def _equal_lead(a: Column, b: Column) -> Column:
     same = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
-    return let(same, lambda s: F.when(F.array_contains(s, False), F.array_position(s, False) - 1).otherwise(F.size(s))).cast("int")
+    return let(F.array_position(same, False), lambda k: F.when(k > 0, k - 1).otherwise(F.size(a))).cast("int")
 
 
 def repeats(keyed: DataFrame, gram_words: int = GRAM_WORDS, sure_words: int = SURE_WORDS) -> DataFrame:
     """Runs of lines to cut: document and merged intervals ``cuts`` (first and last line).
 
-    ``keyed`` has ``id``, ``th`` (text hash) and ``text``.
+    ``keyed`` has ``id``, ``th`` (text hash) and ``text``.  Joins sort and merge at every size.
     """
     lines = materialize(lined(keyed), "dedup-lines")
     seeds = materialize(fingerprints(lines, gram_words, sure_words), "dedup-seeds")
-    firsts = materialize(originals(seeds), "dedup-originals")
+    firsts = materialize(originals(seeds), "dedup-originals").hint("merge")
     docs = lines.dropDuplicates(["id", "th"])
-    left, right = _sides(F.col("op"), F.col("on_"), sure_words)
+    p, end = F.col("op"), F.col("op") + F.col("on_")
     sources = materialize(
         firsts.join(docs, firsts.oid.eqNullSafe(docs.id) & (firsts.oth == docs.th)).select(
-            "g", "oid", "oth", "op", left.alias("ol"), right.alias("or_")
+            "g", "oid", "oth", "op",
+            _reach(_before("h", p, sure_words), _before("c", p, sure_words), sure_words).alias("ol"),
+            _reach(_after("h", end, sure_words), _after("c", end, sure_words), sure_words).alias("or_"),
         ),
         "dedup-sources",
-    )
+    ).hint("merge")
     itself = F.col("id").eqNullSafe(F.col("oid")) & (F.col("th") == F.col("oth")) & (F.col("p") == F.col("op"))
-    places = seeds.join(sources, "g").where(~itself).select("id", "th", "p", "n", "ol", "or_")
-    left, right = _sides(F.col("p"), F.col("n"), sure_words)
-    runs = (
-        places.withColumnsRenamed({"id": "pid", "th": "pth"})
-        .join(docs, F.col("pid").eqNullSafe(docs.id) & (F.col("pth") == docs.th))
-        .select(
-            "id", "th",
-            (F.col("p") - _equal_lead(F.col("ol"), left)).alias("a"),
-            (F.col("p") + F.col("n") - 1 + _equal_lead(F.col("or_"), right)).alias("b"),
-        )
+    places = seeds.join(sources, "g").where(~itself).select(F.col("id").alias("pid"), F.col("th").alias("pth"), "p", "n", "ol", "or_")
+    docs = docs.select("id", "th", "h")
+    p, end = F.col("p"), F.col("p") + F.col("n")
+    runs = places.hint("merge").join(docs, F.col("pid").eqNullSafe(docs.id) & (F.col("pth") == docs.th)).select(
+        "id", "th",
+        (p - _equal_lead(F.col("ol"), _before("h", p, F.size("ol")))).alias("a"),
+        (end - 1 + _equal_lead(F.col("or_"), _after("h", end, F.size("or_")))).alias("b"),
     )
     return runs.groupBy("id", "th").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("runs")).select(
         "id", "th", _merged(F.col("runs")).alias("cuts")
@@ -180,7 +181,7 @@ def dedup(df: DataFrame, id_column: str = "doc_id", gram_words: int = GRAM_WORDS
     """The rows (packed) with ``text`` freed of repeated runs, ``cuts`` and ``words_cut``."""
     rows = packed(df).select(ROW, field(id_column).alias("id"), F.xxhash64(field("text")).alias("th"))
     cuts = repeats(rows.select("id", "th", field("text").alias("text")), gram_words, sure_words)
-    cuts = materialize(cuts.withColumnsRenamed({"id": "cid", "th": "cth"}), "dedup-cuts")
+    cuts = materialize(cuts.withColumnsRenamed({"id": "cid", "th": "cth"}), "dedup-cuts").hint("merge")
 
     def split_up(us: Column) -> Column:
         inside = lambda i: F.exists(F.col("cuts"), lambda c: i.between(c["a"], c["b"]))

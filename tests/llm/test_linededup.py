@@ -16,7 +16,7 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def pieces(text):
-    spots = [m.start() for m in CUT.finditer(text) if re.search(r"([.!?]\x20|\n[\x20\x09]{0,16})\Z", text[: m.start()])]
+    spots = [m.start() for m in CUT.finditer(text) if re.search(r"[.!?\n][\x20\x09]?\Z", text[max(0, m.start() - 2) : m.start()])]
     return [text[a:b] for a, b in zip([0, *spots], [*spots, len(text)])]
 
 
