@@ -21,6 +21,8 @@ _REASON = """CASE WHEN size = 0 THEN 'unparseable' WHEN size < 20 THEN 'too_smal
 _STD = f"{v.ITEMS}, std AS (SELECT *, {_REASON.format(cap=400)} AS reason FROM items)"
 _KEPT = f"""{_STD}, kept AS (SELECT * FROM std WHERE reason = 'ok'
   QUALIFY row_number() OVER (PARTITION BY canonical ORDER BY order_key, item_id) = 1)"""
+_CORPUS = f"""{v.ITEMS}, kept AS (SELECT * FROM items
+  QUALIFY row_number() OVER (PARTITION BY canonical ORDER BY order_key, item_id) = 1)"""
 _TALLY = f"""{_KEPT}, tally AS (
   SELECT reason, count(*) AS n FROM std GROUP BY reason
   UNION ALL SELECT 'duplicate', (SELECT count(*) FROM std WHERE reason = 'ok') - count(*)
@@ -58,21 +60,21 @@ def first_seen_dedup(spark, path):
 
 @query(
     "nested_prefix",
-    f"""WITH {_KEPT}, r AS (SELECT item_id, row_number() OVER (ORDER BY order_key, item_id) AS rank
+    f"""WITH {_CORPUS}, r AS (SELECT item_id, row_number() OVER (ORDER BY order_key, item_id) AS rank
     FROM kept) SELECT item_id, rank FROM r WHERE rank <= 300""",
 )
 def nested_prefix(spark, path):
     """The 300-item subset; a larger subset contains it."""
     return order.nested_prefix(
-        t.shard(spark, path).select("item_id", "order_key"), "order_key", "item_id", 300
+        t.corpus(spark, path).select("item_id", "order_key"), "order_key", "item_id", 300
     ).select("item_id", "rank")
 
 
 @query(
     "chunked_prefix",
-    f"""WITH {_KEPT}, r AS (SELECT s.item_id, k.item_id IS NOT NULL AS kept,
+    f"""WITH {_CORPUS}, r AS (SELECT s.item_id, k.item_id IS NOT NULL AS kept,
       row_number() OVER (ORDER BY s.order_key, s.item_id) AS read_rank
-      FROM std s LEFT JOIN kept k USING (item_id)),
+      FROM items s LEFT JOIN kept k USING (item_id)),
     c AS (SELECT (read_rank - 1) // 50 AS chunk, count(*) FILTER (kept) AS n FROM r GROUP BY 1),
     b AS (SELECT chunk, coalesce(sum(n) OVER (ORDER BY chunk ROWS BETWEEN UNBOUNDED PRECEDING
       AND 1 PRECEDING), 0) AS before FROM c)
@@ -81,9 +83,9 @@ def nested_prefix(spark, path):
 )
 def chunked_prefix(spark, path):
     """The same target, tested once per chunk of records: the result overshoots."""
-    kept = t.shard(spark, path).select("item_id", F.lit(True).alias("kept"))
+    kept = t.corpus(spark, path).select("item_id", F.lit(True).alias("kept"))
     rows = (
-        t.standardized(spark, path)
+        t.items(spark, path)
         .select("item_id", "order_key")
         .join(kept, "item_id", "left")
         .withColumn("kept", F.coalesce("kept", F.lit(False)))
@@ -93,7 +95,7 @@ def chunked_prefix(spark, path):
     )
 
 
-_SPLIT = f"""{_KEPT}, sr AS (SELECT item_id, canonical, group_key, size,
+_SPLIT = f"""{_CORPUS}, sr AS (SELECT item_id, canonical, group_key, size,
     row_number() OVER (ORDER BY {v.okey("'seed1:' || item_id")}, item_id) AS split_rank FROM kept),
   split AS (SELECT *, CASE
     WHEN split_rank <= floor((SELECT count(*) FROM kept) * 0.05) THEN 'test'
@@ -101,8 +103,8 @@ _SPLIT = f"""{_KEPT}, sr AS (SELECT item_id, canonical, group_key, size,
     ELSE 'train' END AS split FROM sr)"""
 
 
-def _split(spark, path):
-    rows = t.shard(spark, path).withColumn("k", order_key("seed1", F.col("item_id")))
+def _split(spark, path, items=t.corpus):
+    rows = items(spark, path).withColumn("k", order_key("seed1", F.col("item_id")))
     return order.random_split(rows, "k", "item_id", 0.05, 0.05).drop("k")
 
 
@@ -125,7 +127,7 @@ def split_overlaps(spark, path):
     ).withColumn("in_two_splits", counted)
 
 
-_GROUPS = f"""{_KEPT}, gs AS (SELECT group_key, count(*) AS n,
+_GROUPS = f"""{_CORPUS}, gs AS (SELECT group_key, count(*) AS n,
     {v.okey("'seed2:' || group_key")} AS h FROM kept GROUP BY group_key),
   gb AS (SELECT *, coalesce(sum(n) OVER (ORDER BY h, group_key ROWS BETWEEN UNBOUNDED PRECEDING
     AND 1 PRECEDING), 0) AS before FROM gs),
@@ -136,8 +138,8 @@ _GROUPS = f"""{_KEPT}, gs AS (SELECT group_key, count(*) AS n,
     AS group_split FROM gb)"""
 
 
-def _group_split(spark, path):
-    return prep.group_split(t.shard(spark, path), "group_key", 0.1, 0.1, "seed2")
+def _group_split(spark, path, items=t.corpus):
+    return prep.group_split(items(spark, path), "group_key", 0.1, 0.1, "seed2")
 
 
 @query(
@@ -150,7 +152,7 @@ def split_group(spark, path):
 
 @query(
     "shard_meta",
-    f"""WITH {_TALLY}, {_SPLIT.replace(_KEPT + ', ', '')}, {_GROUPS.replace(_KEPT + ', ', '')}
+    f"""WITH {_TALLY}, {_SPLIT.replace(_CORPUS + ', ', '')}, {_GROUPS.replace(_CORPUS + ', ', '')}
     SELECT 'splits' AS section, split AS name, count(*) AS n FROM split GROUP BY split
     UNION ALL SELECT 'group_splits', group_split, count(*) FROM kept JOIN ga USING (group_key)
       GROUP BY group_split
@@ -158,8 +160,8 @@ def split_group(spark, path):
 )
 def shard_meta(spark, path):
     return prep.shard_meta(
-        _split(spark, path),
-        _group_split(spark, path),
+        _split(spark, path, t.shard),
+        _group_split(spark, path, t.shard),
         prep.drop_reasons(t.standardized(spark, path)),
     )
 
@@ -176,20 +178,20 @@ def _blocked(spark, path):
 
 @query(
     "exclude_anti",
-    f"WITH {_KEPT}, {_BLOCKED} SELECT item_id FROM kept WHERE canonical NOT IN "
+    f"WITH {_CORPUS}, {_BLOCKED} SELECT item_id FROM kept WHERE canonical NOT IN "
     "(SELECT canonical FROM blocked)",
 )
 def exclude_anti(spark, path):
-    return prep.exclude(t.shard(spark, path), _blocked(spark, path), "digest").select("item_id")
+    return prep.exclude(t.corpus(spark, path), _blocked(spark, path), "digest").select("item_id")
 
 
 @query(
     "exclude_record",
-    f"WITH {_KEPT}, {_BLOCKED} SELECT item_id FROM kept WHERE canonical IN "
+    f"WITH {_CORPUS}, {_BLOCKED} SELECT item_id FROM kept WHERE canonical IN "
     "(SELECT canonical FROM blocked)",
 )
 def exclude_record(spark, path):
-    return prep.excluded(t.shard(spark, path), _blocked(spark, path), "digest").select("item_id")
+    return prep.excluded(t.corpus(spark, path), _blocked(spark, path), "digest").select("item_id")
 
 
 # ------------------------------------------------------------------ size caps
@@ -243,7 +245,7 @@ def cap_summary(spark, path):
 @query(
     "cap_tail",
     f"""WITH {_SAMPLE_A}, tb(band, lo, hi) AS (VALUES ('65-69', 65, 69), ('70-79', 70, 79),
-      ('80-99', 80, 99), ('100-149', 100, 149), ('150+', 150, 1000000000))
+      ('80-99', 80, 99), ('100-149', 100, 149), ('150+', 150, 9223372036854775807))
     SELECT band, count(sa.size) AS n_sampled,
       round_even(count(sa.size) * (SELECT scale FROM sc), 0)::BIGINT AS implied
     FROM tb LEFT JOIN sa ON sa.size BETWEEN lo AND hi GROUP BY band""",
@@ -274,38 +276,38 @@ def raised_cap_fates(spark, path):
 
 @query(
     "sample_exact",
-    f"""WITH {_KEPT} SELECT item_id, row_number() OVER (ORDER BY {v.okey("'s4:' || item_id")},
+    f"""WITH {_CORPUS} SELECT item_id, row_number() OVER (ORDER BY {v.okey("'s4:' || item_id")},
     item_id) AS draw FROM kept QUALIFY draw <= 100""",
 )
 def sample_exact(spark, path):
-    return order.sample_exact(t.shard(spark, path).select("item_id"), 100, "s4", "item_id")
+    return order.sample_exact(t.corpus(spark, path).select("item_id"), 100, "s4", "item_id")
 
 
 @query(
     "sample_with_scale",
-    f"""WITH {_KEPT}, s AS (SELECT item_id, row_number() OVER (ORDER BY
+    f"""WITH {_CORPUS}, s AS (SELECT item_id, row_number() OVER (ORDER BY
       {v.okey("'s6:' || item_id")}, item_id) AS draw FROM kept)
     SELECT item_id, draw, (SELECT count(*) FROM kept) AS stream_length,
       round((SELECT count(*) / least(count(*), 150) FROM kept), 8) AS scale FROM s WHERE draw <= 150""",
 )
 def sample_with_scale(spark, path):
-    return order.sample_with_scale(t.shard(spark, path).select("item_id"), 150, "s6", "item_id")
+    return order.sample_with_scale(t.corpus(spark, path).select("item_id"), 150, "s6", "item_id")
 
 
 @query(
     "stratified_sample",
-    f"""WITH {_KEPT} SELECT item_id, lang, row_number() OVER (PARTITION BY lang
+    f"""WITH {_CORPUS} SELECT item_id, lang, row_number() OVER (PARTITION BY lang
     ORDER BY {v.okey("'s5:' || item_id")}, item_id) AS draw FROM kept QUALIFY draw <= 25""",
 )
 def stratified_sample(spark, path):
     return order.stratified_sample(
-        t.shard(spark, path).select("item_id", "lang"), "lang", 25, "s5", "item_id"
+        t.corpus(spark, path).select("item_id", "lang"), "lang", 25, "s5", "item_id"
     )
 
 
 @query(
     "weighted_draws",
-    f"""WITH {_KEPT}, m AS (SELECT item_id, size, size >= 200 AS heavy, row_number() OVER (
+    f"""WITH {_CORPUS}, m AS (SELECT item_id, size, size >= 200 AS heavy, row_number() OVER (
       PARTITION BY size >= 200 ORDER BY {v.okey("'w7:stratum:' || item_id")}, item_id) AS rank FROM kept),
     tt AS (SELECT count(*) FILTER (heavy) AS nh, count(*) FILTER (NOT heavy) AS nl FROM m),
     d AS (SELECT item_id AS draw, {v.unit("'w7:which:' || item_id")} * (nh * 3.0 + nl) < nh * 3.0
@@ -314,27 +316,27 @@ def stratified_sample(spark, path):
     SELECT p.draw, m.item_id, m.size, p.heavy FROM p JOIN m ON m.heavy = p.heavy AND m.rank = p.rank""",
 )
 def weighted_draws(spark, path):
-    rows = t.shard(spark, path).select("item_id", "size")
+    rows = t.corpus(spark, path).select("item_id", "size")
     return order.weighted_draws(rows, "item_id", "size", 200, 3.0, "w7")
 
 
 @query(
     "mix_summary",
-    f"""WITH {_KEPT}, {v.bands("0-49,50-99,100-199,200+")}, b2 AS (SELECT * FROM bands
-      UNION ALL SELECT 'at_or_above_threshold', 200, 1000000),
+    f"""WITH {_CORPUS}, {v.bands("0-49,50-99,100-199,200+")}, b2 AS (SELECT * FROM bands
+      UNION ALL SELECT 'at_or_above_threshold', 200, 9223372036854775807),
     w AS (SELECT size, CASE WHEN size >= 200 THEN 3.0 ELSE 1.0 END::DOUBLE AS w FROM kept)
     SELECT band, round(count(*) FILTER (size BETWEEN lo AND hi) / count(*), 8) AS share,
       round(coalesce(sum(w) FILTER (size BETWEEN lo AND hi), 0) / sum(w), 8) AS weighted_share
     FROM w, b2 GROUP BY band""",
 )
 def mix_summary(spark, path):
-    return arms.mix_summary(t.shard(spark, path), "size", 200, 3.0, "0-49,50-99,100-199,200+")
+    return arms.mix_summary(t.corpus(spark, path), "size", 200, 3.0, "0-49,50-99,100-199,200+")
 
 
 # ----------------------------------------------------------- pools and leakage
 
 # Two shards over one corpus: the small one is the first 300 of the shuffle order.
-_NESTED = f"""{_KEPT}, rk AS (SELECT *, row_number() OVER (ORDER BY order_key, item_id) AS rank
+_NESTED = f"""{_CORPUS}, rk AS (SELECT *, row_number() OVER (ORDER BY order_key, item_id) AS rank
     FROM kept),
   small AS (SELECT *, {v.hb("'sm:' || item_id", 10)} = 0 AS held FROM rk WHERE rank <= 300),
   big AS (SELECT *, {v.hb("'bg:' || item_id", 10)} = 0 AS held FROM rk)"""
@@ -343,7 +345,7 @@ _NESTED = f"""{_KEPT}, rk AS (SELECT *, row_number() OVER (ORDER BY order_key, i
 def _nested(spark, path):
     from ..functions.hashing import hash_bucket
 
-    rows = t.shard(spark, path).select("item_id", "digest", "size", "order_key", "canonical")
+    rows = t.corpus(spark, path).select("item_id", "digest", "size", "order_key", "canonical")
     small = order.nested_prefix(rows, "order_key", "item_id", 300).drop("rank")
     return (
         small.withColumn("held", hash_bucket(10, "sm", F.col("item_id")) == 0),
@@ -451,14 +453,14 @@ def pool_concat(spark, path):
 # --------------------------------------------------------------------- tokens
 
 _PIECES = "regexp_extract_all(canonical, '[a-z]+|[0-9]+|[^a-z0-9]')"
-_VOCAB = f"""{_KEPT}, tk AS (SELECT item_id, unnest({_PIECES}) AS token,
+_VOCAB = f"""{_CORPUS}, tk AS (SELECT item_id, unnest({_PIECES}) AS token,
     generate_subscripts({_PIECES}, 1) AS p FROM kept),
   vc AS (SELECT token, count(*) AS n FROM tk GROUP BY token HAVING count(*) >= 2),
   vocab AS (SELECT token, n, row_number() OVER (ORDER BY encode(token)) + 3 AS id FROM vc)"""
 
 
 def _vocab(spark, path):
-    rows = t.shard(spark, path).select("item_id", "canonical", "lang")
+    rows = t.corpus(spark, path).select("item_id", "canonical", "lang")
     tokens = rows.withColumn("tokens", tx.tokenize(F.col("canonical")))
     return tokens, tx.build_vocabulary(tokens, "tokens", 2)
 
@@ -474,11 +476,11 @@ def vocab_build(spark, path):
 
 @query(
     "tokenize_lossless",
-    f"""WITH {_KEPT} SELECT item_id, len({_PIECES}) AS n_tokens,
+    f"""WITH {_CORPUS} SELECT item_id, len({_PIECES}) AS n_tokens,
     array_to_string({_PIECES}, '') = canonical AS lossless FROM kept""",
 )
 def tokenize_lossless(spark, path):
-    rows = t.shard(spark, path)
+    rows = t.corpus(spark, path)
     tokens = tx.tokenize(F.col("canonical"))
     return rows.select(
         "item_id",
@@ -521,20 +523,22 @@ def decode(spark, path):
 
 @query(
     "token_dataset",
-    f"""WITH {_IDS}, l AS (SELECT item_id, lang, ids[1:64] AS tokens FROM ids JOIN kept USING (item_id)),
+    f"""WITH {_IDS}, l AS (SELECT item_id, lang, c AS chunk, ids[c * 64 + 1:c * 64 + 64] AS tokens
+      FROM (SELECT *, unnest(range((len(ids) + 63) // 64)) AS c FROM ids) JOIN kept USING (item_id)),
     w AS (SELECT lang, max(len(tokens)) AS width FROM l GROUP BY lang)
-    SELECT item_id, width::INT AS width, len(tokens)::INT AS n_real,
+    SELECT item_id, chunk::INT AS chunk, width::INT AS width, len(tokens)::INT AS n_real,
       md5(array_to_string(list_concat(tokens, list_transform(range(len(tokens), width),
         lambda i: 0::BIGINT)), ',')) AS tokens_digest FROM l JOIN w USING (lang)""",
 )
 def token_dataset(spark, path):
-    """Encoded rows cut at 64 ids and padded to the longest row of their batch."""
-    rows = t.shard(spark, path).select("item_id", "canonical", "lang")
+    """Encoded rows in chunks of 64 ids, padded to the longest chunk of their batch."""
+    rows = t.corpus(spark, path).select("item_id", "canonical", "lang")
     padded, _ = plans.token_dataset(
         rows, "canonical", min_count=2, max_tokens=64, batch="lang"
     )
     return padded.select(
         "item_id",
+        "chunk",
         "width",
         F.size(F.filter("mask", lambda m: m)).alias("n_real"),
         F.md5(F.concat_ws(",", F.col("tokens").cast("array<string>"))).alias("tokens_digest"),

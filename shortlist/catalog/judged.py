@@ -171,13 +171,15 @@ def pool_arms(spark, path):
 
 @query(
     "draws_to_fill",
-    _sql(""", firsts AS (SELECT run, query_id, canonical, min(pos) AS fp FROM judged
-        WHERE valid GROUP BY ALL),
+    _sql(""", drawn AS (SELECT run, query_id, raw,
+        row_number() OVER (PARTITION BY run, query_id ORDER BY ord, raw) - 1 AS pos FROM raw_c),
+      firsts AS (SELECT run, query_id, raw % 40 AS canonical, min(pos) AS fp FROM drawn
+        WHERE raw % 11 <> 0 GROUP BY ALL),
       ranked_f AS (SELECT *, row_number() OVER (PARTITION BY run, query_id ORDER BY fp) AS rn
         FROM firsts),
       kth AS (SELECT run, query_id, max(rn) AS held, max(fp) AS kth_pos FROM ranked_f
         WHERE rn <= 10 GROUP BY ALL),
-      base AS (SELECT DISTINCT run, query_id FROM judged),
+      base AS (SELECT run, query_id FROM queries),
       n AS (SELECT b.run, b.query_id, k.held,
         greatest(ceil((k.kth_pos + 1 - 8) / 4.0), 0) AS need
         FROM base b LEFT JOIN kth k USING (run, query_id))
@@ -188,7 +190,9 @@ def pool_arms(spark, path):
 )
 def draws_to_fill(spark, path):
     """Eight draws first, four per top-up, at most twenty, for ten distinct items."""
-    return judge.draws_to_fill(t.judged(spark, path), 10, first_round=8, round_size=4, cap=20)
+    return judge.draws_to_fill(
+        t.raw_draws(spark, path), 10, first_round=8, round_size=4, cap=20, queries=t.queries(spark, path)
+    )
 
 
 # ------------------------------------------------------------------- metrics
@@ -1282,8 +1286,8 @@ def grid_summary(spark, path):
     _sql(
         """, cs AS (SELECT c_custkey AS query_id, c_mktsegment AS g, c_nationkey < 13 AS train
         FROM customer),
-      known AS (SELECT DISTINCT g || ':' || (query_id % 7) AS gk FROM cs WHERE train AND query_id % 3 = 0 AND query_id % 40 < 7),
-      p AS (SELECT query_id, (g || ':' || (query_id % 7)) IN (SELECT gk FROM known) AS seen
+      known AS (SELECT DISTINCT g || ':' || (query_id % 397) AS gk FROM cs WHERE train),
+      p AS (SELECT query_id, (g || ':' || (query_id % 397)) IN (SELECT gk FROM known) AS seen
         FROM cs WHERE NOT train),
       s AS (SELECT run, seen, avg(coalesce(rank_gen_fp < 20, false)::INT) AS r, count(*) AS n
         FROM summary JOIN p USING (query_id) WHERE fp_unseen GROUP BY run, seen)
@@ -1298,14 +1302,13 @@ def group_novelty_penalty(spark, path):
     """Recovery of queries whose group training knows, against the others."""
     from ..operators.retrieve import group_novelty
 
-    q = F.col("query_id")
     people = t.table(spark, path, "customer").select(
         F.col("c_custkey").alias("query_id"),
-        F.concat_ws(":", F.col("c_mktsegment"), (F.col("c_custkey") % 7).cast("string")).alias("g"),
+        F.concat_ws(":", F.col("c_mktsegment"), (F.col("c_custkey") % 397).cast("string")).alias("g"),
         (F.col("c_nationkey") < 13).alias("train"),
     )
     flagged = group_novelty(
-        people.filter(~F.col("train")), people.filter(F.col("train") & (q % 3 == 0) & (q % 40 < 7)), "g"
+        people.filter(~F.col("train")), people.filter("train"), "g"
     )
     return protocols.novelty_penalty(
         _summary(spark, path).join(flagged.select("query_id", "group_seen"), "query_id"), 20

@@ -155,8 +155,7 @@ def size_bias_queries(
     """Per query: mean proposal size, the closest size, and how many are right-sized."""
     rows = _sized_proposals(queries, judged, k, budget)
     off = F.abs(F.col("cand_size") - F.col("size")).cast("long")
-    # At most k rows per query are left; distance first, then position, as one long.
-    nearness = F.shiftleft(off, 40) + F.col("first_pos")
+    nearness = F.struct(off.alias("off"), F.col("first_pos").alias("pos"))
     right = F.col("cand_size") == F.col("size")
     return rows.groupBy(*QUERY, "size").agg(
         (F.max("fp_match") == 1).alias("hit"),

@@ -132,7 +132,7 @@ def mix_summary(items: DataFrame, size: str, threshold: int, factor: float, band
     hist = items.groupBy(s.alias("s")).agg(F.count(F.lit(1)).alias("n"))
     w = F.when(F.col("s") >= threshold, F.lit(float(factor))).otherwise(F.lit(1.0))
     rows = hist.withColumn("w", w * F.col("n"))
-    groups = [(b.label, F.col("s").between(b.lo, b.hi)) for b in parse_bands(bands)]
+    groups = [(b.label, b.holds(F.col("s"))) for b in parse_bands(bands)]
     groups.append(("at_or_above_threshold", F.col("s") >= threshold))
     cells = F.array(
         *[

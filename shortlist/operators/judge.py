@@ -112,6 +112,16 @@ def is_scored(budget: str) -> Column:
     return (F.col("valid") & fresh) if budget == "molecules" else fresh
 
 
+#: An item by its canonical form, or an invalid row by its position: two columns, so that no
+#: canonical form can be taken for a position.
+SLOT = ("__slot", "__alone")
+
+
+def slot_keys() -> list[Column]:
+    item = F.when(F.col("valid"), F.col("canonical"))
+    return [item.alias(SLOT[0]), F.when(item.isNull(), F.col("pos")).alias(SLOT[1])]
+
+
 def proposals(judged: DataFrame, budget: str = "molecules") -> DataFrame:
     """One row per proposed item: its first position, its votes, its verdict.
 
@@ -120,16 +130,11 @@ def proposals(judged: DataFrame, budget: str = "molecules") -> DataFrame:
     """
     _check(budget, BUDGETS, "budget")
     rows = judged.filter(F.col("pos").isNotNull())
-    slot = F.coalesce(
-        F.when(F.col("valid"), F.col("canonical")),
-        F.concat(F.lit("#"), F.col("pos").cast("string")),
-    )
     if budget == "molecules":
         rows = rows.filter("valid")
-        slot = F.col("canonical")
     return (
-        rows.withColumn("__slot", slot)
-        .groupBy(*QUERY, "__slot")
+        rows.select("*", *slot_keys())
+        .groupBy(*QUERY, *SLOT)
         .agg(
             F.min("pos").alias("first_pos"),
             F.count_if(F.col("valid") & F.col("canonical").isNotNull()).alias("votes"),
@@ -138,7 +143,8 @@ def proposals(judged: DataFrame, budget: str = "molecules") -> DataFrame:
             F.max("tanimoto").alias("tanimoto"),
             F.max("cand_size").alias("cand_size"),
         )
-        .withColumnRenamed("__slot", "canonical")
+        .withColumn("canonical", F.coalesce("__slot", F.concat(F.lit("#"), F.col("__alone").cast("string"))))
+        .drop(*SLOT)
     )
 
 
@@ -204,11 +210,13 @@ def pool_arms(judged: DataFrame, arms: Sequence[str], pooled_run: str = "pooled"
     return mark_duplicates(raw_dedup(widened))
 
 
-def draws_to_fill(draws: DataFrame, k: int, first_round: int, round_size: int, cap: int):
+def draws_to_fill(
+    draws: DataFrame, k: int, first_round: int, round_size: int, cap: int, queries: DataFrame | None = None
+):
     """Rounds of sampling until k distinct valid items are held or the cap stops it.
 
     ``draws`` holds ``run, query_id, pos, canonical`` (canonical null when
-    invalid).  The answer needs only the k-th first occurrence, so the running
+    invalid) for raw draws, repeats included.  ``queries`` adds those without a draw.  The answer needs only the k-th first occurrence, so the running
     count is cut at k rows per query before the shuffle.
     """
     firsts = (
@@ -233,7 +241,7 @@ def draws_to_fill(draws: DataFrame, k: int, first_round: int, round_size: int, c
     stopped = F.when(
         (F.col("held") >= k) & (needed <= most_rounds), F.lit("filled")
     ).otherwise(F.lit("cap"))
-    base = draws.select(*QUERY).distinct()
+    base = (draws if queries is None else queries).select(*QUERY).distinct()
     return base.join(kth, list(QUERY), "left").select(
         *QUERY,
         F.coalesce(rounds, F.lit(most_rounds)).alias("topup_rounds"),

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .judge import BUDGETS, ORDERS, QUERY
+from .judge import BUDGETS, ORDERS, QUERY, SLOT, slot_keys
 
 SLICES = ("all", "fp_unseen")
 METRICS = {"recovery": "fp", "structure": "ex"}
@@ -27,15 +27,9 @@ def hit_rank_column(order: str, metric: str) -> str:
     return f"rank_{order[:3]}_{METRICS[metric]}"
 
 
-#: Positions stay below 2**40; votes take the bits above.
-POSITION_BITS = 40
-
-
 def consensus_weight() -> Column:
-    """More votes first, then the earlier position, as one long that grows with rank."""
-    return F.shiftleft(F.col("votes"), POSITION_BITS) + (
-        F.lit(2**POSITION_BITS - 1) - F.col("first_pos")
-    )
+    """More votes first, then the earlier position, as a pair that grows with rank."""
+    return F.struct(F.col("votes").alias("votes"), (-F.col("first_pos")).alias("early"))
 
 
 def item_table(judged: DataFrame, budget: str = "molecules") -> DataFrame:
@@ -47,17 +41,12 @@ def item_table(judged: DataFrame, budget: str = "molecules") -> DataFrame:
     """
     if budget not in BUDGETS:
         raise ValueError(f"unknown budget {budget!r}; expected one of {BUDGETS}")
-    keyed = judged.filter(F.col("pos").isNotNull()).withColumn(
-        "__slot",
-        F.when(F.col("valid"), F.col("canonical"))
-        if budget == "molecules"
-        else F.coalesce(
-            F.when(F.col("valid"), F.col("canonical")),
-            F.concat(F.lit("#"), F.col("pos").cast("string")),
-        ),
-    )
+    item, alone = slot_keys()
+    if budget == "molecules":
+        alone = F.lit(None).cast("long").alias(SLOT[1])
+    keyed = judged.filter(F.col("pos").isNotNull()).select("*", item, alone)
     votes = F.count_if(F.col("valid") & F.col("canonical").isNotNull())
-    return keyed.groupBy(*QUERY, "__slot").agg(
+    return keyed.groupBy(*QUERY, *SLOT).agg(
         F.min("pos").alias("first_pos"),
         votes.alias("votes"),
         F.max(F.col("fp_match").cast("int")).alias("fp"),
@@ -79,7 +68,7 @@ def query_summary(
     join but no sort of a query's candidates in one task.
     """
     items = item_table(judged, budget)
-    slot = F.col("__slot").isNotNull()
+    slot = F.col(SLOT[0]).isNotNull() | F.col(SLOT[1]).isNotNull()
     fp, ex = slot & (F.col("fp") == 1), slot & (F.col("ex") == 1)
     weight = consensus_weight()
     firsts = items.groupBy(*QUERY).agg(

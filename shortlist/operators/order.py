@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import ORDER_BITS, order_key, unit_interval
 
-BUCKET_BITS = 10
+#: Ranges of a global order: 10**11 rows come to some millions each.
+BUCKET_BITS = 14
 
 
 def _hash_range(key: Column, bits: int) -> Column:

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import stats
 from ..functions.bands import explode_bands
-from .judge import QUERY
-from .metrics import POSITION_BITS, consensus_weight
+from .judge import QUERY, SLOT, slot_keys
+from .metrics import consensus_weight
 
 # Fixed values.
 POLICY_BITS = 62
@@ -100,18 +100,15 @@ def hits_at_cost(
     A cap of ``None`` sees everything and is reported as -1.  Votes under every
     cap come out of one aggregation; the caps multiply proposals, not candidates.
     """
-    limits = [(-1, 2**POSITION_BITS) if c is None else (c, c) for c in caps]
+    limits = [(-1, None) if c is None else (c, c) for c in caps]
+    below = lambda c, limit: F.lit(True) if limit is None else F.col(c) < limit
     rows = judged.filter(F.col("pos").isNotNull())
     scored_rows = rows.filter("valid") if budget == "molecules" else rows
-    slot = F.coalesce(
-        F.when(F.col("valid"), F.col("canonical")),
-        F.concat(F.lit("#"), F.col("pos").cast("string")),
-    )
     votes = [
-        F.count_if((F.col("pos") < limit) & F.col("valid")).alias(f"v{i}")
+        F.count_if(below("pos", limit) & F.col("valid")).alias(f"v{i}")
         for i, (_, limit) in enumerate(limits)
     ]
-    props = scored_rows.groupBy(*QUERY, slot.alias("__slot")).agg(
+    props = scored_rows.select("*", *slot_keys()).groupBy(*QUERY, *SLOT).agg(
         F.min("pos").alias("first_pos"),
         F.max(F.col("fp_match").cast("int")).alias("fp_match"),
         *votes,
@@ -119,7 +116,7 @@ def hits_at_cost(
     per_cap = F.array(
         *[
             F.when(
-                F.col("first_pos") < limit,
+                below("first_pos", limit),
                 F.struct(F.lit(label).alias("cap"), F.col(f"v{i}").alias("votes")),
             )
             for i, (label, limit) in enumerate(limits)

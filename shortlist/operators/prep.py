@@ -264,8 +264,9 @@ def raised_cap_fates(
 
 
 def size_between(df: DataFrame, size: str, lo: int | None, hi: int | None, need: int = 0):
-    """Inclusive size filter; a pool smaller than ``need`` is an error."""
-    kept = df.filter(F.col(size).between(lo or 0, hi if hi is not None else 10**9))
+    """Inclusive size filter, a bound of None not tested; a pool smaller than ``need`` is an error."""
+    kept = df if lo is None else df.filter(F.col(size) >= lo)
+    kept = kept if hi is None else kept.filter(F.col(size) <= hi)
     if not need:
         return kept
     return kept.withColumn("__n", row_count(kept)).withColumn(

@@ -477,7 +477,7 @@ def multiset_bits(fmap: Column) -> Column:
                 F.map_entries(fmap),
                 lambda e: F.transform(
                     F.sequence(F.lit(1), e["value"]),
-                    lambda i: e["key"] * F.lit(2**20) + i.cast("long"),
+                    lambda i: F.xxhash64(e["key"], i),
                 ),
             )
         )

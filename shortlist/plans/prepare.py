@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,8 +80,9 @@ def write_shard(prepared: dict[str, DataFrame], path: str, *, overwrite: bool =
         try:
             spark.read.json(meta).schema
             return False
-        except Exception:  # noqa: BLE001 - an unreadable summary means the shard is not complete
-            pass
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":  # anything else may hide a complete shard
+                raise
     items = prepared["items"]
     write_splits(items, f"{path}/splits", mode="overwrite")
     write_splits(items, f"{path}/group_splits", column="group_split", mode="overwrite")
@@ -142,20 +144,27 @@ def token_dataset(
     item: str = "item_id",
     pattern: str = tx.TOKEN_PATTERN,
     min_count: int = 1,
-    max_tokens: int = 128,
+    max_tokens: int | None = 128,
     batch: str | None = None,
     vocab: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """``(rows, vocabulary)``: encoded, length-limited ids, padded per ``batch`` with a mask.
+    """``(rows, vocabulary)``: encoded ids in chunks, padded per ``batch`` with a mask.
 
+    A row holds at most ``max_tokens`` ids (all of an item's where it is None); what is
+    longer goes on in the item's next ``chunk``, so no id is lost.
     The batch width is an aggregate joined back, so no batch is gathered anywhere.
     """
     tokens = items.withColumn("__t", tx.tokenize_strict(F.col(text), pattern))
     words = vocab if vocab is not None else tx.build_vocabulary(tokens, "__t", min_count)
     encoded = tx.encode(tokens, item, "__t", words)
-    limited = encoded.withColumn(
-        "tokens", tx.limit_length(F.col("ids"), F.col("ids"), max_tokens)
-    ).drop("ids")
+    ids = F.col("ids")
+    chunks = F.array(ids) if max_tokens is None else F.transform(
+        F.sequence(F.lit(0), F.greatest(F.ceil(F.size(ids) / max_tokens) - 1, F.lit(0))),
+        lambda c: F.slice(ids, (c * max_tokens + 1).cast("int"), max_tokens),
+    )
+    limited = encoded.select(
+        *[F.col(c) for c in encoded.columns if c != "ids"], F.posexplode(chunks).alias("chunk", "tokens")
+    )
     if batch is None:
         return limited, words
     rows = limited.join(items.select(item, batch), item)

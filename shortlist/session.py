@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+#: Folders of local sessions without the setting, which a running session cannot be given.
+_LOCAL: dict[str, str] = {}
 
 
 def local_session(cores: int = 8, shuffle_partitions: int | None = None) -> SparkSession:
@@ -40,9 +42,16 @@ def shared_dir(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder shared by all executors")
-    path = tempfile.mkdtemp(prefix="spark-shortlist-")
-    spark.conf.set(CHECKPOINT_CONF, path)
-    return path
+    return _LOCAL.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="spark-shortlist-"))
+
+
+def is_complete(spark: SparkSession, folder: str) -> bool:
+    """Whether a writer finished ``folder``; any file system Spark reads will do.
+
+    Spark's readers pass over names that start with an underscore, so Hadoop is asked.
+    """
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

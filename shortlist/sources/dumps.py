@@ -7,15 +7,19 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .. import schemas
 from ..operators.guards import protocol
 from ..operators.judge import QUERY
+from ..session import is_complete
+
+_BROKEN = "__broken"
 
 
 def _stem() -> Column:
-    """File stem of the row's file: the run name."""
-    return F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)*$", 1)
+    """Name of the row's file without its last suffix: the run name."""
+    return F.regexp_replace(F.col("_metadata.file_name"), r"(?<=.)\.[^.]*$", "")
 
 
 def read_dumps(spark: SparkSession, path: str) -> DataFrame:
@@ -156,9 +160,12 @@ def read_histories(spark: SparkSession, path: str, slice_: str = "fp_unseen", k:
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
-    """Records in any number of appended files; blank and broken lines are skipped."""
-    lines = spark.read.schema(schemas.LEDGER).option("mode", "DROPMALFORMED").json(path)
-    return lines.filter(F.col("timestamp").isNotNull())
+    """Records in any number of appended files; blank and broken lines are skipped, and only those."""
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    schema = StructType([*schemas.LEDGER.fields, StructField(_BROKEN, StringType())])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BROKEN}
+    rows = lines.select(F.from_json("value", schema, options).alias("r")).select("r.*")
+    return rows.filter(F.col(_BROKEN).isNull()).drop(_BROKEN)
 
 
 def append_ledger(records: DataFrame, path: str) -> None:
@@ -188,13 +195,16 @@ def read_vocabulary(spark: SparkSession, path: str, specials: Sequence[str]) ->
     )
 
 
-def cached_mask(mask: DataFrame, path: str, config_id: str) -> DataFrame:
-    """A seen/unseen mask stored per feature configuration.
+def cached_mask(
+    mask: DataFrame, path: str, config_id: str, split: str = "all", grouping: str = "none"
+) -> DataFrame:
+    """A seen/unseen mask stored per feature configuration, split and grouping.
 
-    Written once per configuration and read back by partition, so another
-    configuration's mask is never picked up.
+    Written once for each of these, so no other mask is ever picked up.  A folder that was
+    left half written is written again.
     """
     spark = mask.sparkSession
-    folder = f"{path}/config_id={config_id}"
-    mask.write.mode("ignore").parquet(folder)
-    return spark.read.parquet(folder)
+    folder = f"{path}/config_id={config_id}/split={split}/grouping={grouping}"
+    if not is_complete(spark, folder):
+        mask.write.mode("overwrite").parquet(folder)
+    return spark.read.schema(mask.schema).parquet(folder)

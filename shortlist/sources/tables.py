@@ -12,13 +12,13 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.features import FeatureConfig, feature_set, set_key
 from ..functions.hashing import hash_bucket, hex_long, order_key, text_key
 from ..operators.guards import protocol
+from ..operators.order import rank_in_ranges
 from ..operators.prep import (
     StandardizeConfig,
     compute_once,
@@ -27,11 +27,13 @@ from ..operators.prep import (
     standard_rules,
     with_digest,
 )
-from ..session import shared_dir
+from ..session import is_complete, shared_dir
 
 RUNS = ("s1", "s2", "s3")
 ALL_RUNS = ("s1", "s2", "s3", "s4", "s5")
 DIGITS_PER_RUN = 6
+#: A run takes a line whose two hex digits for it are below this.
+GATE = 179
 BANDS = "0-12,13-25,26-38,39-51,52+,26+,all"
 ELEMENTARY = "0-12,13-25,26-38,39-51,52+"
 TEXT_BANDS = "0-49,50-99,100-199,200-399,400-799,800+,200+,all"
@@ -57,7 +59,8 @@ def canonical_text(text: Column) -> Column:
 
 
 def word_tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit("([a-z]+)"), F.lit(1))
+    """Runs of letters and digits of any script, in lower case."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
 def documents(spark: SparkSession, path: str) -> DataFrame:
@@ -123,7 +126,9 @@ def query_size(query: Column) -> Column:
 
 
 def raw_candidates(spark: SparkSession, path: str, runs: Sequence[str] = RUNS) -> DataFrame:
-    """``run, query_id, raw, ord``: order lines drawn for each run, repeats included.
+    """``run, query_id, raw, ord``: order lines dealt to runs, repeats included.
+
+    Each run takes about seven of ten lines; what none takes goes to the first.
 
     One digest per order line serves every run; each run reads its own hex digits.
     """
@@ -136,7 +141,9 @@ def raw_candidates(spark: SparkSession, path: str, runs: Sequence[str] = RUNS) -
     orders = table(spark, path, "orders").select(
         F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("query_id")
     )
-    orders = orders.filter(hash_bucket(20, "none", F.col("query_id")) != 0)
+    untaken = F.lit(True)
+    for i in range(len(ALL_RUNS)):
+        untaken = untaken & (hex_long(F.col("h"), 1 + DIGITS_PER_RUN * i, 2) >= GATE)
     draws = F.array(
         *[
             F.struct(
@@ -149,12 +156,23 @@ def raw_candidates(spark: SparkSession, path: str, runs: Sequence[str] = RUNS) -
     )
     return (
         line.join(orders, "l_orderkey")
-        .select("query_id", "raw", F.explode(draws).alias("d"))
-        .filter(F.col("d.gate") < 179)
+        .select("query_id", "raw", untaken.alias("untaken"), F.explode(draws).alias("d"))
+        .filter((F.col("d.gate") < GATE) | (F.col("untaken") & (F.col("d.run") == ALL_RUNS[0])))
         .select("d.run", "query_id", "raw", "d.ord")
     )
 
 
+def raw_draws(spark: SparkSession, path: str, runs: Sequence[str] = RUNS) -> DataFrame:
+    """Every draw with its position, repeats counted; ``canonical`` is null for invalid ones."""
+    raw = F.col("raw")
+    placed = rank_in_ranges(
+        raw_candidates(spark, path, runs), F.floor(F.col("ord") / 64), [F.col("ord"), raw], by=["run", "query_id"]
+    )
+    return placed.select(
+        "run", "query_id", (F.col("rank") - 1).alias("pos"), F.when(raw % 11 != 0, (raw % 40).cast("string")).alias("canonical")
+    )
+
+
 def _distinct_candidates(spark: SparkSession, path: str, runs: Sequence[str]) -> DataFrame:
     """First draw of every raw value and how often it was drawn: at most 120 rows per query."""
     return (
@@ -246,15 +264,13 @@ def _stored(spark: SparkSession, path: str, name: str, derive) -> DataFrame:
 
     Scored candidates are a stored fact table that every report reads; deriving
     them again for each report would repeat the widest join of the folder.  A
-    table that has gone missing is built again.
+    table that is missing or half written is built again.
     """
     key = f"{spark.sparkContext.applicationId}/{path}/{name}"
     digest = hashlib.md5(key.encode()).hexdigest()[:16]
     folder = f"{shared_dir(spark)}/shortlist-{name}-{digest}"
-    try:
+    if is_complete(spark, folder):
         return spark.read.parquet(folder)
-    except AnalysisException:
-        pass
     derive().write.mode("overwrite").parquet(folder)
     return spark.read.parquet(folder)
 
@@ -305,8 +321,15 @@ def shard(spark: SparkSession, path: str) -> DataFrame:
     return _stored(spark, path, "shard", derive)
 
 
+def corpus(spark: SparkSession, path: str) -> DataFrame:
+    """The stored first of every canonical text in shuffle order, whatever its size or language."""
+    return _stored(
+        spark, path, "corpus", lambda: first_seen(items(spark, path), "digest", ["order_key", "item_id"])
+    )
+
+
 def trace(spark: SparkSession, path: str) -> DataFrame:
-    """One evaluation per event type and day, every fifth one missing."""
+    """One evaluation per event type and day."""
     events = table(spark, path, "events")
     step = (F.datediff(F.col("ts"), F.lit("2024-01-01").cast("date")) + 1).cast("long")
     by_day = events.groupBy(F.col("event_type").alias("run"), step.alias("step")).agg(
@@ -314,8 +337,7 @@ def trace(spark: SparkSession, path: str) -> DataFrame:
         F.avg("value").alias("mean_value"),
     )
     return (
-        by_day.filter(hash_bucket(5, "t", F.col("run"), F.col("step")) != 0)
-        .withColumn("epoch", F.floor((F.col("step") - 1) / 5))
+        by_day.withColumn("epoch", F.floor((F.col("step") - 1) / 5))
         .withColumn(
             "recovery",
             F.round(1.0 - (1.0 - F.col("share")) * F.pow(F.col("step"), F.lit(-0.3)), 6),

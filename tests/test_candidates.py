@@ -170,3 +170,12 @@ def test_equal_spend(make):
     m = ensembles.rank_matrix(metrics.query_summary(q, j), ["a", "b"])
     got = {r["n_runs"]: r["recovery"] for r in ensembles.equal_spend(m, 2, 20, "all").collect()}
     assert got == {1: 1.0, 2: 0.0}
+
+
+def test_invalid_row_and_item_named_like_it_are_two_slots(make):
+    from shortlist.operators.judge import proposals
+    from shortlist.operators.metrics import query_summary
+
+    queries, judged = make({("a", 1): dict(cands=[("x", "#1", False, False), ("bad", None, False, False)])})
+    assert proposals(judged, "strings").count() == 2
+    assert query_summary(queries, judged, "strings").first().n_scored == 2

@@ -281,6 +281,40 @@ def test_ledger_skips_broken_lines(spark, tmp_path):
     assert dumps.read_ledger(spark, str(path)).count() == 2
 
 
+def test_ledger_keeps_records_without_a_timestamp(spark, tmp_path):
+    path = tmp_path / "ledger.jsonl"
+    path.write_text('{"note": "a"}\n  \n{"timestamp": "t", "note": "b"}\n{"note": \n')
+    assert {r.note for r in dumps.read_ledger(spark, str(path)).collect()} == {"a", "b"}
+
+
+def test_run_names_lose_the_last_suffix_only(spark, tmp_path):
+    for name in ("t.04", "t.06"):
+        (tmp_path / f"{name}.jsonl").write_text('{"reference": "r", "fp_unseen": true, "n_samples": 0, "results": []}\n')
+    assert {r.run for r in dumps.read_dumps(spark, str(tmp_path)).collect()} == {"t.04", "t.06"}
+
+
+def test_half_written_mask_is_written_again(spark, tmp_path):
+    mask = spark.createDataFrame([(1, True)], "q long, u boolean")
+    dumps.cached_mask(mask, str(tmp_path), "aa")
+    for f in tmp_path.rglob("_SUCCESS"):
+        f.unlink()
+    for f in tmp_path.rglob(".*_SUCCESS*"):
+        f.unlink()
+    other = spark.createDataFrame([(2, False)], "q long, u boolean")
+    assert dumps.cached_mask(other, str(tmp_path), "aa").first()["q"] == 2
+
+
+def test_chunks_keep_every_id(spark):
+    rows = spark.createDataFrame([(1, "a b c d e f g"), (2, "a")], "item_id long, text string")
+    chunked, _ = prepare.token_dataset(rows, "text", max_tokens=4)
+    whole, _ = prepare.token_dataset(rows, "text", max_tokens=None)
+    joined = {}
+    for r in chunked.orderBy("item_id", "chunk").collect():
+        assert len(r.tokens) <= 4
+        joined[r.item_id] = joined.get(r.item_id, []) + r.tokens
+    assert joined == {r.item_id: r.tokens for r in whole.collect()}
+
+
 def test_mask_cache_is_per_config(spark, tmp_path):
     one = spark.createDataFrame([(1, True)], "q long, u boolean")
     two = spark.createDataFrame([(1, False)], "q long, u boolean")
@@ -288,3 +322,5 @@ def test_mask_cache_is_per_config(spark, tmp_path):
     assert dumps.cached_mask(one, base, "aa").first()["u"] is True
     assert dumps.cached_mask(two, base, "aa").first()["u"] is True
     assert dumps.cached_mask(two, base, "bb").first()["u"] is False
+    assert dumps.cached_mask(two, base, "aa", split="valid").first()["u"] is False
+    assert dumps.cached_mask(two, base, "aa", grouping="source").first()["u"] is False

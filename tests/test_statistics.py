@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shortlist.functions import stats
-from shortlist.functions.bands import parse_arm, parse_band
+from shortlist.functions.bands import Band, parse_arm, parse_band
 from shortlist.operators import anatomy, arms, curves, registration
 
 
@@ -49,7 +49,7 @@ def test_mcnemar_and_se_guards(spark):
 
 def test_bands_and_arms():
     assert (parse_band("30-34").lo, parse_band("30-34").hi) == (30, 34)
-    assert parse_band("35+").lo == 35 and parse_band("all").lo == 0
+    assert parse_band("35+") == Band("35+", 35) and parse_band("all") == Band("all")
     assert parse_arm("mix=a,b@rec.json") == parse_arm("mix=a,b@rec.json")
     assert parse_arm("mix=a,b@rec.json").record == "rec.json"
     with pytest.raises(ValueError):
@@ -198,3 +198,23 @@ def test_anatomy_uses_raw_slots(make):
     slots = anatomy.raw_slots(q, j, 2)
     assert anatomy.miss_anatomy(slots, 2, "all").first()["recovery"] == 0
     assert anatomy.raw_slots(q, j, 3).first()["fp_rank"] == 3
+
+
+def test_bands_have_no_hidden_bounds(spark):
+    from shortlist.functions.bands import explode_bands
+    from shortlist.operators.prep import size_between
+
+    df = spark.createDataFrame([(1_500_000,), (None,), (-3,)], "size long")
+    got = {(r.size, r.band) for r in explode_bands(df, "size", "50+,0-9,all").collect()}
+    assert got == {(1_500_000, "50+"), (1_500_000, "all"), (None, "all"), (-3, "all")}
+    assert size_between(df, "size", None, None).count() == 3
+    assert size_between(df, "size", None, 10).count() == 1
+
+
+def test_arm_grammar():
+    import pytest
+
+    assert parse_arm("a=r1,,r2@x").runs == ("r1", "r2") and parse_arm("a=r1@").record is None
+    for bad in ("a", "a=", "a=,", "a=@x", "5-", "x+"):
+        with pytest.raises(ValueError):
+            (parse_band if bad[0] in "5x" else parse_arm)(bad)
