@@ -199,8 +199,10 @@ def fitted_dictionary(payloads: DataFrame) -> bytes:
     """Dictionary from a bounded sample of ``payload``; empty where the sample is too small for one."""
     import zstandard
 
-    sample = payloads.orderBy(F.xxhash64("payload"), F.octet_length("payload")).limit(SAMPLE)
-    rows = sample.select(F.substring("payload", 1, SAMPLE_BYTES).alias("p")).collect()  # SAMPLE x SAMPLE_BYTES at most
+    hashed = payloads.select(F.xxhash64("page_id", "payload").alias("h"), F.substring("payload", 1, SAMPLE_BYTES).alias("p"))
+    most = hashed.select("h").orderBy("h").limit(SAMPLE).agg(F.max("h")).first()[0]  # numbers only leave the tasks
+    sample = hashed.where(F.col("h") <= most).dropDuplicates(["h"]) if most is not None else hashed.limit(0)
+    rows = sample.orderBy("h").limit(SAMPLE).collect()  # SAMPLE x SAMPLE_BYTES at most
     samples = [record(0, "http://x.example/", bytes(r.p), None, False) for r in rows]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
@@ -288,4 +290,4 @@ def read(manifest: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=_RECORD)
 
-    return manifest.select("name", "records").repartition(F.col("name")).mapInArrow(records, RECORD)
+    return manifest.select("name", "records").repartition(max(1, manifest.count())).mapInArrow(records, RECORD)
