@@ -1,30 +1,32 @@
 """Structured Streaming jobs: incremental judging, arriving items, live ledger, bounded sample.
 
 Each job takes a streaming DataFrame and either returns one or starts a query
-whose output is a table.  Outputs are safe to restart: file sinks commit through
-the checkpoint, and ``foreachBatch`` writes one folder per batch id.
+whose output is a table.  A job with a ``folder`` keeps output and checkpoint there and
+goes on where it stopped: file sinks commit through the checkpoint, and ``foreachBatch``
+writes one folder per batch id.  Without one it starts afresh in a folder of its own.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashing import order_key
-from ..session import shared_dir
+from ..session import is_complete, shared_dir
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/shortlist-stream-{name}-{uuid.uuid4().hex}"
+def _folders(spark: SparkSession, name: str, folder: str | None) -> tuple[str, str]:
+    """Where output and checkpoint lie."""
+    base = folder or f"{shared_dir(spark)}/shortlist-stream-{name}-{uuid.uuid4().hex}"
+    return f"{base}/out", f"{base}/state"
 
 
-def run_to_end(stream: DataFrame, name: str, **options) -> DataFrame:
+def run_to_end(stream: DataFrame, name: str, folder: str | None = None, **options) -> DataFrame:
     """Process everything available through a parquet sink and return the table."""
     spark = stream.sparkSession
-    out, state = _folder(spark, name), _folder(spark, f"{name}-state")
+    out, state = _folders(spark, name, folder)
     query = (
         stream.writeStream.format("parquet")
         .option("path", out)
@@ -53,9 +55,9 @@ def incremental_judging(
     ``draws`` holds ``run, query_id, draw, raw, canonical`` and an event time.
     The output adds
     ``duplicate``, the running ``n_filled`` and ``wants_more``, which turns false
-    when k slots are filled or ``cap`` draws are spent.  A query stops drawing
-    at the cap, so its state stays below ``cap`` strings; state idle in event time
-    expires.
+    when k slots are filled or ``cap`` draws are spent.  A query's state is its distinct
+    strings: below ``cap`` if the sampler stops when told to, and as many as it sends if
+    not, since no draw is thrown away.  State idle in event time expires.
     Judging comes after this, on the rows that are left.
     """
     schema = (
@@ -126,10 +128,10 @@ def live_ledger(records: DataFrame) -> DataFrame:
     )
 
 
-def run_ledger(records: DataFrame) -> DataFrame:
+def run_ledger(records: DataFrame, folder: str | None = None) -> DataFrame:
     """Run the live ledger over everything available; each batch replaces the table."""
     spark = records.sparkSession
-    out, state = _folder(spark, "ledger"), _folder(spark, "ledger-state")
+    out, state = _folders(spark, "ledger", folder)
 
     def replace(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
@@ -148,24 +150,24 @@ def run_ledger(records: DataFrame) -> DataFrame:
     return table.filter(F.col("batch") == latest).drop("batch")
 
 
-def bounded_sample(items: DataFrame, n: int, seed: str, item: str) -> DataFrame:
+def bounded_sample(items: DataFrame, n: int, seed: str, item: str, folder: str | None = None) -> DataFrame:
     """Uniform sample of ``n`` rows of a stream: the n smallest hashes seen so far.
 
     The same rows come out whatever the batches were, and a batch that is run
-    again replaces its own folder.
+    again replaces its own folder.  A batch whose predecessor is missing is an error.
     """
     spark = items.sparkSession
-    out, state = _folder(spark, "sample"), _folder(spark, "sample-state")
+    out, state = _folders(spark, "sample", folder)
     fields = items.schema
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         keyed = batch.withColumn("__h", order_key(seed, F.col(item)))
         merged = keyed.select("*", F.lit(1).cast("long").alias("__seen"))
-        try:
-            earlier = batch.sparkSession.read.parquet(f"{out}/batch={batch_id - 1}")
-            merged = merged.unionByName(earlier)
-        except AnalysisException:
-            pass
+        if batch_id:
+            earlier = f"{out}/batch={batch_id - 1}"
+            if not is_complete(batch.sparkSession, earlier):
+                raise RuntimeError(f"the sample before batch {batch_id} is missing: {earlier}")
+            merged = merged.unionByName(batch.sparkSession.read.parquet(earlier))
         total = merged.agg(F.sum("__seen").alias("s")).scalar()
         first = merged.orderBy("__h", item).limit(n).withColumn("__total", total)
         # The rows read so far ride on one row of the sample.
@@ -181,8 +183,8 @@ def bounded_sample(items: DataFrame, n: int, seed: str, item: str) -> DataFrame:
         .start()
     )
     query.awaitTermination()
-    last = query.lastProgress["batchId"] if query.lastProgress else 0
-    table = spark.read.parquet(f"{out}/batch={last}")
+    last = spark.read.parquet(out).agg(F.max("batch")).scalar()
+    table = spark.read.parquet(out).filter(F.col("batch") == last).drop("batch")
     seen = table.agg(F.sum("__seen").alias("s")).scalar()
     return table.withColumn("stream_length", seen).select(
         *[f.name for f in fields], "stream_length"

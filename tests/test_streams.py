@@ -35,3 +35,33 @@ def test_incremental_judging_keeps_state_between_rounds(spark, tmp_path):
         ("r0", False, 0, True), ("r1", False, 1, True), ("r2", False, 2, True),
         ("r3", False, 3, False), ("r4", True, 3, False), ("r5", True, 3, False),
     ]
+
+
+def test_jobs_go_on_where_they_stopped(spark, tmp_path):
+    path, seen = str(tmp_path / "in"), []
+    for lo, hi in ((0, 100), (100, 300)):
+        spark.range(lo, hi).withColumnRenamed("id", "item").coalesce(1).write.mode("append").parquet(path)
+        stream = lambda: spark.readStream.schema("item long").option("maxFilesPerTrigger", 1).parquet(path)
+        sample = jobs.bounded_sample(stream(), 20, "s", "item", folder=str(tmp_path / "sample"))
+        seen.append({r["stream_length"] for r in sample.collect()})
+        table = jobs.run_to_end(stream(), "t", folder=str(tmp_path / "table"))
+        assert table.count() == hi
+    assert seen == [{100}, {300}]
+    again = jobs.bounded_sample(stream(), 20, "s", "item", folder=str(tmp_path / "sample"))
+    whole = jobs.bounded_sample(stream(), 20, "s", "item")
+    assert {r["item"] for r in again.collect()} == {r["item"] for r in whole.collect()}
+
+
+def test_missing_earlier_sample_is_an_error(spark, tmp_path):
+    import shutil
+
+    import pytest
+
+    path, folder = str(tmp_path / "in"), str(tmp_path / "sample")
+    read = lambda: spark.readStream.schema("item long").parquet(path)
+    spark.range(10).withColumnRenamed("id", "item").write.parquet(path)
+    jobs.bounded_sample(read(), 5, "s", "item", folder=folder)
+    shutil.rmtree(f"{folder}/out/batch=0")
+    spark.range(10, 20).withColumnRenamed("id", "item").write.mode("append").parquet(path)
+    with pytest.raises(Exception, match="missing"):
+        jobs.bounded_sample(read(), 5, "s", "item", folder=folder)
