@@ -3,7 +3,7 @@
 A text is cut where the tokenizer would cut it anyway, before it looks at words: between a
 character that is not white space and a single space followed by another such character.  The
 pieces are encoded by the library once per worker and kept, so frequent words cost a lookup.
-The kept pieces are bounded; when they exceed ``KEEP`` the worker starts over.
+The kept pieces are bounded: beyond ``KEEP`` those that were used once go.
 """
 
 from __future__ import annotations
@@ -11,16 +11,20 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 
-KEEP = 400_000
-BATCH = 256
+KEEP = 800_000
+#: Texts that are looked up together, and new pieces that are encoded as one text.
+BATCH = 1024
+RUN = 256
 CHUNK = 1 << 20
 
 _GAP = re.compile(r"(?<=\S) (?=\S)")
 _BEFORE_GAP = re.compile(r"(?<=\S)(?= \S)")
+_OTHER_SPACE = re.compile(r"[^\S \n]")
+_REPEATED = ("  ", "\n\n", " \n", "\n ")
 _CONTROL_SPACE = re.compile("[\x1c-\x1f]")
 _CASED_BY_CONTEXT = re.compile("[\u03a3\u0130]")
 #: A single one of these behind a letter or digit is a token of its own.
@@ -47,7 +51,7 @@ def byte_keys(text: str) -> list[str]:
     if not text:
         return []
     body = text[1:] if text[0] == " " else text
-    if body.replace("\n", " ").split(" ") != body.split():  # other or repeated white space
+    if body[:1] in " \n" or body[-1:] in " \n" or any(x in body for x in _REPEATED) or _OTHER_SPACE.search(body):
         return ["\r" + piece for piece in _BEFORE_GAP.split(text)]
     keys = body.replace("\n", " \n").split(" ")
     if body is text:
@@ -66,6 +70,22 @@ def word_keys(text: str) -> list[str]:
     return (text if _CASED_BY_CONTEXT.search(text) else text.lower()).split()
 
 
+class _Growing:
+    """An array that is added to at the end."""
+
+    def __init__(self, kind: type, values: np.ndarray | tuple = ()):
+        self.data = np.zeros(max(1024, 2 * len(values)), kind)
+        self.size = 0
+        self.add(values)
+
+    def add(self, values) -> None:
+        end = self.size + len(values)
+        if end > len(self.data):
+            self.data = np.concatenate([self.data, np.zeros(max(len(self.data), len(values)), self.data.dtype)])
+        self.data[self.size : end] = values
+        self.size = end
+
+
 class Encoder:
     """``between`` parts pieces that are encoded in one go; it is one token, and pieces with a
     character of it are encoded singly."""
@@ -77,51 +97,73 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.keys, self.unit, self.between = keys, unit, between
         (self.mark,) = self._plain([between])[0]
-        self.stops = {c: np.uint32(i) for c, (i,) in zip(_STOPS, self._plain(list(_STOPS)))}
-        self._clear()
-
-    def _clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat, self.start, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.stops = {c: i for c, (i,) in zip(_STOPS, self._plain(list(_STOPS)))}
+        self._reset({}, np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        if hasattr(self.tokenizer.model, "_resize_cache"):
+            self.tokenizer.model._resize_cache(0)  # every piece comes once
+
+    def _reset(self, known: dict[str, int], ids: np.ndarray, size: np.ndarray) -> None:
+        self.known = known
+        self.flat, self.size = _Growing(np.uint32, ids), _Growing(np.int64, size)
+        self.start, self.uses = _Growing(np.int64, np.cumsum(size) - size), _Growing(np.int64, np.zeros(len(size)))
+
+    def _forget(self) -> None:
+        """Keeps the pieces used more than once since the last time, unless that is most of them."""
+        keep = np.flatnonzero(self.uses.data[: self.uses.size] > 1)
+        if 2 * len(keep) > KEEP:
+            keep = keep[:0]
+        names = list(self.known)
+        known = dict(zip((names[i] for i in keep.tolist()), range(len(keep))))
+        self._reset(known, self._gather(keep), self.size.data[keep])
+
+    def _gather(self, index: np.ndarray) -> np.ndarray:
+        """Ids of the pieces ``index``, one after the other."""
+        size = self.size.data[index]
+        ends = np.cumsum(size)
+        return self.flat.data[np.repeat(self.start.data[index] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
 
     def _plain(self, units: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
 
-    def _encoded(self, new: list[str]) -> list[np.ndarray]:
+    def _encode_new(self, keys: list[str]) -> None:
         """Ids of pieces by the library."""
-        units, sign = [self.unit(k) for k in new], self.between.strip(" ")
-        alone = {i for i, u in enumerate(units) if sign in u}
-        together = [u for i, u in enumerate(units) if i not in alone]
-        ids: list[np.ndarray] = []
-        for at in range(0, len(together), BATCH):
-            part = np.array(self._plain([self.between.join(together[at : at + BATCH])])[0], np.uint32)
-            ends = np.flatnonzero(part == self.mark).tolist()
-            ids += [part[a:b] for a, b in zip([0, *(e + 1 for e in ends)], [*ends, len(part)])]
-        rest = iter(ids)
-        singly = iter(self._plain([units[i] for i in sorted(alone)]))
-        return [np.array(next(singly), np.uint32) if i in alone else next(rest) for i in range(len(units))]
+        sign = self.between.strip(" ")
+        units = [self.unit(k) for k in keys]
+        alone = [i for i, u in enumerate(units) if sign in u]
+        if alone:
+            ids = self._plain([units[i] for i in alone])
+            self._add([keys[i] for i in alone], np.array([x for y in ids for x in y], np.uint32), [len(x) for x in ids])
+            kept = sorted(set(range(len(units))).difference(alone))
+            keys, units = [keys[i] for i in kept], [units[i] for i in kept]
+        if units:
+            runs = [self.between.join(units[at : at + RUN]) for at in range(0, len(units), RUN)]
+            ids = np.array([x for run in self._plain(runs) for x in (*run, self.mark)], np.uint32)
+            ends = np.flatnonzero(ids == self.mark)
+            self._add(keys, ids[ids != self.mark], np.diff(ends, prepend=-1) - 1)
 
     def _learn(self, new: list[str]) -> None:
-        stopped = [k for k in new if k[-1] in _STOPS and len(k) > 1 and k[-2].isalnum()]
-        inner = dict.fromkeys(k[:-1] for k in stopped if k[:-1] not in self.known)
-        plain = list(inner | dict.fromkeys(k for k in new if not (k[-1] in _STOPS and len(k) > 1 and k[-2].isalnum())))
-        self._add(plain, self._encoded(plain))
-        ends = {c: self.stops[c] for c in _STOPS}
-        bases = [self.known[k[:-1]] for k in stopped]
-        self._add(
-            stopped,
-            [np.append(self.flat[a : a + n], ends[k[-1]]) for k, a, n in zip(stopped, self.start[bases].tolist(), self.size[bases].tolist())],
-        )
-
-    def _add(self, keys: list[str], ids: list[np.ndarray]) -> None:
-        if not keys:
-            return
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.concatenate(ids)
-        begin = len(self.flat) + np.cumsum(size) - size
+        stopped, plain = [], []
+        for k in new:
+            (stopped if k[-1] in _STOPS and len(k) > 1 and k[-2].isalnum() else plain).append(k)
+        inner = {k[:-1] for k in stopped if k[:-1] not in self.known}.difference(plain)
+        self._encode_new(plain + list(inner))
+        if stopped:
+            base = np.array([self.known[k[:-1]] for k in stopped])
+            size = self.size.data[base] + 1
+            ends = np.cumsum(size)
+            ids = np.empty(ends[-1], np.uint32)
+            last = np.zeros(len(ids), bool)
+            last[ends - 1] = True
+            ids[last], ids[~last] = [self.stops[k[-1]] for k in stopped], self._gather(base)
+            self._add(stopped, ids, size)
+
+    def _add(self, keys: list[str], ids: np.ndarray, size: np.ndarray | list[int]) -> None:
+        size = np.asarray(size, np.int64)
+        self.start.add(self.flat.size + np.cumsum(size) - size)
         self.known.update(zip(keys, range(len(self.known), len(self.known) + len(keys))))
-        self.flat = np.concatenate([self.flat, flat])
-        self.start, self.size = np.concatenate([self.start, begin]), np.concatenate([self.size, size])
+        self.flat.add(ids)
+        self.size.add(size)
+        self.uses.add(np.zeros(len(keys), np.int64))
 
     def encode(self, text: str | None) -> Iterator[np.ndarray]:
         """Ids of one text, in parts."""
@@ -132,7 +174,7 @@ class Encoder:
         """Ids of each text, as one array each."""
         for at in range(0, len(texts), BATCH):
             part = [t or "" for t in texts[at : at + BATCH]]
-            if sum(map(len, part)) > 4 * CHUNK:
+            if sum(map(len, part)) > 16 * CHUNK:
                 for t in part:
                     yield np.concatenate(list(self.encode(t)))
             else:
@@ -140,19 +182,19 @@ class Encoder:
 
     def _encode(self, keys: list[list[str]]) -> list[np.ndarray]:
         if len(self.known) > KEEP:
-            self._clear()
-        new = list(set().union(*keys).difference(self.known))
-        if new:
-            self._learn(new)
-        counts = np.fromiter(map(len, keys), np.int64, len(keys))
-        known = self.known.__getitem__
-        index = np.fromiter(map(known, chain.from_iterable(keys)), np.int64, int(counts.sum()))
-        size = self.size[index]
-        ends = np.cumsum(size)
-        out = self.flat[np.repeat(self.start[index] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
-        ends = np.r_[0, ends]
-        cuts = ends[np.cumsum(counts)]
-        return [out[a:b] for a, b in zip(np.r_[0, cuts[:-1]], cuts)]
+            self._forget()
+        every = list(chain.from_iterable(keys))
+        index = np.fromiter(map(self.known.get, every, repeat(-1)), np.int64, len(every))
+        missing = np.flatnonzero(index < 0)
+        if len(missing):
+            names = [every[i] for i in missing.tolist()]
+            self._learn(list(set(names)))
+            index[missing] = [self.known[k] for k in names]
+        self.uses.data[: self.uses.size] += np.bincount(index, minlength=self.uses.size)
+        ids = self._gather(index)
+        pieces = np.r_[0, np.cumsum(self.size.data[index])]
+        cuts = pieces[np.cumsum([0, *map(len, keys)])]
+        return [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
 
 
 @lru_cache(maxsize=4)
