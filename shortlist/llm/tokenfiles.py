@@ -35,8 +35,10 @@ VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
 MAX_BITS = 20
 STRIDE = 256
-BLOCK = 1 << 18
+BLOCK = 1 << 20
 MAGIC = b"HUFIDS1\n"
+#: In place of a number of ids: the row holds counts.
+COUNTS = -1
 
 _HEAD = struct.Struct("<II")  # size of the vocabulary, bytes of the packed lengths
 _BLOCK = struct.Struct("<IIIII")  # ids, pieces, stride, bytes of bits, checksum of ids
@@ -134,20 +136,26 @@ class Code:
 
 
 def tokenized(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> DataFrame:
-    """``doc_id``, ``n`` and ``ids`` (little-endian, 16 bits where they fit), materialized."""
+    """``doc_id``, ``n`` and ``ids`` (little-endian, 16 bits where they fit), materialized.
+
+    Each task ends with a row of its own: ``n`` is ``COUNTS``, ``ids`` how often it met each id.
+    """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tokens.byte_encoder(vocabulary)
-        kind = id_type(encoder.tokenizer.get_vocab_size())
-        end = np.array([end_id], np.uint32)
+        size = encoder.tokenizer.get_vocab_size()
+        kind, counts, end = id_type(size), np.zeros(size, np.int64), np.array([end_id], np.uint32)
+        fields = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())])
         for batch in batches:
             for at in range(0, batch.num_rows, tokens.BATCH):
                 some = batch.slice(at, tokens.BATCH)
                 ids = [np.concatenate([x, end]) for x in encoder.encode_all(some.column(1).to_pylist())]
+                counts += np.bincount(np.concatenate(ids), minlength=size)
                 yield pa.RecordBatch.from_pydict(
                     {"doc_id": some.column(0), "n": [len(x) for x in ids], "ids": [x.astype(kind).tobytes() for x in ids]},
-                    schema=pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())]),
+                    schema=fields,
                 )
+        yield pa.RecordBatch.from_pydict({"doc_id": [None], "n": [COUNTS], "ids": [counts.astype("<i8").tobytes()]}, schema=fields)
 
     return materialize(docs.select("doc_id", "text").mapInArrow(encode, "doc_id long, n long, ids binary"), "token-ids")
 
@@ -157,18 +165,17 @@ def id_type(vocabulary_size: int) -> str:
 
 
 def counted(ids: DataFrame, vocabulary_size: int) -> np.ndarray:
-    """Occurrences of every id; tasks count first, so at most one row per id reaches the driver."""
-    kind = id_type(vocabulary_size)
+    """Occurrences of every id, from the tasks' counts; at most one row per id reaches the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(vocabulary_size, np.int64)
         for batch in batches:
             for raw in batch.column(0):
-                total += np.bincount(np.frombuffer(raw.as_buffer(), kind), minlength=vocabulary_size)
+                total += np.frombuffer(raw.as_buffer(), "<i8")
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"id": at, "n": total[at]})
 
-    rows = ids.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    rows = ids.where(F.col("n") == COUNTS).select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     out = np.zeros(vocabulary_size, np.int64)
     for r in rows.toLocalIterator():
         out[r["id"]] = r["n"]
@@ -232,7 +239,7 @@ def write(ids: DataFrame, code: Code, folder: str, vocabulary_size: int) -> Data
                 {"part": [part], "name": [name], "documents": [out.documents], "ids": [out.ids], "bytes": [out.bytes]}
             )
 
-    ranged = ids.repartitionByRange("doc_id", "n").sortWithinPartitions("doc_id", "n").select("doc_id", "ids")
+    ranged = ids.where(F.col("n") != COUNTS).repartitionByRange("doc_id", "n").sortWithinPartitions("doc_id", "n").select("doc_id", "ids")
     return materialize(ranged.mapInArrow(save, MANIFEST), "token-files")
 
 
@@ -300,7 +307,7 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
 
     order = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
     placed = manifest.select("name", F.coalesce(F.sum("ids").over(order), F.lit(0)).alias("before"))
-    return placed.repartition(F.col("name")).mapInArrow(rows, READ)
+    return placed.repartition(max(1, manifest.count())).mapInArrow(rows, READ)
 
 
 def vocabulary_size(vocabulary: str) -> int:
