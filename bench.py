@@ -66,7 +66,7 @@ def main() -> None:
     start = time.perf_counter()
     tables.queries(spark, folder).count()
     tables.judged(spark, folder).count()
-    tables.shard(spark, folder).count()
+    tables.corpus(spark, folder).count()
     seconds["build_stored_tables"] = time.perf_counter() - start
     for name in HEADLINE:
         seconds[name] = timed(lambda: entries[name].run(spark, folder))
