@@ -33,7 +33,8 @@ from . import files, tokens
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
-MAX_BITS = 20
+#: Small enough that the decoding table stays near the processor.
+MAX_BITS = 17
 STRIDE = 256
 BLOCK = 1 << 20
 MAGIC = b"HUFIDS1\n"

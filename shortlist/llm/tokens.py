@@ -88,14 +88,17 @@ class _Growing:
 
 class Encoder:
     """``between`` parts pieces that are encoded in one go; it is one token, and pieces with a
-    character of it are encoded singly."""
+    character of it are encoded singly.  ``before`` is what the vocabulary writes for the space
+    before a word, if anything."""
 
-    def __init__(self, path: str, keys: Callable[[str], list[str]], unit: Callable[[str], str], between: str):
+    def __init__(
+        self, path: str, keys: Callable[[str], list[str]], unit: Callable[[str], str], between: str, before: str
+    ):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.keys, self.unit, self.between = keys, unit, between
+        self.keys, self.unit, self.between, self.before = keys, unit, between, before
         (self.mark,) = self._plain([between])[0]
         self.stops = {c: i for c, (i,) in zip(_STOPS, self._plain(list(_STOPS)))}
         self._reset({}, np.zeros(0, np.uint32), np.zeros(0, np.int64))
@@ -126,7 +129,14 @@ class Encoder:
         return [e.ids for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
 
     def _encode_new(self, keys: list[str]) -> None:
-        """Ids of pieces by the library."""
+        """Ids of pieces by the library: plain words by its model alone, others by all its steps."""
+        whole = self.tokenizer.model.tokenize
+        words = [k for k in keys if k.isascii() and k.isalpha()]
+        if words:
+            ids = [[t.id for t in whole(self.before + k)] for k in words]
+            size = np.fromiter(map(len, ids), np.int64, len(ids))
+            self._add(words, np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum())), size)
+            keys = [k for k in keys if not (k.isascii() and k.isalpha())]
         sign = self.between.strip(" ")
         units = [self.unit(k) for k in keys]
         alone = [i for i, u in enumerate(units) if sign in u]
@@ -199,9 +209,9 @@ class Encoder:
 
 @lru_cache(maxsize=4)
 def byte_encoder(path: str) -> Encoder:
-    return Encoder(path, byte_keys, byte_unit, "\n")
+    return Encoder(path, byte_keys, byte_unit, "\n", "Ġ")
 
 
 @lru_cache(maxsize=4)
 def word_encoder(path: str) -> Encoder:
-    return Encoder(path, word_keys, lambda k: k, " | ")
+    return Encoder(path, word_keys, lambda k: k, " | ", "")
