@@ -1,18 +1,17 @@
-"""Benchmark passages in training texts: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark passages in training texts: shared n-grams as seeds, then Smith-Waterman alignment.
 
 Texts and test items become lower-case word sequences.  The items are a query set: they pass
 through the driver in blocks of at most ``BLOCK_GRAMS`` n-grams, and each block is held
 against all texts, whatever the number of blocks.
 
-Per block, a first pass counts in how many texts each of its n-grams occurs.  In every window
-of ``SEED_WINDOW`` consecutive n-grams of an item the rarest becomes a seed, however common it
-is, so any copied run of ``GRAM + SEED_WINDOW - 1`` words holds one.  A second pass looks up
-seeds in each text; around each diagonal on which seeds meet an item, the item and the
-passage are aligned word by word (match 1, mismatch and gap -1).  A text is a hit if the best
-alignment scores at least ``MIN_SIMILARITY`` of the item's length.
+Every n-gram of an item is a seed, so a text that shares any run of ``GRAM`` words with an item
+is looked at.  Around each diagonal on which seeds meet an item, the item and the passage are
+aligned word by word (match 1, mismatch and gap -1); where no such passage will do, the item
+is aligned with the whole text.  A text is a hit if the best alignment scores at least
+``MIN_SIMILARITY`` of the item's length.  No alignment scores more than the number of item words
+that its passage holds, so those that hold too few are not aligned.
 
-Both passes are scans without a shuffle of text; what leaves a task is counts of the block's
-n-grams and hits.
+A block is one scan without a shuffle of text; what leaves a task is hits.
 
 Defined cases: null and empty texts have no hits; items with fewer than ``GRAM`` words have no
 n-gram and are never reported; equal items are reported each by its own id; a text with an
@@ -33,11 +32,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 GRAM = 5
-SEED_WINDOW = 4
 MIN_SIMILARITY = 0.5
 BLOCK_GRAMS = 1_000_000
-#: Words of a passage that are read on either side of where an item would lie, per item word.
-MARGIN = 0.25
+#: Words of a passage that are read on either side of where an item would lie, per item word.  Gaps
+#: cost as much as matches bring, so an alignment that is accepted has at most this share of them.
+MARGIN = 1 - MIN_SIMILARITY
 CHUNK = 1 << 20
 
 _WORD = re.compile(r"\w+")
@@ -74,7 +73,7 @@ def grams(words: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Block:
-    """Items of one block with the sorted table of their n-grams (all of them, or the seeds only)."""
+    """Items of one block with the sorted table of their n-grams."""
 
     ids: list = field(default_factory=list)
     words: list[np.ndarray] = field(default_factory=list)
@@ -86,10 +85,10 @@ class Block:
     def __len__(self) -> int:
         return sum(max(0, len(w) - GRAM + 1) for w in self.words)
 
-    def index(self, chosen: list[np.ndarray] | None = None) -> Block:
-        """The same items with a lookup table of the n-grams at the ``chosen`` positions."""
-        at = chosen or [np.arange(max(0, len(w) - GRAM + 1)) for w in self.words]
-        keys = np.concatenate([grams(w)[p] for w, p in zip(self.words, at)] or [np.zeros(0, np.uint64)])
+    def index(self) -> Block:
+        """The same items with a lookup table of their n-grams."""
+        at = [np.arange(max(0, len(w) - GRAM + 1)) for w in self.words]
+        keys = np.concatenate([grams(w) for w in self.words] or [np.zeros(0, np.uint64)])
         item = np.repeat(np.arange(len(at)), [len(p) for p in at])
         pos = np.concatenate([*at, np.zeros(0, np.int64)]).astype(np.int64)
         order = np.argsort(keys, kind="stable")
@@ -118,36 +117,6 @@ def blocks(items: DataFrame, most: int = BLOCK_GRAMS) -> Iterator[Block]:
         yield block
 
 
-def with_seeds(texts: DataFrame, block: Block) -> Block:
-    """The block with a table of seeds: the rarest n-gram of every window, by document frequency."""
-    full = block.index()
-    keys = np.unique(full.keys)
-    shared = texts.sparkSession.sparkContext.broadcast((full, keys))
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table, known = shared.value
-        n = np.zeros(len(known), np.int64)
-        for batch in batches:
-            for text in batch["text"]:
-                g = grams(word_hashes(text))
-                n[np.searchsorted(known, np.unique(g[table.places(g)]))] += 1
-        at = np.flatnonzero(n)
-        yield pd.DataFrame({"at": at, "n": n[at]})
-
-    counted = texts.select("text").mapInPandas(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
-    frequency = np.zeros(len(keys), np.int64)
-    for row in counted.toLocalIterator():  # at most one row per n-gram of the block
-        frequency[row["at"]] = row["n"]
-    shared.unpersist()
-    chosen = []
-    for w in block.words:
-        g = grams(w)
-        f = frequency[np.searchsorted(keys, g)]
-        spans = range(max(1, len(g) - SEED_WINDOW + 1)) if len(g) else ()
-        chosen.append(np.unique([s + int(np.lexsort((g[s : s + SEED_WINDOW], f[s : s + SEED_WINDOW]))[0]) for s in spans]).astype(np.int64))
-    return block.index(chosen)
-
-
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
     """Best local alignment score and the position in ``passage`` where it ends."""
     step = np.arange(len(passage) + 1)
@@ -163,10 +132,10 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
-@lru_cache(maxsize=4096)
-def _aligned(item: bytes, passage: bytes) -> tuple[int, int, int]:
-    """Score, first and last aligned word of the passage."""
-    a, b = np.frombuffer(item, np.uint64), np.frombuffer(passage, np.uint64)
+def _traced(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
+    """Score, first and last aligned word of the passage ``b``; no score if ``b`` has too few words of ``a``."""
+    if np.isin(a, b).sum() < MIN_SIMILARITY * len(a):
+        return 0, 0, -1
     score, end = align(a, b)
     if end < 0:
         return 0, 0, -1
@@ -174,6 +143,20 @@ def _aligned(item: bytes, passage: bytes) -> tuple[int, int, int]:
     return score, end - back, end
 
 
+@lru_cache(maxsize=4096)
+def _aligned(item: bytes, passage: bytes) -> tuple[int, int, int]:
+    return _traced(np.frombuffer(item, np.uint64), np.frombuffer(passage, np.uint64))
+
+
+def _apart(spans: list[tuple[int, int, int]]) -> int:
+    """Number of places: spans that overlap count once."""
+    n, reached = 0, -1
+    for _, first, last in sorted(spans, key=lambda x: x[2]):
+        if first > reached:
+            n, reached = n + 1, last
+    return n
+
+
 def find(text: str | None, block: Block) -> list[tuple]:
     """Hits of one text, in item order of the block."""
     words = word_hashes(text)
@@ -192,24 +175,24 @@ def find(text: str | None, block: Block) -> list[tuple]:
         own, w = diagonal[item == k], block.words[k]
         reach = max(GRAM, int(MARGIN * len(w)))
         cuts = np.flatnonzero(np.diff(own) > reach) + 1
-        best = (0, 0, -1)
-        places = 0
+        spans = []
         for group in np.split(own, cuts):
             start = max(0, int(group[0]) - reach)
             passage = words[start : max(start, int(group[-1]) + len(w) + reach)]
             score, first, last = _aligned(w.tobytes(), passage.tobytes())
             if score >= MIN_SIMILARITY * len(w):
-                places += 1
-                if score > best[0]:
-                    best = (score, start + first, start + last)
-        if places:
-            out.append((block.ids[k], best[0], len(w), places, best[1], best[2]))
+                spans.append((score, start + first, start + last))
+        if not spans:
+            spans = [x for x in [_traced(w, words)] if x[0] >= MIN_SIMILARITY * len(w)]
+        if spans:
+            score, first, last = max(spans, key=lambda x: (x[0], -x[1]))
+            out.append((block.ids[k], score, len(w), _apart(spans), first, last))
     return out
 
 
 def hits(text: Column, texts: DataFrame, block: Block) -> Column:
-    """Column of all hits of a text with the items of a block; ``texts`` is the corpus to count n-grams in."""
-    seeds = texts.sparkSession.sparkContext.broadcast(with_seeds(texts, block))
+    """Column of all hits of a text of ``texts`` with the items of a block."""
+    seeds = texts.sparkSession.sparkContext.broadcast(block.index())
 
     @F.pandas_udf(HITS)
     def of(batch: pd.Series) -> pd.Series:

@@ -97,3 +97,40 @@ def test_edge_rows(spark):
     got = run(spark, docs, items)
     assert set(got) == {(None, 1), (None, 2), (3, 1), (3, 2)}
     assert run(spark, [], items) == {} and run(spark, docs, []) == {}
+
+
+@pytest.mark.parametrize("share", [0.1, 0.2, 0.25])
+def test_every_alignment_that_shares_a_gram_is_found(spark, share):
+    rng = random.Random(17)
+    items = [(i, words(rng, rng.randint(15, 59))) for i in range(30)]
+    docs = []
+    for d in range(300):
+        body = words(rng, rng.randint(10, 60))
+        at = rng.randrange(len(body))
+        body[at:at] = edited(rng, items[d % 30][1], share)
+        docs.append((d, " ".join(body)))
+    got = run(spark, docs, [(i, " ".join(w)) for i, w in items])
+    runs = lambda w: {tuple(w[i : i + D.GRAM]) for i in range(len(w) - D.GRAM + 1)}
+    want = {}
+    for d, t in docs:
+        for i, w in items:
+            score, _ = D.align(D.word_hashes(" ".join(w)), D.word_hashes(t))
+            if score >= D.MIN_SIMILARITY * len(w) and runs(w) & runs(t.split()):
+                want[d, i] = score
+    assert len(want) > 100 and {p: h.score for p, h in got.items()} == want
+
+
+def test_a_replaced_word_hides_no_item(spark):
+    rng = random.Random(8)
+    long, short = words(rng, 15), words(rng, 8)
+    docs = [(1, " ".join([*long[:7], "other", *long[8:]])), (2, " ".join(["other", *short[1:]]))]
+    got = run(spark, docs, [(1, " ".join(long)), (2, " ".join(short))])
+    assert {p: h.score for p, h in got.items()} == {(1, 1): 13, (2, 2): 7}
+
+
+def test_an_alignment_away_from_the_shared_gram(spark):
+    rng = random.Random(6)
+    item, pad = words(rng, 20), words(rng, 200)
+    broken = [x for i, w in enumerate(item) for x in ([w] if i % 5 != 4 else ["other"])]
+    docs = [(1, " ".join([*item[:5], *pad, *broken]))]
+    assert run(spark, docs, [(1, " ".join(item))])[1, 1].score == 13  # 16 words match, 3 of the replaced ones lie between
