@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from . import decontaminate, linededup, packing, quality, simhash
+from . import decontaminate, linededup, neardup, packing, quality
 from .rows import ROW, SPACE, field, packed, table, unpacked, whole_text
 
 
@@ -45,10 +45,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     rows = packed(docs).select(
         ROW, field("doc_id").alias("id"), F.xxhash64(field("text")).alias("th"), whole_text(field("text")).alias("t")
     )
-    prints = materialize(rows.select("id", "th", simhash.fingerprints(F.col("t")).alias("fp")), "simhash-prints")
-    named = simhash.labelled(prints)
+    sketched = rows.select("id", "th", "t", neardup.sketches(F.col("t")).alias("s")).select("id", "th", "t", "s.*")
+    prints = materialize(sketched, "near-prints")
+    one = materialize(prints.groupBy("fp").agg(F.min("t").alias("t"), F.min("bands").alias("bands")), "near-texts")
+    named = neardup.labels(one.select("fp", "bands"), one.select("fp", "t"))
     first = F.min(F.struct(F.col("id").isNull().alias("n"), "id", "th")).alias("k")
-    winners = prints.join(named, "fp").groupBy("label").agg(first)
+    label = F.coalesce("label", "fp").alias("label")
+    winners = prints.join(named, prints.fp == named.node, "left").select("id", "th", label).groupBy("label").agg(first)
     winners = materialize(winners.select(F.col("k.id").alias("wid"), F.col("k.th").alias("wth")), "simhash-winners")
     kept = rows.join(winners, F.col("id").eqNullSafe(F.col("wid")) & (F.col("th") == F.col("wth"))).select(ROW, "id", "th")
     # rows equal in id and text are one class; where there are such, one of them stays

@@ -149,3 +149,36 @@ def test_words_of_the_passages_are_cut_whole(corpus):
     for d, t in texts(steps[2]).items():
         if role[d] == "passage" and passage not in t:
             assert not any(re.search(re.escape(x), t) for x in lines)
+
+
+def five_word_jaccard(a, b):
+    a, b = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.split(), b.split()))
+    return len(a & b) / len(a | b)
+
+
+@pytest.mark.parametrize("small", [32, 2])
+def test_near_dedup_finds_every_edited_copy(spark, monkeypatch, small):
+    from shortlist.llm import neardup
+
+    monkeypatch.setattr(neardup, "SMALL", small)  # 2: groups take the way of large ones
+    rng = random.Random(31)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    texts = []
+    for _ in range(40):
+        w = [word() for _ in range(rng.choice([45, 100, 250]))]
+        texts.append(w)
+        for _ in range(rng.randint(1, 4)):
+            v = list(w)
+            for i in rng.sample(range(len(v)), rng.randint(0, max(1, len(v) // 40))):
+                v[i] = word()
+            texts.append([*v, word()] if rng.random() < 0.5 else v)
+    texts = [" ".join(w) for w in texts]
+    label = list(range(len(texts)))
+    for j in range(len(texts)):
+        for i in range(j):
+            if label[i] != label[j] and five_word_jaccard(texts[i], texts[j]) >= 0.8:
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r.doc_id for r in corpus_pipeline.STAGES[2][1](spark, docs, "").collect()}
+    assert kept == set(label) and len(kept) < len(texts) / 2
