@@ -12,6 +12,7 @@ from . import (
     licenses_query,
     linededup_query,
     packing_query,
+    personal_query,
     quality_query,
     secrets_query,
     simhash_query,
@@ -32,6 +33,7 @@ _MODULES = (
     linededup_query,
     packing_query,
     quality_query,
+    personal_query,
 )
 
 
