@@ -11,6 +11,7 @@ from . import (
     htmltext_query,
     licenses_query,
     linededup_query,
+    negatives_query,
     packing_query,
     personal_query,
     quality_query,
@@ -18,6 +19,7 @@ from . import (
     simhash_query,
     tokenfiles_query,
     warc_query,
+    whitening_query,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +36,8 @@ _MODULES = (
     packing_query,
     quality_query,
     personal_query,
+    negatives_query,
+    whitening_query,
 )
 
 

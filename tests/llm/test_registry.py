@@ -18,10 +18,10 @@ def names(root):
 
 def test_one_query_per_operator_and_the_pipeline():
     queries, twins = names(ROOT)
-    for n in range(1, 12):
+    for n in range(1, 14):
         assert sum(q.startswith(f"op{n}_") for q in queries) == 1
     assert "pipeline" in queries
-    assert {q for q in twins if q.startswith("op")} == {"op6_license_scans", "op8_warc", "op10_quality_rules"}
+    assert {q for q in twins if q.startswith("op")} == {"op6_license_scans", "op8_warc", "op10_quality_rules", "op12_hard_negatives"}
 
 
 def test_entry_without_the_subpackage(tmp_path):
