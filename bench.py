@@ -14,6 +14,7 @@ from pathlib import Path
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from shortlist.catalog import load  # noqa: E402
+from shortlist.catalog.features import passages  # noqa: E402
 from shortlist.session import local_session  # noqa: E402
 from shortlist.sources import tables  # noqa: E402
 
@@ -44,6 +45,8 @@ HEADLINE = (
     "collision_profile",
     "unseen_flag",
     "tanimoto_topk",
+    "tanimoto_topk_join",
+    "passage_topk_join",
     "retrieval_baseline",
     "threshold_sweep",
     "trace_fit",
@@ -73,6 +76,8 @@ def main() -> None:
     total = sum(seconds.values())
     sf = Path(folder).name.removeprefix("sf")
     n_queries = spark.read.parquet(f"{folder}/benchmark.parquet").count()
+    n_items = tables.distinct_items(spark, folder).count()
+    n_passages = passages(spark, folder).count()
     print(
         json.dumps(
             {
@@ -83,6 +88,10 @@ def main() -> None:
                 "sf": float(sf) if sf.replace(".", "").isdigit() else sf,
                 "rates": {
                     "retrieval_queries_per_second": round(n_queries / seconds["tanimoto_topk"], 2),
+                    "index_passages": n_passages,
+                    "million_pairs_per_second_scan": round(n_queries * n_items / seconds["tanimoto_topk"] / 1e6, 3),
+                    "million_pairs_per_second_join": round(n_items**2 / seconds["tanimoto_topk_join"] / 1e6, 3),
+                    "million_pairs_per_second_passages": round(n_queries * n_passages / seconds["passage_topk_join"] / 1e6, 3),
                 },
             }
         )

@@ -369,7 +369,58 @@ def tanimoto_topk(spark, path):
         _bench(spark, path, B2048).drop("tokens", "canonical"),
         _index(spark, path, B2048).drop("tokens"),
         20,
-        n_bits=2048,
+    )
+
+
+_SELF_KNN = f"""WITH {_D}, {_bits_sql(2048)},
+  ie AS (SELECT item_id, unnest(bits) AS bit FROM fb),
+  ov AS (SELECT a.item_id AS query_id, b.item_id, count(*) AS o FROM ie a JOIN ie b USING (bit) GROUP BY ALL),
+  pairs AS (SELECT ov.query_id, ov.item_id, o / (q.n_set + i.n_set - o) AS similarity
+    FROM ov JOIN fb q ON q.item_id = ov.query_id JOIN fb i ON i.item_id = ov.item_id
+    UNION ALL SELECT a.item_id, b.item_id, CASE WHEN a.n_set + b.n_set = 0 THEN 1.0 ELSE 0.0 END
+      FROM fb a, fb b WHERE NOT EXISTS (SELECT 1 FROM ov WHERE ov.query_id = a.item_id AND ov.item_id = b.item_id))
+  SELECT query_id, item_id, round(similarity, 8) AS similarity,
+    row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, item_id) AS rank
+  FROM pairs QUALIFY rank <= 5"""
+
+
+@query("tanimoto_topk_join", _SELF_KNN)
+def tanimoto_topk_join(spark, path):
+    """Five nearest documents of every document, by blocks of equal length on both sides."""
+    index = _index(spark, path, B2048).drop("tokens")
+    queries = index.select(F.col("item_id").alias("query_id"), "key", "bits")
+    return retrieve.tanimoto_topk(queries, index, 5, scan=False)
+
+
+#: Words of a passage; a document has fewer than PASSAGES of them.
+PASSAGE, PASSAGES = 16, 4096
+
+_PASSAGES = f"""pass AS (SELECT item_id * {PASSAGES} + i AS item_id, item_id AS doc,
+    {v.feature_bits(f'tokens[i * {PASSAGE} + 1:(i + 1) * {PASSAGE}]', 2048)} AS bits
+    FROM (SELECT item_id, tokens, unnest(range(0, (len(tokens) + {PASSAGE - 1}) // {PASSAGE})) AS i FROM ditems))"""
+
+
+def passages(spark, path):
+    """Documents cut into passages of ``PASSAGE`` words, the index of fine-grained lookups."""
+    tokens = F.col("tokens")
+    starts = F.sequence(F.lit(0), F.floor((F.size(tokens) - 1) / PASSAGE).cast("int"))
+    rows = t.distinct_items(spark, path, "tokens").filter(F.size(tokens) > 0)
+    cut = rows.select("item_id", "tokens", F.explode(starts).alias("i")).select(
+        (F.col("item_id") * PASSAGES + F.col("i")).alias("item_id"),
+        F.slice("tokens", F.col("i") * PASSAGE + 1, PASSAGE).alias("tokens"),
+    )
+    return t.with_features(cut, B2048).drop("tokens").withColumn("pos", F.col("item_id"))
+
+
+@query(
+    "passage_topk_join",
+    f"""WITH {_D}, {_PASSAGES}, {_BQ}, {_knn(v.feature_bits('tokens', 2048), 'pass', 10)}
+    SELECT query_id, item_id, round(similarity, 8) AS similarity, rank FROM knn""",
+)
+def passage_topk_join(spark, path):
+    """Ten nearest passages of every benchmark item, over an index many times the documents."""
+    return retrieve.tanimoto_topk(
+        _bench(spark, path, B2048).drop("tokens", "canonical"), passages(spark, path), 10, scan=False
     )
 
 
@@ -384,7 +435,6 @@ def tanimoto_topk_unfolded(spark, path):
         _bench(spark, path, UNFOLDED).drop("tokens", "canonical"),
         _index(spark, path, UNFOLDED).drop("tokens"),
         10,
-        n_bits=None,
     )
 
 
@@ -417,7 +467,7 @@ def tanimoto_topk_counts(spark, path):
     q = as_sets(t.benchmark_queries(spark, path), "query_id")
     index = as_sets(t.distinct_items(spark, path, "tokens"), "item_id")
     return retrieve.tanimoto_topk(
-        q, index.withColumn("pos", F.col("item_id")), 10, n_bits=None
+        q, index.withColumn("pos", F.col("item_id")), 10
     )
 
 
@@ -448,7 +498,6 @@ def retrieval_baseline(spark, path):
         _bench(spark, path, B2048).drop("tokens"),
         _index(spark, path, B2048, "canonical").drop("tokens"),
         20,
-        n_bits=2048,
     )
     wide = metrics.slice_metrics(metrics.query_summary(q, judged), (1, 20))
     return wide.filter(F.col("n_queries") > 0).select(
@@ -472,7 +521,7 @@ def rejudge(spark, path):
     q = _bench(spark, path, B2048)
     index = _index(spark, path, B2048, "canonical")
     _, judged = plans.retrieve_and_judge(
-        q.drop("tokens"), index.drop("tokens"), 20, n_bits=2048
+        q.drop("tokens"), index.drop("tokens"), 20
     )
     return plans.rejudge(judged, q, index, FeatureConfig(n_bits=16), (1, 5, 20))
 
@@ -496,7 +545,7 @@ def perturbation_probe(spark, path):
         (-1 - F.col("query_id")).alias("pos"),
     )
     damaged = plans.perturbed_queries(q, B2048, CONDITIONS, "pp")
-    return plans.perturbation_probe(damaged, docs.unionByName(own), 10, B2048)
+    return plans.perturbation_probe(damaged, docs.unionByName(own), 10)
 
 
 @query(

@@ -1,22 +1,8 @@
 """Key membership and exact top-k retrieval by set similarity.
 
-Index and queries first collapse to distinct feature sets, so copies cost nothing.
-
-A protocol's query sample is small and the index is not.  Such a query table
-goes to every task, which compares its share of the index with it a block at a
-time and keeps k rows per query: no shuffle of the index, no pair leaves a task.
-
-A query table over the size bound is joined on features instead:
-
-1. A probe with each query's rarest features finds some candidates; the k-th
-   best of them is a similarity no answer can fall below.
-2. A set that similar must contain one of the query's ``n - ceil(t*n) + 1``
-   rarest features, so the second probe skips the frequent ones, and a size
-   ratio test drops most of what it meets.  Ties at the bound are kept.
-
-The result is exact for every bound, including zero: with too few candidates
-the second probe simply uses all of a query's features.  The bounds prune the
-frequent features, which are the skewed join keys.
+Index and queries first collapse to distinct feature sets, so copies cost nothing.  A protocol's
+query sample is small and goes to every task; any larger query table is cut by set length and meets
+the index in bounded blocks (:mod:`similar`).  Both are exact.
 """
 
 from __future__ import annotations
@@ -24,19 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.features import packed_words, shared_bits
 from ..session import materialize
+from .similar import join_sets, scan_sets
 
-#: Stands for "no feature at all", so that two empty sets meet.
-EMPTY_BIT = -1
-#: Width of the packed form of identifiers that have no small fold width.
-SKETCH_BITS = 2048
-SLACK = 1e-9
 #: Largest query table shipped to every task by the scan: about 60 MB.
 SCAN_QUERIES = 20_000
 SCAN_FEATURES = 5_000_000
-#: Probe rows (about 350 bytes each) that may be shipped to every task.
-BROADCAST_ROWS = 200_000
 
 
 def seen_flag(
@@ -94,10 +73,6 @@ def exact_lookup(
     return queries.join(first, key, "left")
 
 
-def _words(prefix: str, n_bits: int | None) -> list[str]:
-    return [f"{prefix}w{i}" for i in range(((n_bits or SKETCH_BITS) + 63) // 64)]
-
-
 def distinct_sets(index: DataFrame, key: str, bits: str, pos: str) -> DataFrame:
     """``set_key, n, bits, first_pos``: one row per distinct feature set."""
     w = Window.partitionBy(key).orderBy(pos)
@@ -112,284 +87,11 @@ def distinct_sets(index: DataFrame, key: str, bits: str, pos: str) -> DataFrame:
     )
 
 
-def pack_sets(sets: DataFrame, n_bits: int | None) -> DataFrame:
-    """Add ``w0..``, the set packed into 64-bit words, and ``filled``, the bits that are on.
-
-    Identifiers without a small fold width are hashed into ``SKETCH_BITS``.
-    """
-    packed_from = (
-        F.col("bits")
-        if n_bits
-        else F.array_distinct(
-            F.transform("bits", lambda b: F.pmod(F.xxhash64(b), F.lit(SKETCH_BITS)))
-        )
-    )
-    words = zip(packed_words(packed_from, n_bits or SKETCH_BITS), _words("", n_bits))
-    return sets.select("*", F.size(packed_from).alias("filled"), *[c.alias(n) for c, n in words])
-
-
-def _join_bits(bits: Column) -> Column:
-    none = F.array(F.lit(EMPTY_BIT).cast("long"))
-    return F.when(F.size(bits) > 0, bits).otherwise(none)
-
-
-def _similarity(overlap: Column) -> Column:
-    union = F.col("q_n") + F.col("n") - overlap
-    return F.when(union == 0, F.lit(1.0)).otherwise(overlap / union)
-
-
-def _with_bound(met: DataFrame, n_bits: int | None, out: str = "similarity") -> DataFrame:
-    """Add the largest similarity the packed words allow; exact when nothing was hashed.
-
-    Every bit on in one side and off in the other stands for at least one
-    element the sets do not share.  The overlap goes through ``explode`` of one
-    element so that it is computed once per row: a plain column would be copied
-    into every filter above it.
-    """
-    mine = [F.col(c) for c in _words("q_", n_bits)]
-    theirs = [F.col(c) for c in _words("", n_bits)]
-    shared = F.explode(F.array(shared_bits(mine, theirs)))
-    overlap = F.least(
-        F.col("q_n") - (F.col("q_filled") - F.col("__shared")),
-        F.col("n") - (F.col("filled") - F.col("__shared")),
-    )
-    return met.withColumn("__shared", shared).withColumn(out, _similarity(overlap))
-
-
-def _probe(probes: DataFrame, postings: DataFrame) -> DataFrame:
-    """Meet the postings on a feature.
-
-    The probe side is a stored table, so its size is known: a small one is
-    shipped to every task and the postings stay where they are, a larger one
-    leaves the choice (and the splitting of frequent features) to the planner.
-    """
-    small = probes.count() <= BROADCAST_ROWS
-    return postings.join(F.broadcast(probes) if small else probes, "bit")
-
-
-def _verify(pairs: DataFrame, queries: DataFrame, sets: DataFrame) -> DataFrame:
-    """Exact similarity of ``q_key, set_key`` pairs from the full identifier arrays."""
-    q = queries.select(
-        F.col("set_key").alias("q_key"), F.col("n").alias("q_n"), F.col("bits").alias("q_bits")
-    )
-    joined = pairs.join(q, "q_key").join(sets.select("set_key", "n", "bits"), "set_key")
-    exact = _similarity(F.size(F.array_intersect("q_bits", "bits")))
-    return joined.withColumn("similarity", exact).drop("q_bits", "bits", "q_n", "n")
-
-
-def _first_distinct(rows: DataFrame, by: Column, ties: Column, k: int) -> DataFrame:
-    """First k distinct rows per query.
-
-    A pair can meet on several features; equal rows share a dense rank, so the
-    cut drops none of them wrongly, and Spark applies it inside each task first.
-    """
-    w = Window.partitionBy("q_key").orderBy(by, ties)
-    return (
-        rows.withColumn("__dr", F.dense_rank().over(w))
-        .filter(F.col("__dr") <= k)
-        .drop("__dr")
-        .distinct()
-    )
-
-
-def _kth_best(
-    probes: DataFrame, postings: DataFrame, queries: DataFrame, sets: DataFrame,
-    k: int, n_bits: int | None, reach: int,
-) -> DataFrame:
-    """``q_key, bound``: the k-th best similarity among sets met on rare features."""
-    rare = probes.filter((F.col("df") > 0) & (F.col("df_before") < reach))
-    met = _with_bound(_probe(rare, postings), n_bits).select("q_key", "set_key", "similarity")
-    seeds = _first_distinct(met, F.desc("similarity"), F.asc("set_key"), k if n_bits else 2 * k)
-    exact = seeds if n_bits else _verify(seeds.drop("similarity"), queries, sets)
-    w = Window.partitionBy("q_key").orderBy(F.desc("similarity"), F.asc("set_key"))
-    return (
-        exact.withColumn("__rn", F.row_number().over(w))
-        .filter(F.col("__rn") == k)
-        .select("q_key", F.col("similarity").alias("bound"))
-    )
-
-
-def top_sets(queries: DataFrame, sets: DataFrame, k: int, n_bits: int | None) -> DataFrame:
-    """``q_key, set_key, similarity, first_pos`` of the k best sets per query set.
-
-    Both inputs come from :func:`distinct_sets`.  Sets that share no feature
-    with the query are not returned.
-    """
-    queries, sets = pack_sets(queries, n_bits), materialize(pack_sets(sets, n_bits), "packed")
-    postings = sets.select(
-        "set_key", "n", "filled", "first_pos", *_words("", n_bits),
-        F.explode(_join_bits(F.col("bits"))).alias("bit"),
-    )
-    frequency = (
-        sets.select(F.explode(_join_bits(F.col("bits"))).alias("bit"))
-        .groupBy("bit")
-        .agg(F.count(F.lit(1)).alias("df"))
-    )
-    q = queries.select(
-        F.col("set_key").alias("q_key"),
-        F.col("n").alias("q_n"),
-        F.col("filled").alias("q_filled"),
-        *[F.col(c).alias(f"q_{c}") for c in _words("", n_bits)],
-        F.explode(_join_bits(F.col("bits"))).alias("bit"),
-    )
-    # Rare first; a query feature absent from the index can match nothing.
-    w = Window.partitionBy("q_key").orderBy("df", "bit")
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    probes = materialize(
-        q.join(frequency, "bit", "left")
-        .withColumn("df", F.coalesce("df", F.lit(0)))
-        .withColumn("rank", F.row_number().over(w))
-        .withColumn("df_before", F.coalesce(F.sum("df").over(before), F.lit(0))),
-        "probes",
-    )
-    bounds = materialize(
-        _kth_best(probes, postings, queries, sets, k, n_bits, 4 * k), "bounds"
-    )
-    # Near copies can share all the rare features; look further for those queries.
-    unbounded = probes.join(bounds, "q_key", "left_anti")
-    wider = _kth_best(unbounded, postings, queries, sets, k, n_bits, 64 * k)
-    bounds = materialize(bounds.unionByName(wider), "bounds")
-    # A hair of slack keeps float rounding from losing a tie; the last filter is exact.
-    need = F.ceil(F.col("bound") * F.col("q_n") - F.lit(SLACK))
-    bounded = (
-        probes.join(bounds, "q_key", "left")
-        .withColumn("bound", F.coalesce("bound", F.lit(0.0)))
-        .filter(F.col("df") > 0)
-        .filter(F.col("rank") <= F.greatest(F.col("q_n") - need + 1, F.lit(1)))
-        .select("q_key", "q_n", "q_filled", "bit", "bound", *_words("q_", n_bits))
-    )
-    sized = _probe(bounded, postings).filter(
-        (F.col("n") >= F.col("q_n") * F.col("bound") - F.lit(SLACK))
-        & (F.col("q_n") >= F.col("n") * F.col("bound") - F.lit(SLACK))
-    )
-    met = (
-        _with_bound(sized, n_bits)
-        .select("q_key", "set_key", "first_pos", "bound", "similarity")
-        .filter(F.col("similarity") >= F.col("bound"))
-    )
-    if not n_bits:
-        met = _verify(met.drop("similarity").distinct(), queries, sets).filter(
-            F.col("similarity") >= F.col("bound")
-        )
-    return _first_distinct(met.drop("bound"), F.desc("similarity"), F.asc("first_pos"), k)
-
-
-def _query_block_kernel(table, k: int):
-    """Function over Arrow batches of index sets that keeps each query's k best.
-
-    ``table`` holds the query sets.  Overlaps of a chunk of index sets with all
-    queries of a block are one gather and one segmented sum; only the k best
-    rows per query leave the task, whatever it read.
-    """
-
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        q_keys = np.asarray(table.value["set_key"], dtype=object)
-        q_sizes = np.asarray(table.value["n"], dtype=np.int64)
-        q_ids, q_ends = table.value["flat"], np.cumsum(q_sizes)
-        step = int(max(1, min(512, (16_000_000 / max(1.0, q_sizes.mean())) ** 0.5)))
-        blocks = []
-        for lo in range(0, len(q_keys), step):
-            hi = min(lo + step, len(q_keys))
-            ids = q_ids[q_ends[lo] - q_sizes[lo] : q_ends[hi - 1]]
-            vocab, place = np.unique(ids, return_inverse=True)
-            owner = np.repeat(np.arange(hi - lo), q_sizes[lo:hi])
-            has = np.zeros((len(vocab), hi - lo), dtype=np.int32)
-            has[place, owner] = 1
-            blocks.append((lo, hi, vocab, has))
-        none = (np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64), np.empty(0, object))
-        best, floor = none, np.zeros(len(q_keys))
-
-        def keep(q, sim, pos, key):
-            merged = [np.concatenate(p) for p in zip(best, (q, sim, pos, key))]
-            order = np.lexsort((merged[2], -merged[1], merged[0]))
-            q, sim, pos, key = (m[order] for m in merged)
-            starts = np.searchsorted(q, q)
-            rank = np.arange(len(q)) - starts
-            full = q[rank == k - 1]
-            floor[full] = sim[rank == k - 1]
-            cut = rank < k
-            return q[cut], sim[cut], pos[cut], key[cut]
-
-        for batch in batches:
-            keys = np.asarray(batch.column("set_key").to_pylist(), dtype=object)
-            sizes = batch.column("n").to_numpy()
-            pos = batch.column("first_pos").to_numpy()
-            flat = batch.column("bits").flatten().to_numpy()
-            ends = np.cumsum(sizes)
-            blank_q = np.flatnonzero(q_sizes == 0)
-            for row in np.flatnonzero(sizes == 0):
-                best = keep(
-                    blank_q, np.ones(len(blank_q)), np.repeat(pos[row], len(blank_q)),
-                    np.repeat(keys[row : row + 1], len(blank_q)),
-                )
-            for lo, hi, vocab, has in blocks:
-                if not len(vocab):
-                    continue
-                at = np.minimum(np.searchsorted(vocab, flat), len(vocab) - 1)
-                known = np.flatnonzero(vocab[at] == flat)
-                rows = np.searchsorted(ends, known, side="right")
-                hop = max(1, 8_000_000 // (hi - lo))
-                first = 0
-                while first < len(known):
-                    # Cut between rows so that a row's features are summed together.
-                    last = min(first + hop, len(known))
-                    if last < len(known):
-                        last = max(np.searchsorted(rows, rows[last], side="left"), first)
-                        if last == first:
-                            last = np.searchsorted(rows, rows[first], side="right")
-                    part = rows[first:last]
-                    begin = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-                    who = part[begin]
-                    shared = np.add.reduceat(has[at[known[first:last]]], begin, axis=0)
-                    sim = shared / (sizes[who][:, None] + q_sizes[lo:hi][None, :] - shared)
-                    r, c = np.nonzero((shared > 0) & (sim >= floor[lo:hi][None, :]))
-                    best = keep(c + lo, sim[r, c], pos[who[r]], keys[who[r]])
-                    first = last
-        q, sim, pos, key = best
-        yield pa.RecordBatch.from_pydict(
-            {
-                "q_key": pa.array(q_keys[q].tolist(), pa.string()),
-                "set_key": pa.array(key.tolist(), pa.string()),
-                "similarity": pa.array(sim, pa.float64()),
-                "first_pos": pa.array(pos, pa.int64()),
-            }
-        )
-
-    return run
-
-
-def scan_sets(queries: DataFrame, sets: DataFrame, k: int) -> DataFrame:
-    """The k best sets per query by one pass over the index, for a bounded query table."""
-    import numpy as np
-
-    local = queries.select("set_key", "n", "bits").toArrow()
-    table = queries.sparkSession.sparkContext.broadcast(
-        {
-            "set_key": local.column("set_key").to_pylist(),
-            "n": local.column("n").to_numpy(),
-            "flat": np.concatenate(
-                [np.empty(0, np.int64)]
-                + [c.flatten().to_numpy().astype(np.int64) for c in local.column("bits").chunks]
-            ),
-        }
-    )
-    found = sets.select("set_key", "n", F.col("first_pos").cast("long"), "bits").mapInArrow(
-        _query_block_kernel(table, k),
-        "q_key string, set_key string, similarity double, first_pos long",
-    )
-    w = Window.partitionBy("q_key").orderBy(F.desc("similarity"), F.asc("first_pos"))
-    return found.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") <= k).drop("__rn")
-
-
 def tanimoto_topk(
     queries: DataFrame,
     index: DataFrame,
     k: int,
     *,
-    n_bits: int | None,
     query: str = "query_id",
     item: str = "item_id",
     key: str = "key",
@@ -400,13 +102,16 @@ def tanimoto_topk(
     """``query_id, item_id, similarity, rank`` of the k most similar index items.
 
     A query table within ``SCAN_QUERIES`` and ``SCAN_FEATURES`` is shipped to
-    every task and the index is read once, in place.  A larger one is joined to
-    the index on features.  Both are exact; ``scan`` forces one of them.
+    every task and the index is read once, in place.  A larger one meets the
+    index in blocks by set length.  Both are exact; ``scan`` forces one of them.
 
     An item with exactly the query's key comes first, then similarity
     downwards, ties in ``pos`` order.  When fewer than k items share a feature
     the list is filled in ``pos`` order with similarity 0.  ``pos`` is unique.
     """
+    # features are computed once: several of the steps below read them
+    index = materialize(index.select(*dict.fromkeys((item, key, bits, pos))), "index")
+    queries = materialize(queries.select(*dict.fromkeys((query, key, bits))), "asked")
     sets = distinct_sets(index, key, bits, pos)
     q_index = queries.withColumn("__pos", F.col(query))
     q_sets = materialize(distinct_sets(q_index, key, bits, "__pos"), "queries")
@@ -416,9 +121,7 @@ def tanimoto_topk(
         scan = bounded
     elif scan and not bounded:
         raise ValueError("too many queries to ship to every task; use scan=False")
-    best = scan_sets(q_sets, sets, k) if scan else top_sets(
-        q_sets, materialize(sets, "sets"), k, n_bits
-    )
+    best = scan_sets(q_sets, sets, k) if scan else join_sets(q_sets, sets, k)
     # Only the first k members of a set can be among the first k items.
     wm = Window.partitionBy("set_key").orderBy("__pos")
     members = (

@@ -19,15 +19,13 @@ def retrieve_and_judge(
     queries: DataFrame,
     index: DataFrame,
     k: int,
-    *,
-    n_bits: int | None,
 ) -> tuple[DataFrame, DataFrame]:
     """``(queries, judged)`` of the retrieval run.
 
     ``queries`` holds ``query_id, canonical, key, bits, size``; ``index`` holds
     ``item_id, canonical, key, bits, pos``.
     """
-    found = tanimoto_topk(queries, index, k, n_bits=n_bits)
+    found = tanimoto_topk(queries, index, k)
     targets = queries.select(
         "query_id", F.col("key").alias("q_key"), F.col("canonical").alias("q_canonical")
     )
@@ -62,10 +60,10 @@ def retrieve_and_judge(
 
 
 def retrieval_baseline(
-    queries: DataFrame, index: DataFrame, k: int, ks: Sequence[int], *, n_bits: int | None
+    queries: DataFrame, index: DataFrame, k: int, ks: Sequence[int]
 ) -> DataFrame:
     """Metric report of nearest-item retrieval on the queries a model would be scored on."""
-    q, judged = retrieve_and_judge(queries, index, k, n_bits=n_bits)
+    q, judged = retrieve_and_judge(queries, index, k)
     return metrics.recovery_report(metrics.query_summary(q, judged), ks)
 
 
@@ -158,13 +156,13 @@ def perturbed_queries(
 
 
 def perturbation_probe(
-    perturbed: DataFrame, index: DataFrame, k: int, cfg: FeatureConfig
+    perturbed: DataFrame, index: DataFrame, k: int
 ) -> DataFrame:
     """What retrieval returns when the query's features are damaged, averaged per condition."""
     targets = perturbed.withColumn(
         "pid", F.concat_ws("#", "condition", F.col("query_id").cast("string"))
     )
-    found = tanimoto_topk(targets, index, k, n_bits=cfg.n_bits, query="pid")
+    found = tanimoto_topk(targets, index, k, query="pid")
     own = F.col("c_canonical") == F.col("canonical")
     drift = tanimoto_sets(F.col("bits"), F.col("o_bits"))
     rows = (

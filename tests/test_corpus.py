@@ -6,6 +6,8 @@ import gzip
 import itertools
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from shortlist.functions import features as fx
 from shortlist.functions import text as tx
 from shortlist.functions.features import FeatureConfig
 from shortlist.functions.hashing import order_key
-from shortlist.operators import collisions, order, prep, retrieve
+from shortlist.operators import collisions, order, prep, retrieve, similar
 from shortlist.plans import prepare, retrieval
 from shortlist.sources import corpus, dumps
 
@@ -162,14 +164,46 @@ def brute(index, queries, k):
     return sorted(out)
 
 
-@pytest.mark.parametrize("scan,n_bits", [(True, 256), (False, 256), (False, None)])
-def test_topk_equals_brute_force(sets, scan, n_bits):
+@pytest.mark.parametrize("scan,chunk", [(True, 4096), (False, 4096), (False, 5)])
+def test_topk_equals_brute_force(sets, scan, chunk, monkeypatch):
+    monkeypatch.setattr(similar, "CHUNK", chunk)
+    monkeypatch.setattr(similar, "BLOCK", chunk)
     index, queries, idf, qdf = sets
-    got = retrieve.tanimoto_topk(qdf, idf, 7, n_bits=n_bits, scan=scan).collect()
+    got = retrieve.tanimoto_topk(qdf, idf, 7, scan=scan).collect()
     rows = sorted((r["query_id"], r["item_id"], round(r["similarity"], 9), r["rank"]) for r in got)
     assert rows == brute(index, queries, 7)
 
 
+@pytest.mark.parametrize("step,vocabulary,cells", [(256, 4096, 1 << 22), (3, 20, 60), (7, 1, 1)])
+def test_nearest_block_by_block(step, vocabulary, cells, monkeypatch):
+    for name, value in (("STEP", step), ("VOCABULARY", vocabulary), ("CELLS", cells)):
+        monkeypatch.setattr(similar, name, value)
+    rng = random.Random(step)
+    draw = lambda: sorted(rng.sample(range(60), rng.choice((0, 1, 2, 5, 9, 30))))
+    queries, index = [draw() for _ in range(40)], [draw() for _ in range(300)]
+
+    def held(rows, pos):
+        return similar.Sets.of([str(i) for i in range(len(rows))], pa.array(rows, pa.list_(pa.int64())), np.array(pos))[0]
+
+    pos = list(range(len(index)))
+    rng.shuffle(pos)
+    state = similar.Nearest(held(queries, [0] * len(queries)), 6)
+    for at in range(0, 300, 70):  # several batches, as in a task
+        state.meet(similar.Sets.of([str(i) for i in range(at, min(at + 70, 300))], pa.array(index[at : at + 70], pa.list_(pa.int64())), np.array(pos[at : at + 70]))[0])
+    got = {}
+    found = {c: v.to_pylist() for c, v in state.found().items()}
+    for q, x, s, p in zip(*(found[c] for c in ("q_key", "set_key", "similarity", "first_pos"))):
+        assert pos[int(x)] == p
+        got.setdefault(int(q), []).append((-s, p))
+    for i, q in enumerate(queries):
+        want = []
+        for x, p in zip(index, pos):
+            both, union = len(set(q) & set(x)), len(set(q) | set(x))
+            if both or not union:
+                want.append((-(both / union if union else 1.0), p))
+        assert sorted(got.get(i, [])) == sorted(want)[:6]
+
+
 def test_multiset_bits_reproduce_count_similarity(spark):
     df = spark.createDataFrame([({1: 3, 2: 1}, {1: 1, 2: 2, 3: 1})], "a map<bigint,int>, b map<bigint,int>")
     a, b = (retrieve.multiset_bits(F.col(c)) for c in "ab")
@@ -197,7 +231,7 @@ def test_perturbation_probe_against_brute_force(spark):
     cfg = FeatureConfig(n_bits=64)
     conditions = retrieval.perturbation_conditions(("drop", "add"), (0, 3))
     damaged = retrieval.perturbed_queries(qdf, cfg, conditions, "s")
-    got = {r["condition"]: r for r in retrieval.perturbation_probe(damaged, idf, 2, cfg).collect()}
+    got = {r["condition"]: r for r in retrieval.perturbation_probe(damaged, idf, 2).collect()}
     assert got["none"]["hit_perturbed"] == got["none"]["exact_original"] == 1
     assert got["none"]["target_vs_original"] == 1
     sim = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b))
