@@ -20,6 +20,8 @@ QUERY = ("run", "query_id")
 BUDGETS = ("molecules", "strings")
 ORDERS = ("generation", "consensus")
 DEDUPE_MODES = ("canonical", "raw", "none")
+#: Positions of a query's candidates that are judged under one join key.
+SPAN = 4096
 
 
 def _check(value: str, allowed: Sequence[str], what: str) -> None:
@@ -49,11 +51,19 @@ def judge(
     target_key: str = "target_key",
     target_map: str = "target_map",
     target_canonical: str = "target_canonical",
+    pos: str = "pos",
+    span: int = SPAN,
 ) -> DataFrame:
-    """Verdict of every candidate against its query's target."""
-    joined = cands.join(
-        targets.select(query, target_key, target_map, target_canonical), query
-    )
+    """Verdict of every candidate against its query's target.
+
+    A query's candidates meet its target in stretches of ``span`` positions, so that one query
+    with any number of candidates is as many join keys; a target is copied once per stretch.
+    """
+    stretch = F.floor(F.col(pos) / span).alias("__stretch")
+    split = cands.select("*", stretch)
+    used = split.select(query, "__stretch").distinct()
+    copies = targets.select(query, target_key, target_map, target_canonical).join(used, query)
+    joined = split.join(copies, [query, "__stretch"]).drop("__stretch")
     valid = F.col(canonical).isNotNull()
     return (
         joined.withColumn("valid", valid)
