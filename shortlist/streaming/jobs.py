@@ -9,9 +9,12 @@ writes one folder per batch id.  Without one it starts afresh in a folder of its
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.hashing import order_key
 from ..session import is_complete, shared_dir
@@ -23,23 +26,108 @@ def _folders(spark: SparkSession, name: str, folder: str | None) -> tuple[str, s
     return f"{base}/out", f"{base}/state"
 
 
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def rocksdb_state(spark: SparkSession) -> Iterator[None]:
+    """Queries started inside keep their state in RocksDB, on disk and keyed; a checkpoint
+    remembers its store, so the session's own setting comes back afterwards."""
+    before = spark.conf.get(_STORE, None)
+    spark.conf.set(_STORE, _ROCKSDB)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_STORE)
+        else:
+            spark.conf.set(_STORE, before)
+
+
 def run_to_end(stream: DataFrame, name: str, folder: str | None = None, **options) -> DataFrame:
     """Process everything available through a parquet sink and return the table."""
     spark = stream.sparkSession
     out, state = _folders(spark, name, folder)
-    query = (
-        stream.writeStream.format("parquet")
-        .option("path", out)
-        .option("checkpointLocation", state)
-        .options(**options)
-        .trigger(availableNow=True)
-        .outputMode("append")
-        .start()
-    )
-    query.awaitTermination()
+    with rocksdb_state(spark):
+        query = (
+            stream.writeStream.format("parquet")
+            .option("path", out)
+            .option("checkpointLocation", state)
+            .options(**options)
+            .trigger(availableNow=True)
+            .outputMode("append")
+            .start()
+        )
+        query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 
 
+class _JudgingState(StatefulProcessor):
+    """First draws and filled slots of one query, in keyed state.
+
+    ``raws`` and ``items`` are map states: a draw looks up its own string and item, whatever else
+    the query has drawn.  Only a query's draws of one trigger are held at once.
+    """
+
+    def __init__(self, k: int, cap: int, strings: bool, idle_ms: int):
+        self.k, self.cap, self.strings, self.idle_ms = k, cap, strings, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.counts = handle.getValueState("counts", "drawn long, filled long")
+        self.raws = handle.getMapState("raws", "raw string", "draw long")
+        self.items = handle.getMapState("items", "canonical string", "draw long")
+
+    def _new_to(self, known, names, draws):
+        """Which rows come first under their name, here and in ``known``; those are added to it."""
+        first = ~names.duplicated().to_numpy()
+        for i in first.nonzero()[0]:
+            # a null string is a name of its own
+            name = (f"={names.iloc[i]}" if isinstance(names.iloc[i], str) else "",)
+            first[i] = not known.containsKey(name)
+            if first[i]:
+                known.updateValue(name, (int(draws.iloc[i]),))
+        return first
+
+    def handleInputRows(self, key, rows, timerValues):
+        import pandas as pd
+
+        rows = pd.concat(list(rows)).sort_values("draw")
+        drawn, filled = self.counts.get() if self.counts.exists() else (0, 0)
+        rows["drawn"] = drawn + 1 + pd.RangeIndex(len(rows)).to_numpy()
+        fresh = rows[self._new_to(self.raws, rows["raw"], rows["draw"])].reset_index(drop=True)
+        valid = fresh["canonical"].notna()
+        once = valid.copy()
+        some = fresh[valid]
+        once[valid] = self._new_to(self.items, some["canonical"], some["draw"])
+        fills = once | ~valid if self.strings else once
+        n_filled = filled + fills.cumsum()
+        wants = (n_filled < self.k) & (fresh["drawn"] < self.cap)
+        self.counts.update((drawn + len(rows), filled + int(fills.sum())))
+        latest = max(int(rows["at"].max().timestamp() * 1000), timerValues.getCurrentWatermarkInMs())
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(latest + self.idle_ms)
+        yield pd.DataFrame(
+            {
+                "run": key[0], "query_id": key[1], "draw": fresh["draw"], "raw": fresh["raw"],
+                "canonical": fresh["canonical"].where(valid, None), "duplicate": valid & ~once,
+                "n_filled": n_filled.astype("int32"), "wants_more": wants,
+            }
+        )
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        import pandas as pd
+
+        for state in (self.counts, self.raws, self.items):
+            state.clear()
+        yield pd.DataFrame()
+
+    def close(self) -> None:
+        pass
+
+
 def incremental_judging(
     draws: DataFrame,
     k: int,
@@ -55,52 +143,17 @@ def incremental_judging(
     ``draws`` holds ``run, query_id, draw, raw, canonical`` and an event time.
     The output adds
     ``duplicate``, the running ``n_filled`` and ``wants_more``, which turns false
-    when k slots are filled or ``cap`` draws are spent.  A query's state is its distinct
-    strings: below ``cap`` if the sampler stops when told to, and as many as it sends if
-    not, since no draw is thrown away.  State idle in event time expires.
-    Judging comes after this, on the rows that are left.
+    when k slots are filled or ``cap`` draws are spent.  A query's distinct strings and items are
+    map state in the RocksDB store, looked up by key, so they may outgrow memory; state idle in
+    event time expires by a timer.  Judging comes after this, on the rows that are left.
     """
     schema = (
         "run string, query_id long, draw long, raw string, canonical string, "
         "duplicate boolean, n_filled int, wants_more boolean"
     )
-    state_schema = "raws array<string>, canonicals array<string>, drawn int, filled int"
-    strings = budget == "strings"
-
-    def update(key, frames, state):
-        import pandas as pd
-
-        raws, canonicals, drawn, filled = state.get if state.exists else ([], [], 0, 0)
-        raws, canonicals = set(raws), set(canonicals)
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(frames)).sort_values("draw")
-        out = []
-        for draw, raw, canonical in zip(rows["draw"], rows["raw"], rows["canonical"]):
-            drawn += 1
-            if raw in raws:
-                continue
-            raws.add(raw)
-            valid = isinstance(canonical, str)
-            repeat = valid and canonical in canonicals
-            if valid:
-                canonicals.add(canonical)
-            filled += int(not repeat and (valid or strings))
-            out.append(
-                (key[0], key[1], draw, raw, canonical if valid else None, repeat, filled,
-                 filled < k and drawn < cap)
-            )
-        state.update((sorted(raws), sorted(canonicals), drawn, filled))
-        latest = int(rows["at"].max().timestamp() * 1000)
-        state.setTimeoutTimestamp(
-            max(latest, state.getCurrentWatermarkMs()) + idle_minutes * 60_000
-        )
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
-
     rows = draws.withColumn("at", F.col(event_time)).withWatermark(event_time, lateness)
-    return rows.groupBy("run", "query_id").applyInPandasWithState(
-        update, schema, state_schema, "append", "EventTimeTimeout"
+    return rows.groupBy("run", "query_id").transformWithStateInPandas(
+        _JudgingState(k, cap, budget == "strings", idle_minutes * 60_000), schema, "Append", "EventTime"
     )
 
 

@@ -37,6 +37,60 @@ def test_incremental_judging_keeps_state_between_rounds(spark, tmp_path):
     ]
 
 
+def one_by_one(rows, k, cap, strings=False):
+    """The same judging over all draws of a query in a plain loop."""
+    out = []
+    for query in sorted({r[1] for r in rows}):
+        raws, items, drawn, filled = set(), set(), 0, 0
+        for _, q, draw, raw, canonical in sorted((r for r in rows if r[1] == query), key=lambda r: r[2]):
+            drawn += 1
+            if raw in raws:
+                continue
+            raws.add(raw)
+            repeat = canonical is not None and canonical in items
+            items.add(canonical)
+            filled += (canonical is not None and not repeat) or (strings and canonical is None)
+            out.append((q, draw, raw, canonical, repeat, filled, filled < k and drawn < cap))
+    return out
+
+
+def test_judging_stopped_and_resumed_equals_one_pass(spark, tmp_path):
+    import random
+
+    rng = random.Random(6)
+    rows = [
+        ("a", q, d, None if (d * q) % 31 == 7 else f"r{rng.randint(0, 40)}", rng.choice([None, *(f"c{i}" for i in range(15))]))
+        for q, n in ((1, 400), (2, 7), (3, 1), (4, 60))
+        for d in range(n)
+    ]
+    schema = "run string, query_id long, draw long, raw string, canonical string"
+    path = str(tmp_path / "in")
+    whole = spark.createDataFrame(rows, schema).withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("draw")))
+    read = lambda: spark.readStream.schema(whole.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    for budget in ("molecules", "strings"):
+        folder = str(tmp_path / budget)
+        for lo, hi in ((0, 30), (30, 33), (33, 500)):
+            part = whole.filter((F.col("draw") >= lo) & (F.col("draw") < hi))
+            if budget == "molecules":
+                part.coalesce(1).write.mode("append").parquet(path)
+            out = jobs.run_to_end(jobs.incremental_judging(read(), k=9, cap=50, budget=budget), "t", folder=folder)
+        got = [tuple(r)[1:] for r in out.collect()]
+        assert sorted(got, key=lambda r: r[:2]) == one_by_one(rows, 9, 50, budget == "strings")
+
+
+def test_idle_state_expires(spark, tmp_path):
+    path, folder = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "run string, query_id long, draw long, raw string, canonical string, ts timestamp"
+    read = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    hour = 3600
+    # the second round pushes the watermark past the first query's timer; its strings are new again
+    for at, q in ((0, 1), (5 * hour, 2), (5 * hour + 60, 2), (6 * hour, 1)):
+        row = spark.createDataFrame([("a", q, at, "x", "c")], "run string, query_id long, draw long, raw string, canonical string")
+        row.withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000 + at))).coalesce(1).write.mode("append").parquet(path)
+        out = jobs.run_to_end(jobs.incremental_judging(read(), k=3, cap=9), "t", folder=folder)
+    assert sorted((r.query_id, r.draw) for r in out.collect()) == [(1, 0), (1, 6 * hour), (2, 5 * hour)]
+
+
 def test_jobs_go_on_where_they_stopped(spark, tmp_path):
     path, seen = str(tmp_path / "in"), []
     for lo, hi in ((0, 100), (100, 300)):
