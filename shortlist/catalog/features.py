@@ -392,6 +392,16 @@ def tanimoto_topk_join(spark, path):
     return retrieve.tanimoto_topk(queries, index, 5, scan=False)
 
 
+LEAST = 0.6
+
+
+@query("near_topk", f"{_SELF_KNN} AND similarity >= {LEAST}")
+def near_topk(spark, path):
+    """The same lists cut at a similarity, proposed by banded min-hashes instead of every pair."""
+    index = _index(spark, path, B2048).drop("tokens")
+    return retrieve.near_topk(index.select(F.col("item_id").alias("query_id"), "key", "bits"), index, 5, LEAST)
+
+
 #: Words of a passage; a document has fewer than PASSAGES of them.
 PASSAGE, PASSAGES = 16, 4096
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from .minhash import near_sets
 from .similar import join_sets, scan_sets
 
 #: Largest query table shipped to every task by the scan: about 60 MB.
@@ -87,6 +88,48 @@ def distinct_sets(index: DataFrame, key: str, bits: str, pos: str) -> DataFrame:
     )
 
 
+def listed_items(best: DataFrame, index: DataFrame, k: int, item: str, key: str, pos: str) -> DataFrame:
+    """``q_key``, item, ``similarity``, ``__pos``, ``rank``: the first k items of a query's sets."""
+    # Only the first k members of a set can be among the first k items.
+    wm = Window.partitionBy("set_key").orderBy("__pos")
+    members = (
+        index.select(F.col(key).alias("set_key"), item, F.col(pos).alias("__pos"))
+        .withColumn("__rn", F.row_number().over(wm))
+        .filter(F.col("__rn") <= k)
+        .select("set_key", item, "__pos")
+    )
+    found = best.join(members, "set_key").select("q_key", item, "similarity", "__pos")
+    wq = Window.partitionBy("q_key").orderBy(F.desc("similarity"), F.asc("__pos"))
+    return found.withColumn("rank", F.row_number().over(wq)).filter(F.col("rank") <= k)
+
+
+def near_topk(
+    queries: DataFrame,
+    index: DataFrame,
+    k: int,
+    least: float,
+    *,
+    query: str = "query_id",
+    item: str = "item_id",
+    key: str = "key",
+    bits: str = "bits",
+    pos: str = "pos",
+) -> DataFrame:
+    """Like :func:`tanimoto_topk`, of items at least ``least`` alike, found by banded min-hashes.
+
+    Similarities are exact and no list holds a pair below ``least``; a pair may be missing with
+    the small probability that :mod:`minhash` states.
+    """
+    index = materialize(index.select(*dict.fromkeys((item, key, bits, pos))), "index")
+    queries = materialize(queries.select(*dict.fromkeys((query, key, bits))), "asked")
+    q_sets = distinct_sets(queries.withColumn("__pos", F.col(query)), key, bits, "__pos")
+    best = near_sets(q_sets, distinct_sets(index, key, bits, pos), k, least)
+    ranked = listed_items(best, index, k, item, key, pos)
+    return queries.select(query, F.col(key).alias("q_key")).join(ranked, "q_key").select(
+        query, item, "similarity", "rank"
+    )
+
+
 def tanimoto_topk(
     queries: DataFrame,
     index: DataFrame,
@@ -122,22 +165,7 @@ def tanimoto_topk(
     elif scan and not bounded:
         raise ValueError("too many queries to ship to every task; use scan=False")
     best = scan_sets(q_sets, sets, k) if scan else join_sets(q_sets, sets, k)
-    # Only the first k members of a set can be among the first k items.
-    wm = Window.partitionBy("set_key").orderBy("__pos")
-    members = (
-        index.select(F.col(key).alias("set_key"), item, F.col(pos).alias("__pos"))
-        .withColumn("__rn", F.row_number().over(wm))
-        .filter(F.col("__rn") <= k)
-        .select("set_key", item, "__pos")
-    )
-    found = (
-        best.join(members, "set_key")
-        .select(F.col("q_key"), item, "similarity", "__pos")
-    )
-    wq = Window.partitionBy("q_key").orderBy(F.desc("similarity"), F.asc("__pos"))
-    ranked = materialize(
-        found.withColumn("rank", F.row_number().over(wq)).filter(F.col("rank") <= k), "ranked"
-    )
+    ranked = materialize(listed_items(best, index, k, item, key, pos), "ranked")
     # Fill short lists from the head of the index: 2k rows hold k that are not listed yet.
     all_q = queries.select(F.col(key).alias("q_key")).distinct()
     short = (

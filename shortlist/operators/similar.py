@@ -257,7 +257,7 @@ def _reachable(queries: DataFrame, all_buckets: list[Bucket]) -> DataFrame:
     )
 
 
-def _met(queries: DataFrame, sets: DataFrame, k: int) -> DataFrame:
+def met(queries: DataFrame, sets: DataFrame, k: int) -> DataFrame:
     """The k best sets of every (query, chunk) pair of ``queries``, which carries ``floor``."""
     pairs = queries.select("chunk", "block").distinct()
     index = sets.select(*[F.col(c).alias(f"x_{c}") for c in ("chunk", "set_key", "first_pos", "bits")])
@@ -271,11 +271,11 @@ def _met(queries: DataFrame, sets: DataFrame, k: int) -> DataFrame:
         state = Nearest(q, k, column(right, "floor")[order])
         state.meet(Sets.of(left.column("x_set_key").to_pylist(), _list(left.column("x_bits")), column(left, "x_first_pos"))[0])
         found = state.found()
-        return pa.Table.from_pydict({**found, "chunk": pa.array([key[0].as_py()] * len(found["q_key"]), pa.int32())}, schema=schema)
+        return pa.Table.from_pydict({**found, "chunk": pa.array([key[0].as_py()] * len(found["q_key"]), pa.int64())}, schema=schema)
 
-    schema = _FOUND.append(pa.field("chunk", pa.int32()))
+    schema = _FOUND.append(pa.field("chunk", pa.int64()))
     both = index.groupBy("x_chunk", "x_block").cogroup(queries.groupBy("chunk", "block"))
-    return both.applyInArrow(run, f"{FOUND}, chunk int")
+    return both.applyInArrow(run, f"{FOUND}, chunk long")
 
 
 def join_sets(queries: DataFrame, sets: DataFrame, k: int) -> DataFrame:
@@ -290,11 +290,11 @@ def join_sets(queries: DataFrame, sets: DataFrame, k: int) -> DataFrame:
         F.col("set_key").alias("q_key"), F.col("n").alias("q_n"), F.col("bits").alias("q_bits"), "block"
     )
     asked = _near(asked, lengths)
-    first = materialize(_met(asked.withColumn("floor", F.lit(0.0)), index, k), "nearest-first")
+    first = materialize(met(asked.withColumn("floor", F.lit(0.0)), index, k), "nearest-first")
     reached = first.groupBy(F.col("q_key").alias("r_key")).agg(F.min("similarity").alias("least"), F.count("*").alias("have"))
     floor = F.when(F.col("have") >= k, F.col("least")).otherwise(F.lit(0.0))
     bounded = asked.join(reached, F.col("q_key") == F.col("r_key"), "left").withColumn("floor", floor)
-    rest = _met(_reachable(bounded.drop("r_key", "least", "have"), lengths), index, k)
+    rest = met(_reachable(bounded.drop("r_key", "least", "have"), lengths), index, k)
     groups = max(1, round(sum(b.chunks for b in lengths) ** 0.5))
     lists = first.unionByName(rest).withColumn("part", F.col("chunk") % groups)
     return best_of(best_of(lists, k, "part").drop("part", "chunk"), k)

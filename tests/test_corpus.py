@@ -15,7 +15,7 @@ from shortlist.functions import features as fx
 from shortlist.functions import text as tx
 from shortlist.functions.features import FeatureConfig
 from shortlist.functions.hashing import order_key
-from shortlist.operators import collisions, order, prep, retrieve, similar
+from shortlist.operators import collisions, minhash, order, prep, retrieve, similar
 from shortlist.plans import prepare, retrieval
 from shortlist.sources import corpus, dumps
 
@@ -204,6 +204,35 @@ def test_nearest_block_by_block(step, vocabulary, cells, monkeypatch):
         assert sorted(got.get(i, [])) == sorted(want)[:6]
 
 
+@pytest.mark.parametrize("small,chunk", [(64, 4096), (2, 16)])
+def test_near_topk_finds_what_the_exact_search_finds(spark, small, chunk, monkeypatch):
+    """Recall against every pair, with a hot group of near copies that is one large bucket."""
+    monkeypatch.setattr(minhash, "SMALL", small)
+    monkeypatch.setattr(similar, "CHUNK", chunk)
+    monkeypatch.setattr(similar, "BLOCK", chunk)
+    rng = random.Random(9)
+    sets = {i: set(rng.sample(range(3000), rng.randint(10, 40))) for i in range(120)}
+    for i in range(120, 300):  # edited copies, most of one set
+        base = set(sets[5 if i % 2 else rng.randrange(120)])
+        for _ in range(rng.randint(0, 4)):
+            base.discard(rng.choice(sorted(base)))
+            base.add(rng.randrange(3000))
+        sets[i] = base
+    sets[300], sets[301] = set(), set()
+    df = spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()], "item_id long, bits array<bigint>")
+    df = df.withColumn("key", fx.set_key(F.col("bits"))).withColumn("pos", F.col("item_id"))
+    asked = df.select(F.col("item_id").alias("query_id"), "key", "bits")
+    got = {(r.query_id, r["rank"]): (r.item_id, round(r.similarity, 9)) for r in retrieve.near_topk(asked, df, 6, 0.6).collect()}
+    like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    want = {}
+    for q, s in sets.items():
+        near = sorted((-like(s, t), i) for i, t in sets.items() if like(s, t) >= 0.6)[:6]
+        want |= {(q, n): (i, round(-v, 9)) for n, (v, i) in enumerate(near, 1)}
+    assert all(like(sets[q], sets[i]) == pytest.approx(v) and v >= 0.6 for (q, _), (i, v) in got.items())
+    pairs = lambda d: {(q, i) for (q, _), (i, _) in d.items()}
+    assert len(pairs(want) & pairs(got)) >= 0.99 * len(want)  # 0.9 is due
+
+
 def test_multiset_bits_reproduce_count_similarity(spark):
     df = spark.createDataFrame([({1: 3, 2: 1}, {1: 1, 2: 2, 3: 1})], "a map<bigint,int>, b map<bigint,int>")
     a, b = (retrieve.multiset_bits(F.col(c)) for c in "ab")
