@@ -1,0 +1,24 @@
+"""Runs of equal values inside a sorted array, without leaving the row."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, also where ``body`` uses it in lambdas."""
+    return F.transform(F.array(value), body)[0]
+
+
+def run_starts(ordered: Column, value: Callable[[Column], Column] = lambda x: x) -> Column:
+    """0-based places at which a value differs from the one before it; ``ordered`` is not empty."""
+    at = lambda i: value(F.get(ordered, i))
+    return F.filter(F.sequence(F.lit(0), F.size(ordered) - 1), lambda i: (i == 0) | (at(i) != at(i - 1)))
+
+
+def run_length(ordered: Column, starts: Column, start: Column, i: Column) -> Column:
+    """Length of the i-th run: up to the next start, or to the end."""
+    return F.coalesce(F.get(starts, i + 1), F.size(ordered)) - start

@@ -6,11 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.order import vocabulary_rank
+from ..session import materialize
+from .runs import let, run_length, run_starts
 
 # The special tokens and their ids, in order.
 SPECIALS = ("<pad>", "<bos>", "<eos>", "<unk>")
 PAD_ID, BOS_ID, EOS_ID, UNK_ID = range(4)
 
+#: Most frequent tokens that are shipped to every task instead of being join keys.
+HOT = 1024
+
 #: Default token pattern: a word, a run of digits, or any single other character.
 TOKEN_PATTERN = r"([a-z]+|[0-9]+|[^a-z0-9])"
 
@@ -33,10 +38,12 @@ def tokenize_strict(text: Column, pattern: str = TOKEN_PATTERN) -> Column:
 
 def build_vocabulary(df: DataFrame, tokens: str, min_count: int = 1) -> DataFrame:
     """``token, n, id``: specials lead, then the kept tokens in text order."""
+    # Repeats are counted inside the document, so a token moves once per document at most.
+    inside = lambda s: let(run_starts(s), lambda starts: _counts(s, starts))
+    per_document = df.filter(F.size(tokens) > 0).select(F.inline(let(F.array_sort(tokens), inside)))
     counted = (
-        df.select(F.explode(tokens).alias("token"))
-        .groupBy("token")
-        .agg(F.count(F.lit(1)).alias("n"))
+        per_document.groupBy("token")
+        .agg(F.sum("k").cast("long").alias("n"))
         .filter((F.col("n") >= min_count) & ~F.col("token").isin(*SPECIALS))
     )
     ranked = vocabulary_rank(counted, "token").select(
@@ -49,28 +56,55 @@ def build_vocabulary(df: DataFrame, tokens: str, min_count: int = 1) -> DataFram
     return head.unionByName(ranked)
 
 
+def _counts(ordered: Column, starts: Column) -> Column:
+    one = lambda at, i: F.struct(F.get(ordered, at).alias("token"), run_length(ordered, starts, at, i).alias("k"))
+    return F.transform(starts, one)
+
+
+def _looked_up(rows: DataFrame, item: str, values: str, names: DataFrame) -> DataFrame:
+    """``item, codes``: one ``name, code`` per distinct value of the item, in value order.
+
+    ``names`` holds ``name, code, n``.  Frequent names, which would be hot join keys, are a
+    broadcast of at most ``HOT`` rows; all others are joined, once per item that holds them.
+    """
+    hot = F.broadcast(names.orderBy(F.desc("n"), "name").limit(HOT).select("name", F.col("code").alias("hot")))
+    parts = rows.select(item, F.explode(F.array_distinct(values)).alias("name")).join(hot, "name", "left")
+    rest = parts.filter(F.col("hot").isNull()).join(names.select("name", "code"), "name", "left")
+    found = parts.filter(F.col("hot").isNotNull()).withColumnRenamed("hot", "code").unionByName(rest.drop("hot"))
+    return found.groupBy(item).agg(F.array_sort(F.collect_list(F.struct("name", "code"))).alias("codes"))
+
+
+def _replaced(values: Column, codes: Column, missing: Column) -> Column:
+    """Every value by its code: values in order run along ``codes``, and go back to their places."""
+
+    def rebuilt(placed: Column) -> Column:
+        def run(starts: Column) -> Column:
+            def coded(at: Column, i: Column) -> Column:
+                code = F.coalesce(F.get(codes, i)["code"], missing)
+                part = F.slice(placed, at + 1, run_length(placed, starts, at, i))
+                return F.transform(part, lambda o: F.struct(o["place"].alias("place"), code.alias("code")))
+
+            return F.transform(F.array_sort(F.flatten(F.transform(starts, coded))), lambda o: o["code"])
+
+        return let(run_starts(placed, lambda o: o["value"]), run)
+
+    place = F.transform(values, lambda v, i: F.struct(v.alias("value"), i.alias("place")))
+    return F.when(F.size(values) > 0, let(F.array_sort(place), rebuilt))
+
+
 def encode(
     df: DataFrame, item: str, tokens: str, vocab: DataFrame, *, add_special: bool = True
 ) -> DataFrame:
     """``item, ids``: unknown tokens become ``<unk>``.
 
-    The vocabulary grows with the corpus, so it is joined by token instead of
-    being shipped whole to every task; one group holds one item's tokens.
+    The vocabulary grows with the corpus, so it is joined, by each item's distinct tokens; the
+    occurrences stay in their row.  ``vocab`` holds ``token, n, id``.
     """
-    exploded = df.select(item, F.posexplode_outer(tokens).alias("__p", "token"))
-    joined = exploded.join(vocab.select("token", "id"), "token", "left")
-    ids = joined.groupBy(item).agg(
-        F.transform(
-            F.array_sort(
-                F.collect_list(
-                    F.when(
-                        F.col("__p").isNotNull(),
-                        F.struct("__p", F.coalesce("id", F.lit(UNK_ID)).alias("id")),
-                    )
-                )
-            ),
-            lambda s: s["id"],
-        ).alias("ids")
+    names = materialize(vocab.select(F.col("token").alias("name"), F.col("id").alias("code"), "n"), "vocabulary")
+    rows = df.select(item, F.col(tokens).alias("__v"))
+    unknown = F.lit(UNK_ID).cast("long")
+    ids = rows.join(_looked_up(rows, item, "__v", names), item, "left").select(
+        item, F.coalesce(_replaced(F.col("__v"), F.col("codes"), unknown), F.array().cast("array<bigint>")).alias("ids")
     )
     if not add_special:
         return ids
@@ -83,21 +117,17 @@ def encode(
 
 
 def decode(df: DataFrame, item: str, ids: str, vocab: DataFrame) -> DataFrame:
-    """``item, text``: stop at the first ``<eos>`` and drop specials."""
+    """``item, text``: stop at the first ``<eos>`` and drop specials; ids without a token are left out."""
     stop = F.array_position(F.col(ids), F.lit(EOS_ID).cast("long"))
     body = F.when(stop > 0, F.slice(F.col(ids), F.lit(1), (stop - 1).cast("int"))).otherwise(
         F.col(ids)
     )
     kept = F.filter(body, lambda i: ~i.isin(PAD_ID, BOS_ID, UNK_ID))
-    exploded = df.select(item, F.posexplode_outer(kept).alias("__p", "id"))
-    joined = exploded.join(vocab.select("id", "token"), "id", "left")
-    parts = joined.groupBy(item).agg(
-        F.array_sort(
-            F.collect_list(F.when(F.col("__p").isNotNull(), F.struct("__p", "token")))
-        ).alias("__s")
-    )
-    return parts.select(
-        item, F.array_join(F.transform("__s", lambda s: s["token"]), "").alias("text")
+    names = materialize(vocab.select(F.col("id").alias("name"), F.col("token").alias("code"), "n"), "vocabulary")
+    rows = df.select(item, F.coalesce(kept, F.array().cast("array<bigint>")).alias("__v"))
+    parts = _replaced(F.col("__v"), F.col("codes"), F.lit(""))
+    return rows.join(_looked_up(rows, item, "__v", names), item, "left").select(
+        item, F.coalesce(F.array_join(parts, ""), F.lit("")).alias("text")
     )
 
 

@@ -17,6 +17,7 @@ from ..functions.bands import (
 )
 from .judge import QUERY, proposals
 from .metrics import hit_at
+from .quantiles import medians
 
 # Fixed values.
 RUNGS = (1, 2, 5, 10, 20, 30, 40, 60, 80, 100, 150, 200)
@@ -261,22 +262,14 @@ def recovery_by_bins(rows: DataFrame, value: str, edges: Sequence[int]) -> DataF
 
 def success_vs_failure(rows: DataFrame, attributes: Sequence[str]) -> DataFrame:
     """Median of each attribute among hits and among misses."""
-    cells = F.array(
-        *[
-            F.struct(
-                F.lit(a).alias("attribute"),
-                F.percentile(F.when(F.col("hit"), F.col(a)), 0.5).alias("hit_median"),
-                F.percentile(F.when(~F.col("hit"), F.col(a)), 0.5).alias("fail_median"),
-            )
-            for a in attributes
-        ]
-    )
-    return (
-        rows.groupBy("run")
-        .agg(cells.alias("cells"))
-        .select("run", F.explode("cells").alias("c"))
-        .select("run", "c.*")
-    )
+    cells = F.array(*[F.struct(F.lit(a).alias("attribute"), F.col(a).cast("double").alias("v")) for a in attributes])
+    long = rows.select("run", "hit", F.explode(cells).alias("c")).select("run", "hit", "c.*")
+    found = medians(long, ["run", "attribute", "hit"], "v")
+    names = F.array(*[F.lit(a) for a in attributes])
+    every = rows.select("run").distinct().withColumn("attribute", F.explode(names))
+    of = lambda hit: F.max(F.when(F.col("hit") == hit, F.col("median")))
+    wide = found.groupBy("run", "attribute").agg(of(True).alias("hit_median"), of(False).alias("fail_median"))
+    return every.join(wide, ["run", "attribute"], "left").select("run", "attribute", "hit_median", "fail_median")
 
 
 def recovery_by_flag(rows: DataFrame, flags: dict[str, Column]) -> DataFrame:

@@ -17,6 +17,8 @@ from ..functions.hashing import ORDER_BITS, order_key, unit_interval
 
 #: Ranges of a global order: 10**11 rows come to some millions each.
 BUCKET_BITS = 14
+#: Share of a hash order that is read first, and how much more each further step reads.
+FIRST_SHARE, GROWTH = 1 / 256, 4
 
 
 def _hash_range(key: Column, bits: int) -> Column:
@@ -136,6 +138,21 @@ def nested_prefix(
     return global_rank(df, key, tie, out=out, limit=n)
 
 
+def head_of_order(df: DataFrame, key: str, kept: str, enough: int) -> DataFrame:
+    """Rows of the least hash range, in steps of ``GROWTH``, that holds ``enough`` kept rows.
+
+    Keys are uniform, so a step's count decides whether the next, larger range is needed; rows
+    behind the range are never ranked.  The whole table is the last step.
+    """
+    share = FIRST_SHARE
+    while share < 1:
+        head = df.filter(F.col(key) < int(share * 2**ORDER_BITS))
+        if (head.agg(F.sum(F.col(kept).cast("long"))).first()[0] or 0) >= enough:
+            return head
+        share *= GROWTH
+    return df
+
+
 def chunked_prefix(
     df: DataFrame, key: str, tie: str, kept: str, n: int, chunk: int
 ) -> DataFrame:
@@ -143,8 +160,10 @@ def chunked_prefix(
 
     ``df`` holds every record read, ``kept`` flags those that survive; whole
     chunks are taken until the survivors reach ``n``, so the result overshoots.
+    Only the head of the order that is sure to hold them is ranked.
     """
-    ranked = global_rank(df, key, tie, out="__read").withColumn(
+    # chunks cut by the head's end hold less than a chunk of survivors
+    ranked = global_rank(head_of_order(df, key, kept, n + chunk), key, tie, out="__read").withColumn(
         "__chunk", F.floor((F.col("__read") - 1) / chunk)
     )
     per_chunk = ranked.groupBy("__chunk").agg(

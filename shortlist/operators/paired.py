@@ -18,6 +18,7 @@ from ..functions import stats
 from ..functions.bands import DEFAULT_BANDS, Band, band_labels
 from .guards import require
 from .metrics import hits
+from .quantiles import medians
 
 TOTAL = "*"
 
@@ -216,7 +217,6 @@ def seed_agreement(matrix: DataFrame, runs: Sequence[str]) -> DataFrame:
         F.struct(
             F.lit(j).alias("solved_by"),
             F.count_if(F.col("solved") == j).alias("observed"),
-            F.percentile(F.when(F.col("solved") == j, F.col("size")), 0.5).alias("median_size"),
         )
         for j in range(m + 1)
     ]
@@ -225,11 +225,12 @@ def seed_agreement(matrix: DataFrame, runs: Sequence[str]) -> DataFrame:
         F.count(F.lit(1)).alias("n"), mean.alias("p"), F.array(*per_j).alias("by_j")
     )
     chances = F.array(*[stats.binomial_expected(F.col("n"), m, j, F.col("p")) for j in range(m + 1)])
-    return total.select(
+    counted = total.select(
         F.explode(F.arrays_zip("by_j", chances.alias("expected"))).alias("e")
     ).select(
         F.col("e.by_j.solved_by").alias("solved_by"),
         F.col("e.by_j.observed").alias("observed"),
         F.col("e.expected").alias("expected_if_independent"),
-        F.col("e.by_j.median_size").alias("median_size"),
     )
+    sizes = medians(rows.select(F.col("solved").alias("solved_by"), "size"), ["solved_by"], "size")
+    return counted.join(sizes.withColumnRenamed("median", "median_size"), "solved_by", "left")

@@ -387,3 +387,40 @@ def test_mask_cache_is_per_config(spark, tmp_path):
     assert dumps.cached_mask(two, base, "bb").first()["u"] is False
     assert dumps.cached_mask(two, base, "aa", split="valid").first()["u"] is False
     assert dumps.cached_mask(two, base, "aa", grouping="source").first()["u"] is False
+
+
+@pytest.mark.parametrize("hot", [0, 2, 1024])
+def test_encoding_by_distinct_tokens_against_one_by_one(spark, hot, monkeypatch):
+    monkeypatch.setattr(tx, "HOT", hot)
+    rng = random.Random(hot)
+    docs = {i: [rng.choice(["a", "a", " ", "b", f"w{rng.randint(0, 9)}"]) for _ in range(rng.randint(0, 40))] for i in range(30)}
+    docs[30], docs[31] = [], ["never", "never"]
+    df = spark.createDataFrame(list(docs.items()), "item_id long, t array<string>")
+    vocab = tx.build_vocabulary(df.filter("item_id < 30"), "t", 2)
+    table = {r.token: (r.id, r.n) for r in vocab.collect()}
+    counts = {}
+    for d in range(30):
+        for token in docs[d]:
+            counts[token] = counts.get(token, 0) + 1
+    assert {k: n for k, (_, n) in table.items() if k not in tx.SPECIALS} == {k: n for k, n in counts.items() if n >= 2}
+    ids = tx.encode(df, "item_id", "t", vocab)
+    got = {r.item_id: list(r.ids) for r in ids.collect()}
+    assert got == {i: [tx.BOS_ID, *(table.get(w, (tx.UNK_ID,))[0] for w in d), tx.EOS_ID] for i, d in docs.items()}
+    back = {r.item_id: r.text for r in tx.decode(ids, "item_id", "ids", vocab).collect()}
+    assert back == {i: "".join(w for w in d if w in table) for i, d in docs.items()}
+
+
+def test_prefix_reads_only_the_head_of_the_order(spark):
+    df = spark.range(20_000).select(
+        F.col("id").alias("item"), order_key("h", F.col("id")).alias("k"), (F.col("id") % 3 == 0).alias("kept")
+    )
+    head = order.head_of_order(df, "k", "kept", 20)
+    assert 60 <= head.count() < 2_000  # a share of the ranges, not the table
+    assert order.head_of_order(df, "k", "kept", 50_000).count() == 20_000
+    got = sorted(r.item for r in order.chunked_prefix(df, "k", "item", "kept", 30, 7).collect())
+    rows = df.orderBy("k", "item").collect()
+    want, at = [], 0
+    while len(want) < 30:
+        want += [r.item for r in rows[at : at + 7] if r.kept]
+        at += 7
+    assert got == sorted(want)

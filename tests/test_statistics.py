@@ -218,3 +218,29 @@ def test_arm_grammar():
     for bad in ("a", "a=", "a=,", "a=@x", "5-", "x+"):
         with pytest.raises(ValueError):
             (parse_band if bad[0] in "5x" else parse_arm)(bad)
+
+
+@pytest.mark.parametrize("ranges", [4096, 3])
+def test_medians_in_two_passes(spark, ranges, monkeypatch):
+    """Against the sorted values, with weights, a null group, equal values and a hot group."""
+    import random
+    import statistics
+
+    from shortlist.operators import quantiles
+
+    monkeypatch.setattr(quantiles, "RANGES", ranges)
+    rng = random.Random(ranges)
+    groups = {
+        "even": [(rng.randint(-50, 50) / 4, rng.randint(1, 4)) for _ in range(40)],
+        "hot": [(rng.choice([7.5, rng.random() * 1e6]), 1) for _ in range(2001)],
+        "one": [(3.0, 1)],
+        "two": [(1.0, 1), (4.0, 1)],
+        "equal": [(2.0, 5)] * 3,
+        None: [(1.0, 1), (2.0, 1), (9.0, 2)],
+    }
+    rows = [(g, v, w) for g, values in groups.items() for v, w in values] + [("even", None, 9), ("none", None, 1)]
+    df = spark.createDataFrame(rows, "g string, v double, w int").repartition(4)
+    got = {r.g: r["median"] for r in quantiles.medians(df, ["g"], "v", F.col("w")).collect()}
+    assert got == {g: statistics.median([v for v, w in values for _ in range(w)]) for g, values in groups.items()}
+    plain = {r.g: r["median"] for r in quantiles.medians(df, ["g"], "v").collect()}
+    assert plain == {g: statistics.median([v for v, _ in values]) for g, values in groups.items()}
