@@ -539,42 +539,91 @@ def rejudge(spark, path):
 CONDITIONS = plans.perturbation_conditions(("drop", "add", "swap"), (0, 2, 8))
 
 
-@query("perturbation_probe")
-def perturbation_probe(spark, path):
-    """Damaged queries against an index that holds the undamaged ones.
+def _condition_row(name, mode, n) -> str:
+    n_drop = n // 2 if mode == "swap" else n * (mode == "drop")
+    return f"('{name}', '{mode}', {n}, {n_drop}, {n - n_drop})"
+
+
+_DAMAGED = f"""{_BQ}, qo AS (SELECT query_id, canonical, bits, {v.bits_key('bits')} AS key
+    FROM (SELECT query_id, canonical, {v.feature_bits('tokens', 2048)} AS bits FROM bq)),
+  pc(condition, mode, n, n_drop, n_add) AS (VALUES {", ".join(_condition_row(*c) for c in CONDITIONS)}),
+  rd AS (SELECT condition, query_id, b, row_number() OVER (PARTITION BY condition, query_id
+      ORDER BY md5('pp:' || mode || ':' || n || ':drop:' || query_id || ':' || b), b) AS r,
+      greatest(least(n_drop, nb - 1), 0) AS k
+    FROM (SELECT query_id, len(bits) AS nb, unnest(bits) AS b FROM qo), pc),
+  ra AS (SELECT condition, query_id, u.b, n_add, row_number() OVER (PARTITION BY condition, query_id
+      ORDER BY md5('pp:' || mode || ':' || n || ':add:' || query_id || ':' || u.b), u.b) AS r
+    FROM qo, pc, (SELECT unnest(range(2048)) AS b) u WHERE n_add > 0 AND NOT list_contains(bits, u.b)),
+  pl AS (SELECT condition, query_id, list(b ORDER BY b) AS bits FROM (
+      SELECT condition, query_id, b FROM rd WHERE r > k
+      UNION ALL SELECT condition, query_id, b FROM ra WHERE r <= n_add) GROUP BY ALL),
+  pb AS (SELECT pc.condition, qo.query_id, coalesce(pl.bits, []) AS bits, qo.bits AS o_bits, qo.key AS o_key, canonical
+    FROM qo CROSS JOIN pc LEFT JOIN pl ON pl.condition = pc.condition AND pl.query_id = qo.query_id)"""
+
+
+def _sim(a: str, b: str) -> str:
+    shared = f"len(list_intersect({a}, {b}))"
+    return f"CASE WHEN len({a}) + len({b}) = 0 THEN 1.0 ELSE {shared} / (len({a}) + len({b}) - {shared}) END"
+
+
+_PROBED = (
+    "hit_perturbed", "hit_original_fp", "exact_original", "best_tan_perturbed", "best_tan_original",
+    "target_vs_original", "novel_fraction", "beats_original_on_target", "validity", "distinct",
+)
 
-    Checked against brute force in the tests; the pairs of all conditions are
-    too many for the SQL side.
-    """
+
+@query(
+    "perturbation_probe",
+    f"""WITH {_D}, {_bits_sql(2048)}, {_DAMAGED},
+    ix AS (SELECT item_id, canonical, key, bits FROM fb UNION ALL
+      SELECT -1 - min(query_id), canonical, any_value(key), any_value(bits) FROM qo GROUP BY canonical),
+    qe AS (SELECT condition, query_id, unnest(bits) AS bit FROM pb),
+    ie AS (SELECT item_id, unnest(bits) AS bit FROM ix),
+    ov AS (SELECT condition, query_id, item_id, count(*) AS o FROM qe JOIN ie USING (bit) GROUP BY ALL),
+    pairs AS (SELECT q.condition, q.query_id, i.item_id, CASE WHEN len(q.bits) + len(i.bits) = 0 THEN 1.0
+        ELSE coalesce(o, 0) / (len(q.bits) + len(i.bits) - coalesce(o, 0)) END AS similarity
+      FROM pb q CROSS JOIN ix i LEFT JOIN ov
+        ON ov.condition = q.condition AND ov.query_id = q.query_id AND ov.item_id = i.item_id),
+    knn AS (SELECT * FROM pairs QUALIFY row_number() OVER
+      (PARTITION BY condition, query_id ORDER BY similarity DESC, item_id) <= 10),
+    m AS (SELECT k.condition, k.query_id, similarity, {_sim('i.bits', 'p.o_bits')} AS os, {_sim('p.bits', 'p.o_bits')} AS tvo,
+        i.key = {v.bits_key('p.bits')} AS hp, i.key = p.o_key AS ho, i.canonical = p.canonical AS own, i.canonical AS c
+      FROM knn k JOIN pb p USING (condition, query_id) JOIN ix i USING (item_id)),
+    pq AS (SELECT condition, query_id, max(hp::INT) AS hit_perturbed, max(ho::INT) AS hit_original_fp,
+        max(own::INT) AS exact_original, max(similarity) AS best_tan_perturbed, max(os) AS best_tan_original,
+        max(tvo) AS target_vs_original, avg((NOT own)::INT) AS novel_fraction,
+        max((NOT own AND similarity > tvo)::INT) AS beats_original_on_target,
+        avg((c IS NOT NULL)::INT) AS validity, count(DISTINCT c) AS distinct
+      FROM m GROUP BY condition, query_id)
+    SELECT condition, count(*) AS n_queries, {", ".join(f'round(avg("{c}"), 8) AS "{c}"' for c in _PROBED)}
+    FROM pq GROUP BY condition""",
+)
+def perturbation_probe(spark, path):
+    """Damaged queries against an index that holds the undamaged ones."""
     q = _bench(spark, path, B2048)
     docs = _index(spark, path, B2048, "canonical").select(
         "item_id", "canonical", "key", "bits", "pos"
     )
-    own = q.dropDuplicates(["canonical"]).select(
-        (-1 - F.col("query_id")).alias("item_id"), "canonical", "key", "bits",
-        (-1 - F.col("query_id")).alias("pos"),
-    )
+    own = q.groupBy("canonical").agg(
+        (-1 - F.min("query_id")).alias("item_id"),
+        F.min_by("key", "query_id").alias("key"),
+        F.min_by("bits", "query_id").alias("bits"),
+    ).withColumn("pos", F.col("item_id"))
     damaged = plans.perturbed_queries(q, B2048, CONDITIONS, "pp")
     return plans.perturbation_probe(damaged, docs.unionByName(own), 10)
 
 
 @query(
     "perturbed_sets",
-    f"""WITH {_BQ}, qb AS (SELECT query_id, {v.feature_bits('tokens', 2048)} AS bits FROM bq),
-    dr AS (SELECT query_id, len(bits) - least(2, len(bits) - 1) AS n FROM qb)
-    SELECT 'none' AS condition, query_id, len(bits)::INT AS n_set FROM qb
-    UNION ALL SELECT 'drop2', query_id, n::INT FROM dr
-    UNION ALL SELECT 'drop8', query_id, (len(bits) - greatest(least(8, len(bits) - 1), 0))::INT FROM qb
-    UNION ALL SELECT 'add2', query_id, (len(bits) + 2)::INT FROM qb
-    UNION ALL SELECT 'add8', query_id, (len(bits) + 8)::INT FROM qb
-    UNION ALL SELECT 'swap2', query_id,
-      (len(bits) - greatest(least(1, len(bits) - 1), 0) + 1)::INT FROM qb
-    UNION ALL SELECT 'swap8', query_id,
-      (len(bits) - greatest(least(4, len(bits) - 1), 0) + 4)::INT FROM qb""",
+    f"""WITH {_DAMAGED} SELECT condition, query_id, len(bits)::INT AS n_set, {v.bits_key('bits')} AS key,
+      len(list_intersect(bits, o_bits)) AS n_shared FROM pb""",
 )
 def perturbed_sets(spark, path):
+    """Which bits the damage left, and, by packed words, how many of the original ones."""
     damaged = plans.perturbed_queries(_bench(spark, path, B2048), B2048, CONDITIONS, "pp")
-    return damaged.select("condition", "query_id", F.size("bits").alias("n_set"))
+    words = [fx.packed_words(F.col(c), B2048.n_bits) for c in ("bits", "o_bits")]
+    shared = fx.shared_bits(*words).cast("long").alias("n_shared")
+    return damaged.select("condition", "query_id", F.size("bits").alias("n_set"), "key", shared)
 
 
 # --------------------------------------------------- feature count against size
