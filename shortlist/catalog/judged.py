@@ -8,6 +8,7 @@ from ..functions import stats
 from ..functions.bands import parse_arm
 from ..functions.hashing import hash_bucket
 from ..operators import anatomy, arms, ensembles, judge, metrics, paired, policy
+from ..operators.bandjoin import count_by_band
 from ..operators.guards import same_queries
 from ..plans import protocols
 from ..sources import tables as t
@@ -638,6 +639,29 @@ def preimage_poisson(spark, path):
     return anatomy.preimages(_bias_rows(spark, path), BANDS)
 
 
+_SUPPLIER_BANDS = """bands AS (SELECT s_suppkey AS band, CASE WHEN s_nationkey % 9 <> 0 THEN s_suppkey % 53 END AS lo,
+    CASE WHEN s_nationkey % 7 <> 0 THEN s_suppkey % 53 + s_nationkey END AS hi FROM supplier)"""
+
+
+@query(
+    "recovery_by_band_table",
+    _sql(
+        f""", {_SUPPLIER_BANDS}, u AS (SELECT size, coalesce(rank_gen_fp < 20, false)::INT AS hit FROM summary WHERE fp_unseen)
+      SELECT band, lo, hi, count(size) AS n, coalesce(sum(hit), 0)::BIGINT AS hits FROM bands
+      LEFT JOIN u ON (lo IS NULL OR size >= lo) AND (hi IS NULL OR size <= hi) GROUP BY band, lo, hi"""
+    ),
+)
+def recovery_by_band_table(spark, path):
+    """Recovery within a band of each supplier: bands from a table, overlapping, some open-ended."""
+    key, nation = F.col("s_suppkey"), F.col("s_nationkey")
+    low = (key % 53).cast("long")
+    bands = t.table(spark, path, "supplier").select(
+        key.alias("band"), F.when(nation % 9 != 0, low).alias("lo"), F.when(nation % 7 != 0, low + nation).alias("hi")
+    )
+    rows = _summary(spark, path).filter("fp_unseen").select("size", metrics.hit_at(20).cast("long").alias("hits"))
+    return count_by_band(rows, "size", bands, "hits")
+
+
 _FAIL = f""", f AS (SELECT *, coalesce(rank_gen_fp < 10, false) AS hit,
     {v.hb("'w:' || query_id", 4)} AS twins, {v.hb("'l:' || query_id", 30)} AS n_tokens,
     {v.hb("'c:' || query_id", 3)} = 0 AS charged
