@@ -97,7 +97,13 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = True  # added tokens are cut out before; a piece is plain text
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.added = {t.content: i for i, t in added.items()}
+        #: Whether a text falls apart at added tokens before anything else happens to it.
+        self.apart = not any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added.values())
+        longest_first = sorted(map(re.escape, self.added), key=len, reverse=True)
+        self.cuts = re.compile("(" + "|".join(longest_first) + ")", 0 if self.apart else re.IGNORECASE)
         self.keys, self.unit, self.between, self.before = keys, unit, between, before
         (self.mark,) = self._plain([between])[0]
         self.stops = {c: i for c, (i,) in zip(_STOPS, self._plain(list(_STOPS)))}
@@ -176,15 +182,27 @@ class Encoder:
         self.uses.add(np.zeros(len(keys), np.int64))
 
     def encode(self, text: str | None) -> Iterator[np.ndarray]:
-        """Ids of one text, in parts."""
-        for chunk in chunks(text or ""):
-            yield from self._encode([self.keys(chunk)])
+        """Ids of one text, in parts.  Strings of added tokens are those tokens, as in the library."""
+        if not text or not self.added or not self.cuts.search(text):
+            for chunk in chunks(text or ""):
+                yield from self._encode([self.keys(chunk)])
+        elif not self.apart:
+            self.tokenizer.encode_special_tokens = False
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+            self.tokenizer.encode_special_tokens = True
+            yield np.array(ids, np.uint32)
+        else:
+            for part in filter(None, self.cuts.split(text)):
+                if part in self.added:
+                    yield np.array([self.added[part]], np.uint32)
+                else:
+                    yield from self.encode(part)
 
     def encode_all(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """Ids of each text, as one array each."""
         for at in range(0, len(texts), BATCH):
             part = [t or "" for t in texts[at : at + BATCH]]
-            if sum(map(len, part)) > 16 * CHUNK:
+            if sum(map(len, part)) > 16 * CHUNK or any(map(self.cuts.search, part)) and self.added:
                 for t in part:
                     yield np.concatenate(list(self.encode(t)))
             else:

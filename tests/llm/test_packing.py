@@ -16,15 +16,15 @@ public = pytest.importorskip("public_tokenizers")
 
 TEXTS = [
     "a  b", "", "  x", " a\n\nb ", "\ta b\r\nc", "é x y", "a 's b's don't", "\n", "a \n b", "x\x1cy z", "　a b",
-    "1 2  3\n4", "á ́b", "İ Σς ΑΣ ", None, "<|endoftext|> a", "a <|endoftext|>", "a|b || c | |", "a. b, c., .d ...",
+    "1 2  3\n4", "á ́b", "İ Σς ΑΣ ", None, "<|endoftext|> a", "a <|endoftext|>", "<|startoftext|>x",
+    "a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>  x", "<|ENDOFTEXT|> <|endoftext|", "é<|endoftext|>\n a", "a|b || c | |", "a. b, c., .d ...",
     "x.\ny, z.\n", "\x1c", "Ünder_score 12.5, 3.", "word " * 3000, "x" * 5000,
 ]
 
 
 def plain(name):
-    t = Tokenizer.from_file(public.path(name))
-    t.encode_special_tokens = True
-    return t
+    """The library as it comes: strings of added tokens are those tokens."""
+    return Tokenizer.from_file(public.path(name))
 
 
 @pytest.mark.parametrize("chunk", [tokens.CHUNK, 20])
@@ -36,6 +36,7 @@ def test_ids_are_those_of_the_library(name, make, chunk, monkeypatch):
     monkeypatch.setattr(tokens, "KEEP", 50)
     rng = random.Random(1)
     texts = TEXTS + ["".join(rng.choices("ab.,' \n|1é́\t", k=rng.randint(1, 60))) for _ in range(600)]
+    texts += ["".join(rng.choices(["<|endoftext|>", "<|startoftext|>", "<|", "a b", " ", "é", "\n"], k=9)) for _ in range(200)]
     encoder, library = make(public.path(name)), plain(name)
     want = [e.ids for e in library.encode_batch([t or "" for t in texts], add_special_tokens=False)]
     assert [x.tolist() for x in encoder.encode_all(texts)] == want

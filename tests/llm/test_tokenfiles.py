@@ -102,7 +102,6 @@ def test_files_hold_the_ids_in_order(spark, tmp_path):
     docs = [(i * 7 % 501, " ".join(rng.choices(["the", "Größe", "x\n", "12", "<|endoftext|>"], k=rng.randint(0, 90)))) for i in range(300)]
     docs += [(9001, None), (9000, ""), (-4, "long word " * 4000)]
     library = Tokenizer.from_file(PATH)
-    library.encode_special_tokens = True
     at, want = 0, []
     for d, t in sorted(docs, key=lambda x: x[0]):
         ids = [*library.encode(t or "", add_special_tokens=False).ids, T.END_ID]
