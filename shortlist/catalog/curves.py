@@ -107,11 +107,11 @@ def pair_exponents(spark, path):
     "break_even",
     f"""WITH {_BUDGET}, c AS (SELECT band, ln((1 - a.recovery) / (1 - b.recovery)) / ln(3.0) AS c
       FROM (SELECT * FROM ladder WHERE run = 's1' AND k = 20) a
-      JOIN (SELECT * FROM ladder WHERE run = 's2' AND k = 20) b USING (band)),
+      JOIN (SELECT * FROM ladder WHERE run = 's3' AND k = 20) b USING (band)),
     j AS (SELECT band, -s AS b, c FROM c JOIN (SELECT * FROM bf WHERE run = 's1') USING (band)
       WHERE c > 0 AND -s > 0)
     SELECT band, round(b, 6) AS b, round(c, 6) AS c, round(c / b, 6) AS ratio, cut,
-      round(1.5 * 5000 * (pow(cut, -1 / c) - 1) / (0.01 * 20 * (pow(cut, -1 / b) - 1)), 2) AS queries,
+      round(log10(1.5 * 5000 * (pow(cut, -1 / c) - 1) / (0.01 * 20 * (pow(cut, -1 / b) - 1))), 6) AS log10_queries,
       round(20 * pow(cut, -1 / b), 4) AS k_needed
     FROM j, (VALUES (0.5::DOUBLE), (0.8::DOUBLE)) cuts(cut)""",
 )
@@ -119,7 +119,7 @@ def break_even(spark, path):
     """Bands without a falling step curve have no break-even and no row."""
     ladder = _ladder(spark, path)
     steps = curves.pair_exponents(
-        ladder.filter(F.col("run") == "s1"), ladder.filter(F.col("run") == "s2"), 1000, 3000
+        ladder.filter(F.col("run") == "s1"), ladder.filter(F.col("run") == "s3"), 1000, 3000
     )
     budget = curves.budget_fit(ladder, min_k=2, extrapolate_from=10, targets=(0.9,)).filter(
         F.col("run") == "s1"
@@ -131,7 +131,7 @@ def break_even(spark, path):
         "band",
         *[F.round(c, 6).alias(c) for c in ("b", "c", "ratio")],
         "cut",
-        F.round("queries", 2).alias("queries"),
+        F.round(F.log10("queries"), 6).alias("log10_queries"),
         F.round("k_needed", 4).alias("k_needed"),
     )
 
@@ -330,6 +330,28 @@ def exchange_rate(spark, path):
     )
 
 
+@query(
+    "score_exchange",
+    f"""WITH {_CELLS}, e AS (SELECT band, (passes - matched) * 100 / 2.3 AS g FROM cl)
+    SELECT band, round(g, 6) AS points_per_pass_doubling, round(g / 13.0, 6) AS passes_over_corpus,
+      1.5::DOUBLE AS registered_gain, round(g - 1.5, 6) AS gain_minus_registered,
+      round(g / 1.5, 6) AS gain_over_registered,
+      CASE WHEN g / 13.0 < 0.03 THEN printf('below by %.3f', 0.03 - g / 13.0)
+        WHEN g / 13.0 > 0.06 THEN printf('above by %.3f', g / 13.0 - 0.06) ELSE 'inside' END AS exchange_verdict
+    FROM e""",
+)
+def score_exchange(spark, path):
+    """The gain of a pass doubling against its registered value, its worth in corpus doublings against a range."""
+    rates = _rates(spark, path)
+    gains = registration.exchange_rate(
+        rates.filter(F.col("run") == "s1"), rates.filter(F.col("run") == "s3"), 2.3, 13.0
+    )
+    rows = registration.score_exchange(gains, registered_gain=1.5, ratio_range=(0.03, 0.06)).drop("short", "long")
+    return rows.select(
+        *[F.round(c, 6).alias(c) if ty == "double" else F.col(c) for c, ty in rows.dtypes]
+    )
+
+
 _REGISTERED = {"0-25": 0.2, "26-51": 0.3, "52+": 0.4, "all": 0.25}
 _MAP = " ".join(f"WHEN '{b}' THEN {x}" for b, x in _REGISTERED.items())
 

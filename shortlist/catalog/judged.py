@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import stats
@@ -11,6 +13,7 @@ from ..operators import anatomy, arms, ensembles, judge, metrics, paired, policy
 from ..operators.bandjoin import count_by_band
 from ..operators.guards import same_queries
 from ..plans import protocols
+from ..session import shared_dir
 from ..sources import tables as t
 from . import sqlviews as v
 from .registry import query
@@ -1337,3 +1340,26 @@ def group_novelty_penalty(spark, path):
     return protocols.novelty_penalty(
         _summary(spark, path).join(flagged.select("query_id", "group_seen"), "query_id"), 20
     )
+
+
+@query(
+    "evaluate_run",
+    _sql(
+        """, m AS (SELECT run, coalesce(avg(coalesce(rank_gen_fp < 20, false)::INT) FILTER (fp_unseen), 0) AS primary_metric,
+        count(*) AS n_queries, sum(n_candidates)::BIGINT AS n_candidates FROM summary GROUP BY run)
+      SELECT run, round(primary_metric, 8) AS primary_metric, round(primary_metric, 8) AS recorded_metric,
+        round(CASE WHEN run <> 's1' THEN primary_metric - (SELECT primary_metric FROM m WHERE run = 's1') END, 8) AS delta,
+        n_queries, n_candidates, (SELECT count(*) FROM judged) AS observed_candidates,
+        (SELECT count(*) FILTER (valid) FROM judged) AS observed_valid, true AS timed FROM m"""
+    ),
+)
+def evaluate_run(spark, path):
+    """Dumps, report, deltas and ledger of every run; throughput is measured but not compared."""
+    queries = t.queries(spark, path).withColumn("ref_canonical", F.concat(F.lit("query "), F.col("query_id").cast("string")))
+    folder = f"{shared_dir(spark)}/shortlist-evaluated-{uuid.uuid4().hex}"
+    out = protocols.evaluate_chain(queries, t.judged(spark, path), folder, baseline="s1", ks=KS)
+    timed = (F.col("elapsed_seconds") > 0) & (F.col("queries_per_second") > 0) & (F.col("candidates_per_second") > 0)
+    return out.select(
+        "run", "primary_metric", "recorded_metric", "delta", "n_queries", "n_candidates", "observed_candidates",
+        "observed_valid", timed.alias("timed"),
+    )

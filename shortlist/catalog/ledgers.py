@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_bucket
 from ..operators import ledger
-from ..operators.guards import same_protocol
+from ..operators.guards import protocol, same_protocol
 from ..sources import tables as t
 from . import sqlviews as v
 from .curves import TRACE
@@ -144,22 +144,43 @@ def schedule_horizons(spark, path):
     return ledger.horizons(_records(spark, path))
 
 
+#: Schedules as recorded end apart; cut to so many steps they end together.
+_CAP = 20
+_GATES = f"""gates AS (SELECT 'as_recorded' AS schedule, count(DISTINCT horizon) <= 1 AS open FROM hz WHERE run IN {_RUNS}
+  UNION ALL SELECT 'cut', count(DISTINCT least(horizon, {_CAP})) <= 1 FROM hz WHERE run IN {_RUNS})"""
+
+
 @query(
     "matched_steps_gated",
-    f"""WITH {TRACE}, {_HZ}
-    SELECT step, {', '.join(f"max(recovery) FILTER (run = '{r}') AS {r}" for r in _RUNS)}
-    FROM trace WHERE run IN {_RUNS} AND (SELECT count(DISTINCT horizon) <= 1 FROM hz WHERE run IN {_RUNS})
-    GROUP BY step HAVING count(DISTINCT run) = 3""",
+    f"""WITH {TRACE}, {_HZ}, {_GATES}
+    SELECT schedule, step, {', '.join(f"max(recovery) FILTER (run = '{r}') AS {r}" for r in _RUNS)}
+    FROM trace, gates WHERE run IN {_RUNS} AND open
+    GROUP BY schedule, step HAVING count(DISTINCT run) = 3""",
 )
 def matched_steps_gated(spark, path):
-    """No rows when the schedules end at different steps."""
-    schedule = ledger.horizons(_records(spark, path).filter(F.col("run").isin(*_RUNS)))
-    return ledger.matched_steps(t.trace(spark, path), _RUNS, schedule)
+    """No rows when the schedules end at different steps; all of them once they end together."""
+    recorded = ledger.horizons(_records(spark, path).filter(F.col("run").isin(*_RUNS)))
+    cut = recorded.withColumn("horizon", F.least("horizon", F.lit(_CAP)))
+    rows = [
+        ledger.matched_steps(t.trace(spark, path), _RUNS, schedule).withColumn("schedule", F.lit(name))
+        for name, schedule in (("as_recorded", recorded), ("cut", cut))
+    ]
+    return rows[0].unionByName(rows[1])
 
 
 @query(
     "comparable_runs",
-    f"WITH {TRACE} SELECT run, true AS comparable FROM trace GROUP BY run",
+    f"""WITH {TRACE}, p AS (SELECT scope, run, CASE WHEN scope = 'mixed' AND run = 'error' THEN 'strings' ELSE 'molecules' END AS budget
+      FROM trace, (VALUES ('same'), ('mixed')) s(scope) GROUP BY scope, run)
+    SELECT scope, run, (SELECT count(DISTINCT budget) <= 1 FROM p o WHERE o.scope = p.scope) AS comparable FROM p""",
 )
 def comparable_runs(spark, path):
-    return ledger.comparable(t.trace(spark, path)).select("run", "comparable")
+    """Under one protocol all runs compare; once one run counts slots differently, none do."""
+    same = t.trace(spark, path)
+    other = protocol(F.lit("strings"), F.array(F.lit(1), F.lit(5), F.lit(20)), F.lit(True))
+    mixed = same.withColumn("protocol", F.when(F.col("run") == "error", other).otherwise(F.col("protocol")))
+    rows = [
+        ledger.comparable(rows).select(F.lit(scope).alias("scope"), "run", "comparable")
+        for scope, rows in (("same", same), ("mixed", mixed))
+    ]
+    return rows[0].unionByName(rows[1])

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import anatomy, metrics, paired, policy
+from ..operators.retrieve import group_novelty
+from ..plans import protocols
 from ..sources import retrieved as r
 from . import sqlviews as v
 from .registry import query
@@ -212,3 +214,29 @@ def retrieved_policy(spark, path):
 )
 def retrieved_policy_curve(spark, path):
     return policy.policy_curve(_arms(spark, path), thresholds=CURVE)
+
+
+_PER_GROUP = 40
+_OPENING = 2
+
+
+@query(
+    "group_novelty_probe",
+    _sql(
+        f""", og AS (SELECT item_id, held, array_to_string(tokens[1:{_OPENING}], ' ') AS g FROM pool),
+      fl AS (SELECT item_id AS query_id, g IN (SELECT g FROM og WHERE NOT held) AS group_seen FROM og WHERE held),
+      dr AS (SELECT * FROM fl QUALIFY row_number() OVER (PARTITION BY group_seen
+        ORDER BY {v.okey("'np:' || query_id")}, query_id) <= {_PER_GROUP})
+      SELECT run, group_seen, count(*) AS n_sampled, count(*) FILTER (fp_unseen) AS n_fp_unseen,
+        {", ".join(f"round(avg(coalesce(rank_gen_fp < {k}, false)::INT) FILTER (fp_unseen), 8) AS recovery_at_{k}" for k in (1, 5, 20))},
+        round(avg(coalesce(rank_gen_ex < 20, false)::INT) FILTER (fp_unseen), 8) AS structure_accuracy,
+        round(avg(best_tanimoto) FILTER (fp_unseen), 8) AS mean_best_tanimoto
+      FROM summary JOIN dr USING (query_id) GROUP BY run, group_seen"""
+    ),
+)
+def group_novelty_probe(spark, path):
+    """Held-out documents whose opening words the rest has, against those with a new opening."""
+    opening = F.array_join(F.slice("tokens", 1, _OPENING), " ")
+    rows = r.items(spark, path).select(F.col("item_id").alias("query_id"), "held", opening.alias("opening"))
+    flags = group_novelty(rows.filter("held"), rows.filter(~F.col("held")), "opening")
+    return protocols.group_novelty_probe(_summary(spark, path), flags, _PER_GROUP, "np", (1, 5, 20))

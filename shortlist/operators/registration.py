@@ -190,3 +190,16 @@ def exchange_rate(
             (gain / corpus_gain).alias("passes_over_corpus"),
         )
     )
+
+
+def score_exchange(
+    rates: DataFrame, *, registered_gain: float, ratio_range: tuple[float, float]
+) -> DataFrame:
+    """Pass gain of :func:`exchange_rate` beside its registered value, its ratio against a range."""
+    gain = F.col("points_per_pass_doubling")
+    return (
+        rates.withColumn("registered_gain", F.lit(float(registered_gain)))
+        .withColumn("gain_minus_registered", gain - F.col("registered_gain"))
+        .withColumn("gain_over_registered", stats.safe_ratio(gain, F.col("registered_gain")))
+        .withColumn("exchange_verdict", stats.against_range(F.col("passes_over_corpus"), *ratio_range))
+    )

@@ -84,7 +84,7 @@ def write_dumps(queries: DataFrame, judged: DataFrame, path: str, mode: str = "e
 
 def read_written_dumps(spark: SparkSession, path: str) -> DataFrame:
     """Dumps written by :func:`write_dumps`; the run is the folder."""
-    schema = schemas.DUMP.add("run", "string")
+    schema = StructType([*schemas.DUMP.fields, StructField("run", StringType())])
     return (
         spark.read.schema(schema)
         .option("mode", "FAILFAST")
