@@ -10,6 +10,6 @@ from .registry import entries
 
 
 def load() -> dict:
-    from . import corpus, curves, features, judged, ledgers, retrieved, streams  # noqa: F401
+    from . import corpus, curves, features, files, judged, ledgers, retrieved, streams  # noqa: F401
 
     return entries()
