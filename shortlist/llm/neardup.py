@@ -6,9 +6,13 @@ texts that share one of ``BANDS`` keys made of ``ROWS`` min-hashes each: at a si
 a pair shares none in 0.02 % of cases, above it more rarely.
 
 All pairs of a bucket with up to ``SMALL`` texts are compared.  In a larger one, every text is
-compared with two texts of the bucket (by hash), components are named, and buckets with more
-than one component go on with two others, ``ROUNDS`` times at least and as long as links are
-found.  Such pairs grow with the bucket, not with its square.
+first compared with two texts of the bucket (by hash), components are named, and buckets with
+more than one component go on with two others, ``ROUNDS`` times at least and as long as links
+are found: groups of copies, however large, become one component in time linear in their size.
+Where a bucket still has several, its texts are cut into blocks, a large component into blocks of
+its own, and every two blocks meet in a task of their own unless they are of one component: all
+pairs across components are compared, none is emitted but the links.  This last step alone
+grows with the square of a bucket, and only for texts that share a band without being copies.
 
 Texts with the same words are one node; null and empty texts have no words and are one too.
 """
@@ -31,6 +35,8 @@ BANDS = 16
 ROWS = 4
 SMALL = 32
 ROUNDS = 3
+#: Texts of a block on average; a task holds two blocks.
+BLOCK = 128
 SEED = 42
 
 _FACTORS = np.random.default_rng(SEED).integers(0, 2**64, BANDS * ROWS, np.uint64, endpoint=False) | np.uint64(1)
@@ -125,4 +131,50 @@ def labels(sketched: DataFrame, texts: DataFrame) -> DataFrame:
             edges = edges.unionByName(new)
             named = components(edges)
         k += 1
-    return named
+    own = large.join(named, large.fp == named.node, "left").select("bucket", "fp", F.coalesce("label", "fp").alias("label"))
+    new = _across(materialize(own, "near-large"), texts)
+    return components(edges.unionByName(new)) if new.take(1) else named
+
+
+def _across(own: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links between texts of one bucket but different labels; ``own`` has ``bucket``, ``fp``, ``label``."""
+    sizes = own.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
+    buckets = sizes.groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("labels"), F.sum(F.when(F.col("n") < BLOCK, F.col("n"))).alias("mixed")
+    )
+    sizes = sizes.join(buckets.where("labels > 1"), "bucket")
+    lone = F.col("n") >= BLOCK
+    salt = lambda n: F.pmod(F.xxhash64("fp"), F.ceil(n / BLOCK))
+    block = F.when(lone, F.struct(F.lit(1).alias("lone"), F.col("label").alias("of"), salt(F.col("n")).alias("part")))
+    block = block.otherwise(F.struct(F.lit(0).alias("lone"), F.lit(0).cast("long").alias("of"), salt(F.col("mixed")).alias("part")))
+    members = materialize(own.join(sizes, ["bucket", "label"]).select("bucket", "fp", "label", block.alias("x")), "near-blocks")
+    blocks = members.select("bucket", "x").distinct()
+    of_one = (F.col("x.lone") == 1) & (F.col("y.lone") == 1) & (F.col("x.of") == F.col("y.of"))
+    meets = blocks.join(blocks.withColumnRenamed("x", "y"), "bucket").where(F.col("x") <= F.col("y")).where(~of_one)
+    meets = materialize(meets.select("bucket", "x", "y", F.expr("uuid()").alias("meet")), "near-meets")
+    here = meets.select("bucket", "x", "meet", F.lit(0).alias("side"))
+    there = meets.where(F.col("x") != F.col("y")).select("bucket", F.col("y").alias("x"), "meet", F.lit(1).alias("side"))
+    seated = members.join(here.unionByName(there), ["bucket", "x"]).join(texts, "fp").select("meet", "side", "fp", "label", "t")
+    return materialize(seated.groupBy("meet").applyInPandas(_meeting, "a long, b long").distinct(), "near-links")
+
+
+def _meeting(group: pd.DataFrame) -> pd.DataFrame:
+    """Links ``a`` < ``b`` between the texts of two blocks, or inside the only one, with different labels."""
+    group = group.sort_values(["side", "fp"], ignore_index=True)
+    fp, label, side = (group[c].to_numpy() for c in ("fp", "label", "side"))
+    sets = [shingles(_words(t)) for t in group["t"]]
+    size = np.array([len(s) for s in sets], np.int64)
+    _, number = np.unique(np.concatenate(sets), return_inverse=True)
+    owner, start = np.repeat(np.arange(len(sets)), size), np.r_[0, np.cumsum(size)]
+    has = np.zeros(int(number.max(initial=-1)) + 1, bool)
+    out = []
+    two = bool(side.any())
+    for i in np.flatnonzero(side == 0):
+        mine = number[start[i] : start[i + 1]]
+        has[mine] = True
+        both = np.bincount(owner[has[number]], minlength=len(sets))
+        has[mine] = False
+        near = (both >= LIMIT * (size[i] + size - both)) & (label != label[i])
+        near &= side == 1 if two else np.arange(len(sets)) > i
+        out += [(min(fp[i], fp[j]), max(fp[i], fp[j])) for j in np.flatnonzero(near)]
+    return pd.DataFrame(out, columns=["a", "b"]).astype("int64")

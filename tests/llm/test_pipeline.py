@@ -182,3 +182,38 @@ def test_near_dedup_finds_every_edited_copy(spark, monkeypatch, small):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     kept = {r.doc_id for r in corpus_pipeline.STAGES[2][1](spark, docs, "").collect()}
     assert kept == set(label) and len(kept) < len(texts) / 2
+
+
+def test_near_dedup_tells_classes_in_a_common_frame_apart(spark):
+    """Texts with one long frame share bands without being copies; only each one's own copy goes."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    frame = [word() for _ in range(90)]
+    rows = []
+    for _ in range(150):
+        w = frame + [word() for _ in range(14)]
+        v = list(w)
+        v[-1] = word()
+        rows += [w, v]
+    for i in range(0, 40, 2):
+        assert five_word_jaccard(" ".join(rows[i]), " ".join(rows[i + 1])) >= 0.8
+        assert five_word_jaccard(" ".join(rows[i]), " ".join(rows[i + 2])) < 0.8
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
+    kept = {r.doc_id for r in corpus_pipeline.STAGES[2][1](spark, docs, "").collect()}
+    assert kept == set(range(0, 300, 2))
+
+
+def test_blocks_link_what_single_pairs_link(spark, monkeypatch):
+    from shortlist.llm import neardup
+
+    monkeypatch.setattr(neardup, "BLOCK", 3)  # several blocks of their own and mixed ones
+    rng = random.Random(9)
+    words = [["w%d" % rng.randrange(40) for _ in range(30)] for _ in range(4)]
+    texts = [" ".join(w[: rng.randint(24, 30)]) for w in words for _ in range(6)] + ["", "a b"]
+    texts = sorted(set(texts))
+    label = [rng.randrange(5) for _ in texts]
+    own = spark.createDataFrame([(b, i, label[i]) for b in (1, 2) for i in range(len(texts))], "bucket long, fp long, label long")
+    got = {(r.a, r.b) for r in neardup._across(own, spark.createDataFrame(list(enumerate(texts)), "fp long, t string")).collect()}
+    n = len(texts)
+    want = {(i, j) for i in range(n) for j in range(i + 1, n) if label[i] != label[j] and neardup.jaccard(texts[i], texts[j]) >= 0.8}
+    assert got == want and want
