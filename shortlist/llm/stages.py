@@ -18,7 +18,7 @@ from .rows import ROW, SPACE, field, packed, table, unpacked, whole_text
 
 def quality_rules(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Rows that the base rules and the fences of their language and source let pass."""
-    measured = quality.metrics(docs)
+    measured = materialize(quality.metrics(docs), "quality-metrics")
     limits = materialize(quality.fences(materialize(quality.sketches(measured), "quality-sketch")), "quality-fences")
     return unpacked(quality.verdicts(measured, limits).where("kept"), docs.columns)
 
