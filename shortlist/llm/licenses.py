@@ -27,8 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .linededup import pieces
-from .rows import let
+from .rows import SPACE, let
 from .license_texts import templates
 
 LEAST_DICE = 0.8
@@ -36,6 +35,8 @@ LEAST_PART = 0.5
 #: Words of at least this many letters are anchors before bigrams are.
 ANCHOR_LETTERS = 7
 
+_CUT = rf"(?<=[{SPACE}])(?=[^{SPACE}])(?<=[.!?\n][\x20\x09]?)"
+
 
 def normal_words(text: str) -> list[str]:
     return re.sub(r"[\W_]+", " ", text.lower()).split()
@@ -91,7 +92,7 @@ def template_table(spark: SparkSession) -> DataFrame:
 def find(docs: DataFrame, least: float = LEAST_DICE) -> DataFrame:
     """``doc_id``, ``license``, ``template``, ``dice``, lines ``first`` and ``last``, per run of lines."""
     spark = docs.sparkSession
-    lined = docs.select("doc_id", "text").where(suspects(F.col("text"), least)).select("doc_id", pieces(F.col("text")).alias("lines"))
+    lined = docs.select("doc_id", "text").where(suspects(F.col("text"), least)).select("doc_id", F.split("text", _CUT).alias("lines"))
     lined = materialize(lined.withColumn("r", F.monotonically_increasing_id()), "license-lines")
     known = template_table(spark)
     of_pair = known.select("template", F.explode("pairs").alias("pair"))  # some thousand rows, whatever the input

@@ -1,6 +1,7 @@
 """Repeated passages across documents, found by winnowing line hashes and cut from later copies.
 
-A *line* is a piece of text up to a line break or the end of a sentence, with its blank tail.
+A *line* is a piece of text up to a line break or the end of a sentence (a stop with any closing
+quotes or brackets, then a blank), with all the blanks and empty lines behind it.
 Lines are hashed.  A gram is the run of lines that starts at a line and reaches ``GRAM_WORDS``
 words.  Every stretch of ``SURE_WORDS`` words contributes its smallest gram hash, so any two
 places that share that many words in whole lines share a fingerprint.  The first place of a
@@ -32,13 +33,15 @@ from .rows import ROW, SPACE, field, let, packed
 GRAM_WORDS = 25
 SURE_WORDS = 50
 
-_CUT = rf"(?<=[{SPACE}])(?=[^{SPACE}])(?<=[.!?\n][\x20\x09]?)"
+# Signs that close a quotation or a bracket.
+_CLOSERS = "\"')\\]}\u00bb\u2019\u201d"
+_LINE = rf"(?s).*?(?:\n[{SPACE}]*|[.!?][{_CLOSERS}]*[{SPACE}]+|\z)"
 _WORD = f"[^{SPACE}]+"
 
 
 def pieces(text: Column) -> Column:
     """The lines of a text; joined, they are the text again."""
-    return F.split(text, _CUT)
+    return F.filter(F.regexp_extract_all(text, F.lit(_LINE), F.lit(0)), lambda u: u != "")
 
 
 def lined(keyed: DataFrame) -> DataFrame:

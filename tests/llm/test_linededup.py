@@ -11,12 +11,18 @@ from pyspark.sql import functions as F
 from shortlist.llm import linededup
 from shortlist.llm.rows import field
 
-CUT = re.compile(r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
+BREAK = re.compile(r"""(\n|[.!?]["')\]}»’”]*[\x20\x09-\x0D])\Z""")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def pieces(text):
-    spots = [m.start() for m in CUT.finditer(text) if re.search(r"[.!?\n][\x20\x09]?\Z", text[max(0, m.start() - 2) : m.start()])]
+    """A cut before each word that has a line break, or a sentence end and a blank, in front of it."""
+    spots = []
+    for m in re.finditer(r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])", text):
+        before = text[: m.start()]
+        blanks = before[len(before.rstrip(" \t\n\v\f\r")) :]
+        if "\n" in blanks or BREAK.search(before[: len(before) - len(blanks) + 1]):
+            spots.append(m.start())
     return [text[a:b] for a, b in zip([0, *spots], [*spots, len(text)])]
 
 
@@ -95,6 +101,23 @@ def test_one_line_passage_and_mid_line_passage(spark):
     assert got == {1: rows[0][1], 2: "Other words.\nTail stays.", 3: ""}
 
 
+def test_indents_double_blanks_and_quotes_end_lines(spark):
+    rng = random.Random(11)
+    lines = [sentence(rng, 9, 10) for _ in range(7)]
+    for glue, lead in (("  ", "\n    "), ('" "', "\n\t\t"), (")\n   ", '"  '), ("\n \n   ", "\n\x20\x20")):
+        passage = glue.join(lines)
+        rows = [(i, f"{sentence(rng)}{lead}{passage}{glue}{sentence(rng)}") for i in (1, 2)]
+        got = {r.doc_id: r.text for r in run(spark, rows)}
+        assert got[1] == rows[0][1]
+        assert not any(x.rstrip(".") in got[2] for x in lines[1:-1]), glue
+    texts = ["".join(rng.choices(["a", "bc", ".", "!", "?", '"', ")", "\n", " ", "\t", "\r"], k=rng.randint(0, 40))) for _ in range(400)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in df.select("t", linededup.pieces(F.col("t")).alias("p")).collect():
+        assert "".join(r.p) == r.t
+        if r.t.strip(" \t\n\r"):
+            assert [p for p in r.p if p.strip()] == [p for p in pieces(r.t) if p.strip()], r.t
+
+
 def test_short_repeats_and_clean_texts_stay(spark):
     rows = [(i, f"Licensed under X. Unique {i} words only here {i}.") for i in range(20)]
     assert all(r.text == r.old for r in run(spark, rows))
