@@ -62,6 +62,8 @@ _DATE = re.compile(
 _DATE_GUESSES = math.log10(366 * 120)
 _SEGMENT = math.log10(2)
 _REPEAT_UNIT = 8
+#: A walk of four keys or more: its first key and direction, each further key, each turn.
+_WALK, _WALK_KEY, _WALK_TURN = math.log10(47 * 8), 0.1, math.log10(4)
 
 
 _KEYS = {c: (r, k) for r, row in enumerate(_ROWS) for k, c in enumerate(row) if c != " "}
@@ -96,13 +98,8 @@ def _cardinality(value: str) -> int:
 
 
 def _forced(value: str, ranks: dict[str, float], longest: int) -> Iterator[tuple[int, int, float]]:
-    """Segments other than brute force: start, end and log10 of their guesses, by start."""
+    """Dictionary words and dates: start, end and log10 of their guesses, by start."""
     size, low, plain = len(value), value.lower(), value.lower().translate(_LEET)
-    dates = [(m.start(), m.end()) for at in range(size) if value[at].isdigit() and (m := _DATE.match(value, at))]
-    by_start: dict[int, list[int]] = {}
-    for a, b in dates:
-        by_start.setdefault(a, []).append(b)
-    walk_end = repeat_end = 0
     for i in range(size):
         for j in range(i + 3, min(size, i + longest) + 1):
             rank = ranks.get(plain[i:j])
@@ -112,43 +109,65 @@ def _forced(value: str, ranks: dict[str, float], longest: int) -> Iterator[tuple
                 upper = sum(c.isupper() for c in part)
                 case = 0 if not upper else _SEGMENT if upper in (1, len(part)) else math.log10(math.comb(len(part), upper) + 1)
                 yield i, j, rank + case + changed * _SEGMENT
-        for j in by_start.get(i, ()):
-            yield i, j, _DATE_GUESSES if j - i > 4 else math.log10(120)
-        if i + 1 >= walk_end:  # the walk that starts here is not the tail of one already seen
-            j, turns, before = i + 1, 0, None
-            while j < size and (step := _step(low[j - 1], low[j])):
-                turns += before is not None and step != before
-                j, before = j + 1, step
-            walk_end = j
-            if j - i >= 4:
-                yield i, j, math.log10(47 * 8 * (j - i)) + turns * math.log10(4)
-        if i >= repeat_end:
-            for unit in range(1, _REPEAT_UNIT + 1):
-                j = i + unit
-                while j < size and value[j] == value[j - unit]:
-                    j += 1
-                times = (j - i) // unit
-                if times >= 2 and times * unit >= 3:
-                    part = value[i : i + unit]
-                    yield i, i + times * unit, unit * math.log10(_cardinality(part)) + math.log10(times)
-                    repeat_end = max(repeat_end, i + (times - 1) * unit)
+        if value[i].isdigit():
+            for j in range(i + 4, min(size, i + 10) + 1):
+                if _DATE.fullmatch(value, i, j):
+                    yield i, j, _DATE_GUESSES if j - i > 4 else math.log10(120)
 
 
 def guesses(value: str, ranks: dict[str, float], longest: int) -> float:
-    """log10 of the least number of guesses over all segmentations."""
+    """log10 of the least number of guesses over all segmentations.
+
+    Walks and repeats of any start and end are states of the programme: of the walk that ends at
+    a place its length up to four keys counts, its last direction follows from the text; a repeat
+    costs its unit and how often it stands, for ten times and more as much as the value is long.
+    """
+    size, low = len(value), value.lower()
     char = math.log10(max(2, _cardinality(value)))
-    ready = [math.inf] * (len(value) + 1)  # a segment may start here
-    brute = [math.inf] * (len(value) + 1)  # a brute-force span ends here and may go on
+    ready = [math.inf] * (size + 1)  # a segment may start here
+    brute = [math.inf] * (size + 1)  # a brute-force span ends here and may go on
     ready[0] = 0.0
+    walk = [math.inf] * 5  # by length; the last one stands for four keys and more
+    before = None
+    run = [0] * (_REPEAT_UNIT + 1)  # by unit: characters equal to those a unit earlier
+    many = [[math.inf] * unit for unit in range(_REPEAT_UNIT + 1)]  # by unit and phase: least cost before a long repeat
+    unit_cost = [0.0] * (_REPEAT_UNIT + 1)
+    often = math.log10(max(10, size))
     found = _forced(value, ranks, longest)
     segment = next(found, None)
-    for i in range(len(value)):
+    for i in range(size):
+        start = ready[i] + _SEGMENT
         while segment and segment[0] == i:
             _, j, cost = segment
-            ready[j] = min(ready[j], ready[i] + _SEGMENT + cost)
+            ready[j] = min(ready[j], start + cost)
             segment = next(found, None)
-        brute[i + 1] = min(brute[i], ready[i] + _SEGMENT) + char
-        ready[i + 1] = min(ready[i + 1], brute[i + 1])
+        brute[i + 1] = min(brute[i], start) + char
+        step = _step(low[i - 1], low[i]) if i else None
+        turn = _WALK_TURN if before is not None and step != before else 0.0
+        if step:
+            walk = [math.inf, start + _WALK, walk[1] + _WALK_KEY, walk[2] + _WALK_KEY + turn, min(walk[3], walk[4]) + _WALK_KEY + turn]
+        else:
+            walk = [math.inf, start + _WALK, math.inf, math.inf, math.inf]
+        before = step
+        best = min(ready[i + 1], brute[i + 1], walk[4])
+        for unit in range(1, min(_REPEAT_UNIT, i) + 1):
+            if value[i] != value[i - unit]:
+                run[unit] = 0
+                continue
+            run[unit] += 1
+            if run[unit] < unit:
+                continue
+            if run[unit] == unit:
+                unit_cost[unit] = unit * math.log10(_cardinality(value[i + 1 - unit : i + 1]))
+                many[unit] = [math.inf] * unit
+            times = run[unit] // unit + 1
+            for t in range(2 if unit > 1 else 3, min(times, 9) + 1):
+                best = min(best, ready[i + 1 - t * unit] + _SEGMENT + unit_cost[unit] + math.log10(t))
+            if times >= 10:
+                least = many[unit]
+                least[i % unit] = min(least[i % unit], ready[i + 1 - 10 * unit])
+                best = min(best, least[i % unit] + _SEGMENT + unit_cost[unit] + often)
+        ready[i + 1] = best
     return ready[-1]
 
 

@@ -39,26 +39,60 @@ def test_base_spans_are_those_of_the_patterns(spark):
     assert [(s.kind, s.start, s.end) for s in got[0]] == [s[:3] for s in S.scan(texts[0], PATH)]
 
 
+KEYBOARD = ["`1234567890-=", " qwertyuiop[]\\", " asdfghjkl;'", " zxcvbnm,./"]
+
+
+def every_segment(v, ranks):
+    """log10 of the guesses of each stretch of ``v`` as a word, date, walk, repeat or by brute force, by plain search."""
+    key = {c: (r, k) for r, row in enumerate(KEYBOARD) for k, c in enumerate(row) if c != " "}
+    char = math.log10(max(2, S._cardinality(v)))
+    for a in range(len(v)):
+        for b in range(a + 1, len(v) + 1):
+            part, n = v[a:b], b - a
+            yield a, b, n * char
+            word = part.lower().translate(str.maketrans("@4301$57", "aaeoisst"))
+            if word in ranks:
+                upper = sum(c.isupper() for c in part)
+                case = 0 if upper == 0 else math.log10(2) if upper in (1, n) else math.log10(math.comb(n, upper) + 1)
+                yield a, b, ranks[word] + case + math.log10(2) * sum(x != y for x, y in zip(part.lower(), word))
+            if re.fullmatch(r"(19|20)\d\d", part):
+                yield a, b, math.log10(120)
+            elif S._DATE.fullmatch(part):
+                yield a, b, math.log10(366 * 120)
+            keys = [key.get(c) for c in part.lower()]
+            if n >= 4 and None not in keys:
+                steps = [(y[0] - x[0], y[1] - x[1]) for x, y in zip(keys, keys[1:])]
+                if all(max(map(abs, s)) == 1 for s in steps):
+                    turns = sum(x != y for x, y in zip(steps, steps[1:]))
+                    yield a, b, math.log10(47 * 8) + 0.1 * (n - 1) + turns * math.log10(4)
+            for unit in range(1, 9):
+                t = n // unit
+                if t * unit == n >= 3 and t >= 2 and part == part[:unit] * t:
+                    count = math.log10(t) if t < 10 else math.log10(max(10, len(v)))
+                    yield a, b, unit * math.log10(S._cardinality(part[:unit])) + count
+
+
+def least_cost(v, ranks):
+    best = [0.0] + [math.inf] * len(v)
+    for a, b, cost in sorted(every_segment(v, ranks)):
+        best[b] = min(best[b], best[a] + math.log10(2) + cost)
+    return best[-1]
+
+
 def test_guess_cost_is_the_least_over_all_segmentations():
     ranks, longest = S.dictionary(PATH)
     rng = random.Random(4)
-    parts = ["monkey", "P4ss", "1999-12-31", "aaaa", "qwerty", "x7", "abab", "Dragon", "zz9", "2001", "!"]
-    for _ in range(150):
-        value = "".join(rng.choices(parts, k=rng.randint(1, 3)))
-        segments = list(S._forced(value, ranks, longest))
-        char, seg = math.log10(max(2, S._cardinality(value))), math.log10(2)
-        best = {0: 0.0}
-        for j in range(1, len(value) + 1):  # every brute-force span and every segment, from each start
-            costs = [best[i] + seg + (j - i) * char for i in range(j)]
-            costs += [best[a] + seg + c for a, b, c in segments if b == j]
-            best[j] = min(costs)
-        assert math.isclose(S.guesses(value, ranks, longest), best[len(value)])
+    parts = ["monkey", "P4ss", "1999-12-31", "aaaa", "qwerty", "x7", "abab", "Dragon", "zz9", "2001", "!", "bvcxz", "ab" * 11, "rtyhgf", "7" * 13, "GhG"]
+    values = ["".join(rng.choices(parts, k=rng.randint(1, 4))) for _ in range(150)]
+    values += ["".join(rng.choices("abqwe12", k=rng.randint(1, 30))) for _ in range(150)] + ["dragonbvcxz"]
+    for value in values:
+        assert math.isclose(S.guesses(value, ranks, longest), least_cost(value, ranks)), value
 
 
 def test_guessable_values_cost_little():
     ranks, longest = S.dictionary(PATH)
     cost = lambda v: S.guesses(v, ranks, longest)
-    for weak in ("password", "Password1", "qwertyuiop", "aaaaaaaaaaaa", "1999-12-31", "changeme", "abcabcabcabc"):
+    for weak in ("password", "Password1", "qwertyuiop", "aaaaaaaaaaaa", "1999-12-31", "dragonbvcxz", "ab" * 300, "changeme", "abcabcabcabc"):
         assert cost(weak) < S.LEAST_GUESSES, weak
     for strong in ("xK9#mQ2$vL7p", "b44e15e09fd311c3", "Zr8-tW3_qP6!"):
         assert cost(strong) >= S.LEAST_GUESSES, strong
