@@ -35,7 +35,8 @@ SURE_WORDS = 50
 
 # Signs that close a quotation or a bracket.
 _CLOSERS = "\"')\\]}\u00bb\u2019\u201d"
-_LINE = rf"(?s).*?(?:\n[{SPACE}]*|[.!?][{_CLOSERS}]*[{SPACE}]+|\z)"
+_STOP = rf"[.!?][{_CLOSERS}]*+[{SPACE}]"
+_LINE = rf"[^\n.!?]*+(?:(?!{_STOP})[.!?][^\n.!?]*+)*+(?:\n[{SPACE}]*+|{_STOP}[{SPACE}]*+|\z)"
 _WORD = f"[^{SPACE}]+"
 
 

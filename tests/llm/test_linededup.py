@@ -111,10 +111,11 @@ def test_indents_double_blanks_and_quotes_end_lines(spark):
         assert got[1] == rows[0][1]
         assert not any(x.rstrip(".") in got[2] for x in lines[1:-1]), glue
     texts = ["".join(rng.choices(["a", "bc", ".", "!", "?", '"', ")", "\n", " ", "\t", "\r"], k=rng.randint(0, 40))) for _ in range(400)]
+    texts += ["." * 300000, "a." * 200000 + "b. c", "?! ... x" * 9, ""]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     for r in df.select("t", linededup.pieces(F.col("t")).alias("p")).collect():
         assert "".join(r.p) == r.t
-        if r.t.strip(" \t\n\r"):
+        if r.t.strip(" \t\n\r") and len(r.t) < 1000:
             assert [p for p in r.p if p.strip()] == [p for p in pieces(r.t) if p.strip()], r.t
 
 
