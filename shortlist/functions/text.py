@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.order import vocabulary_rank
 from ..session import materialize
-from .runs import let, run_length, run_starts
 
 # The special tokens and their ids, in order.
 SPECIALS = ("<pad>", "<bos>", "<eos>", "<unk>")
@@ -38,14 +43,15 @@ def tokenize_strict(text: Column, pattern: str = TOKEN_PATTERN) -> Column:
 
 def build_vocabulary(df: DataFrame, tokens: str, min_count: int = 1) -> DataFrame:
     """``token, n, id``: specials lead, then the kept tokens in text order."""
-    # Repeats are counted inside the document, so a token moves once per document at most.
-    inside = lambda s: let(run_starts(s), lambda starts: _counts(s, starts))
-    per_document = df.filter(F.size(tokens) > 0).select(F.inline(let(F.array_sort(tokens), inside)))
-    counted = (
-        per_document.groupBy("token")
-        .agg(F.sum("k").cast("long").alias("n"))
-        .filter((F.col("n") >= min_count) & ~F.col("token").isin(*SPECIALS))
-    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = pc.value_counts(b.column(0).flatten())
+            yield pa.RecordBatch.from_arrays([found.field("values"), found.field("counts")], names=["token", "k"])
+
+    # Repeats are counted inside the batch, so a token moves once per batch at most.
+    counted = df.select(tokens).mapInArrow(run, "token string, k long").groupBy("token").agg(F.sum("k").cast("long").alias("n"))
+    counted = materialize(counted.filter((F.col("n") >= min_count) & ~F.col("token").isin(*SPECIALS)), "counted")
     ranked = vocabulary_rank(counted, "token").select(
         "token", "n", (F.col("rank") - 1 + len(SPECIALS)).cast("long").alias("id")
     )
@@ -56,40 +62,45 @@ def build_vocabulary(df: DataFrame, tokens: str, min_count: int = 1) -> DataFram
     return head.unionByName(ranked)
 
 
-def _counts(ordered: Column, starts: Column) -> Column:
-    one = lambda at, i: F.struct(F.get(ordered, at).alias("token"), run_length(ordered, starts, at, i).alias("k"))
-    return F.transform(starts, one)
+def _dictionary(df: DataFrame, item: str, values: str) -> DataFrame:
+    """``item, names, place``: the distinct values of every row, and each value's place among them."""
+    schema = T.StructType(
+        [df.schema[item], T.StructField("names", df.schema[values].dataType), T.StructField("place", T.ArrayType(T.IntegerType()))]
+    )
+
+    def lists(counts: np.ndarray, flat: pa.Array) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), flat)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            length = b.column(1).value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            coded = b.column(1).flatten().dictionary_encode(null_encoding="encode")
+            width = max(1, len(coded.dictionary))
+            row = np.repeat(np.arange(len(length)), length)
+            pairs, inverse = np.unique(row * width + coded.indices.to_numpy(zero_copy_only=False), return_inverse=True)
+            distinct = np.bincount(pairs // width, minlength=len(length))
+            place = inverse - (np.cumsum(distinct) - distinct)[row]
+            names = lists(distinct, coded.dictionary.take(pa.array(pairs % width)))
+            yield pa.RecordBatch.from_arrays([b.column(0), names, lists(length, pa.array(place.astype(np.int32)))], names=schema.names)
+
+    return materialize(df.select(item, values).mapInArrow(run, schema), "dictionary")
 
 
-def _looked_up(rows: DataFrame, item: str, values: str, names: DataFrame) -> DataFrame:
-    """``item, codes``: one ``name, code`` per distinct value of the item, in value order.
+def _replaced(df: DataFrame, item: str, values: str, names: DataFrame, missing: Column) -> DataFrame:
+    """``item, codes``: the code of every value of the item, in the order of the values.
 
     ``names`` holds ``name, code, n``.  Frequent names, which would be hot join keys, are a
-    broadcast of at most ``HOT`` rows; all others are joined, once per item that holds them.
+    broadcast of at most ``HOT`` rows; all others are joined, once per item that holds them.  The
+    occurrences stay in their row as places among its distinct values.
     """
+    rows = _dictionary(df, item, values)
     hot = F.broadcast(names.orderBy(F.desc("n"), "name").limit(HOT).select("name", F.col("code").alias("hot")))
-    parts = rows.select(item, F.explode(F.array_distinct(values)).alias("name")).join(hot, "name", "left")
+    parts = rows.select(item, F.posexplode("names").alias("at", "name")).join(hot, "name", "left")
     rest = parts.filter(F.col("hot").isNull()).join(names.select("name", "code"), "name", "left")
     found = parts.filter(F.col("hot").isNotNull()).withColumnRenamed("hot", "code").unionByName(rest.drop("hot"))
-    return found.groupBy(item).agg(F.array_sort(F.collect_list(F.struct("name", "code"))).alias("codes"))
-
-
-def _replaced(values: Column, codes: Column, missing: Column) -> Column:
-    """Every value by its code: values in order run along ``codes``, and go back to their places."""
-
-    def rebuilt(placed: Column) -> Column:
-        def run(starts: Column) -> Column:
-            def coded(at: Column, i: Column) -> Column:
-                code = F.coalesce(F.get(codes, i)["code"], missing)
-                part = F.slice(placed, at + 1, run_length(placed, starts, at, i))
-                return F.transform(part, lambda o: F.struct(o["place"].alias("place"), code.alias("code")))
-
-            return F.transform(F.array_sort(F.flatten(F.transform(starts, coded))), lambda o: o["code"])
-
-        return let(run_starts(placed, lambda o: o["value"]), run)
-
-    place = F.transform(values, lambda v, i: F.struct(v.alias("value"), i.alias("place")))
-    return F.when(F.size(values) > 0, let(F.array_sort(place), rebuilt))
+    listed = found.groupBy(item).agg(F.sort_array(F.collect_list(F.struct("at", "code"))).alias("__c"))
+    code = lambda p: F.coalesce(F.get(F.col("__c.code"), p), missing)
+    return rows.select(item, "place").join(listed, item, "left").select(item, F.transform("place", code).alias("codes"))
 
 
 def encode(
@@ -101,11 +112,8 @@ def encode(
     occurrences stay in their row.  ``vocab`` holds ``token, n, id``.
     """
     names = materialize(vocab.select(F.col("token").alias("name"), F.col("id").alias("code"), "n"), "vocabulary")
-    rows = df.select(item, F.col(tokens).alias("__v"))
-    unknown = F.lit(UNK_ID).cast("long")
-    ids = rows.join(_looked_up(rows, item, "__v", names), item, "left").select(
-        item, F.coalesce(_replaced(F.col("__v"), F.col("codes"), unknown), F.array().cast("array<bigint>")).alias("ids")
-    )
+    coded = _replaced(df, item, tokens, names, F.lit(UNK_ID).cast("long"))
+    ids = coded.select(item, F.col("codes").alias("ids"))
     if not add_special:
         return ids
     return ids.withColumn(
@@ -125,10 +133,8 @@ def decode(df: DataFrame, item: str, ids: str, vocab: DataFrame) -> DataFrame:
     kept = F.filter(body, lambda i: ~i.isin(PAD_ID, BOS_ID, UNK_ID))
     names = materialize(vocab.select(F.col("id").alias("name"), F.col("token").alias("code"), "n"), "vocabulary")
     rows = df.select(item, F.coalesce(kept, F.array().cast("array<bigint>")).alias("__v"))
-    parts = _replaced(F.col("__v"), F.col("codes"), F.lit(""))
-    return rows.join(_looked_up(rows, item, "__v", names), item, "left").select(
-        item, F.coalesce(F.array_join(parts, ""), F.lit("")).alias("text")
-    )
+    parts = _replaced(rows, item, "__v", names, F.lit(""))
+    return parts.select(item, F.array_join("codes", "").alias("text"))
 
 
 def limit_length(ids: Column, fallback: Column, limit: int) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import gzip
 import itertools
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -424,3 +425,19 @@ def test_prefix_reads_only_the_head_of_the_order(spark):
         want += [r.item for r in rows[at : at + 7] if r.kept]
         at += 7
     assert got == sorted(want)
+
+
+def test_codes_of_long_rows_come_from_a_stored_dictionary(spark):
+    """Ids as by a plain loop, null and empty rows included; the text is cut once, not per use of its tokens."""
+    rng = random.Random(6)
+    texts = [" ".join(f"w{rng.randint(0, 400)}" for _ in range(rng.choice((1, 50, 900)))) for _ in range(40)] + ["", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").withColumn("t", tx.tokenize(F.col("text")))
+    vocab = tx.build_vocabulary(df, "t", 3)
+    ids = tx.encode(df, "item_id", "t", vocab)
+    assert "regexp_extract_all" not in ids._jdf.queryExecution().optimizedPlan().toString()
+    number = {r.token: r.id for r in vocab.collect()}
+    cut = {i: re.findall(tx.TOKEN_PATTERN, t or "") for i, t in enumerate(texts)}
+    want = {i: [tx.BOS_ID, *[number.get(t, tx.UNK_ID) for t in ts], tx.EOS_ID] for i, ts in cut.items()}
+    assert {r.item_id: r.ids for r in ids.collect()} == want
+    text = {r.item_id: r.text for r in tx.decode(ids, "item_id", "ids", vocab).collect()}
+    assert text == {i: "".join(t for t in ts if t in number) for i, ts in cut.items()}
