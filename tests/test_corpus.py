@@ -175,6 +175,26 @@ def test_topk_equals_brute_force(sets, scan, chunk, monkeypatch):
     assert rows == brute(index, queries, 7)
 
 
+def test_scan_in_passes(sets, monkeypatch):
+    """More queries than one pass may ship: the index stays in place and is read again."""
+    monkeypatch.setattr(retrieve, "SCAN_QUERIES", 4)
+    index, queries, idf, qdf = sets
+    assert 1 < retrieve.scan_passes(retrieve.distinct_sets(qdf.withColumn("p", F.lit(0)), "key", "bits", "p")) <= retrieve.PASSES
+    got = retrieve.tanimoto_topk(qdf, idf, 7, scan=True).collect()
+    assert sorted((r["query_id"], r["item_id"], round(r["similarity"], 9), r["rank"]) for r in got) == brute(index, queries, 7)
+    near = retrieve.near_topk(qdf, idf, 7, 0.6).collect()
+    want = [r for r in brute(index, queries, 7) if r[2] >= 0.6]
+    assert sorted((r["query_id"], r["item_id"], round(r["similarity"], 9), r["rank"]) for r in near) == want
+
+
+def test_short_length_buckets_share_a_block(spark):
+    """Few queries of many lengths are few blocks: every block moves the index once."""
+    df = spark.createDataFrame([(n,) for n in [0, *range(1, 2000, 7)]], "n int")
+    found = similar.buckets(df, 200)
+    assert len(found) > 20 and max(b.first + b.chunks for b in found) <= 4
+    assert [b.first for b in found] == sorted(b.first for b in found)
+
+
 @pytest.mark.parametrize("step,vocabulary,cells", [(256, 4096, 1 << 22), (3, 20, 60), (7, 1, 1)])
 def test_nearest_block_by_block(step, vocabulary, cells, monkeypatch):
     for name, value in (("STEP", step), ("VOCABULARY", vocabulary), ("CELLS", cells)):
