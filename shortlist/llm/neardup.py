@@ -1,7 +1,10 @@
-"""Near copies by exact Jaccard similarity of word shingles; min-hash bands find the candidates.
+"""Near copies by exact Jaccard similarity of word shingles; SimHash and min-hash bands find the candidates.
 
 A text is the set of its runs of ``WORDS`` words (ASCII lower case).  Two texts are linked if
-their sets' Jaccard similarity is ``LIMIT`` or more, computed on the whole sets.  Candidates are
+their sets' Jaccard similarity is ``LIMIT`` or more, computed on the whole sets.  Candidates come
+from two indexes.  First, texts whose 64-bit SimHash prints of the same shingles are equal or
+linked in the index of :mod:`simhash` (spanning links, not all pairs).  A radius of a few bits
+misses most edited copies at 0.8, so candidates are also
 texts that share one of ``BANDS`` keys made of ``ROWS`` min-hashes each: at a similarity of 0.8
 a pair shares none in 0.02 % of cases, above it more rarely.
 
@@ -27,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from . import simhash
 from .components import components
 
 WORDS = 5
@@ -72,9 +76,10 @@ def sketch(text: str | None) -> tuple[int, list[int]]:
 
 
 def sketches(text: Column) -> Column:
-    @F.pandas_udf("struct<fp:long,bands:array<long>>")
+    @F.pandas_udf("struct<fp:long,bands:array<long>,print:long>")
     def of(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([sketch(t) for t in texts], columns=["fp", "bands"])
+        rows = [(*sketch(t), simhash.fingerprint(t, WORDS)) for t in texts]
+        return pd.DataFrame(rows, columns=["fp", "bands", "print"])
 
     return of(text)
 
@@ -102,14 +107,29 @@ def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return materialize(pairs.join(left, "a").join(right, "b").where(similar("ta", "tb")).select("a", "b"), "near-links")
 
 
+def print_pairs(sketched: DataFrame) -> DataFrame:
+    """Candidates ``a``, ``b`` by SimHash: texts of one print with its first, and firsts of linked prints."""
+    firsts = materialize(sketched.groupBy("print").agg(F.min("fp").alias("first")), "near-firsts")
+    alike = sketched.join(firsts, "print").where("fp <> first").select(F.col("fp").alias("a"), F.col("first").alias("b"))
+    links = simhash.links(simhash.upper_nodes(firsts.select(F.col("print").alias("fp"))))
+    ends = links.join(firsts.toDF("a", "x"), "a").join(firsts.toDF("b", "y"), "b")
+    return materialize(alike.unionByName(ends.select(F.col("x").alias("a"), F.col("y").alias("b"))), "near-pairs")
+
+
 def labels(sketched: DataFrame, texts: DataFrame) -> DataFrame:
-    """``node`` and ``label`` for every linked text; ``sketched`` has ``fp``, ``bands``, ``texts`` has ``fp``, ``t``, a row each."""
+    """``node`` and ``label`` for every linked text; ``sketched`` has ``fp``, ``bands``, ``print``, a row each.
+
+    ``texts`` has ``fp``, ``t`` and may repeat; only texts of candidates are stored again.
+    """
+    by_print = print_pairs(sketched)
     rows = materialize(sketched.select("fp", F.explode("bands").alias("bucket")), "near-bands")
     sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = materialize(rows.join(sizes, "bucket"), "near-members")
+    wanted = members.select("fp").unionByName(by_print.select(F.explode(F.array("a", "b")).alias("fp"))).distinct()
+    texts = materialize(texts.join(wanted, "fp", "left_semi").groupBy("fp").agg(F.min("t").alias("t")), "near-texts")
     groups = members.where(F.col("n") <= SMALL).groupBy("bucket").agg(F.collect_list("fp").alias("m"))
     pairs = groups.select("m", F.explode("m").alias("a")).select("a", F.explode("m").alias("b")).where("a < b")
-    edges = _linked(pairs, texts)
+    edges = _linked(by_print.unionByName(pairs), texts)
     named = components(edges)
     large = members.where(F.col("n") > SMALL).select("bucket", "fp")
     if not large.take(1):

@@ -47,8 +47,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     )
     sketched = rows.select("id", "th", "t", neardup.sketches(F.col("t")).alias("s")).select("id", "th", "t", "s.*")
     prints = materialize(sketched, "near-prints")
-    one = materialize(prints.groupBy("fp").agg(F.min("t").alias("t"), F.min("bands").alias("bands")), "near-texts")
-    named = neardup.labels(one.select("fp", "bands"), one.select("fp", "t"))
+    one = prints.groupBy("fp").agg(F.min("bands").alias("bands"), F.min("print").alias("print"))
+    named = neardup.labels(materialize(one, "near-nodes"), prints.select("fp", "t"))
     first = F.min(F.struct(F.col("id").isNull().alias("n"), "id", "th")).alias("k")
     label = F.coalesce("label", "fp").alias("label")
     winners = prints.join(named, prints.fp == named.node, "left").select("id", "th", label).groupBy("label").agg(first)

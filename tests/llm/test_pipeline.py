@@ -13,6 +13,7 @@ from shortlist.llm import decontaminate, packing
 from test_linededup import pieces
 from test_quality import plain
 from test_simhash import brute_classes, brute_print
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 public = pytest.importorskip("public_tokenizers")
@@ -217,3 +218,25 @@ def test_blocks_link_what_single_pairs_link(spark, monkeypatch):
     n = len(texts)
     want = {(i, j) for i in range(n) for j in range(i + 1, n) if label[i] != label[j] and neardup.jaccard(texts[i], texts[j]) >= 0.8}
     assert got == want and want
+
+
+def test_near_dedup_takes_candidates_of_simhash(spark):
+    """Equal and linked SimHash prints are candidates, as by all pairs; edited copies of long texts among them."""
+    from shortlist.llm import neardup, simhash
+
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    texts = []
+    for _ in range(20):
+        w = [word() for _ in range(600)]
+        texts += [" ".join(w), " ".join([*w, word()]), " ".join([word(), *w])]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(neardup.sketches(F.col("t")).alias("s")).select("s.*")
+    prints = {r.fp: r.print for r in rows.collect()}
+    assert prints == {neardup.sketch(t)[0]: simhash.fingerprint(t, neardup.WORDS) for t in texts}
+    pairs = {(r.a, r.b) for r in neardup.print_pairs(rows).collect()}
+    near = lambda a, b: ((prints[a] ^ prints[b]) & (2**64 - 1)).bit_count() <= simhash.MAX_BITS
+    assert pairs and all(near(a, b) for a, b in pairs)
+    label = {f: f for f in prints}
+    for a, b in pairs:
+        label = {f: label[a] if x == label[b] else x for f, x in label.items()}
+    assert all(label[a] == label[b] for a in prints for b in prints if near(a, b))
