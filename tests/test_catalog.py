@@ -11,7 +11,9 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
-from shortlist.catalog import load
+from shortlist.catalog import load, sqlviews
+from shortlist.operators import metrics
+from shortlist.sources import tables
 from tools.check_oracles import TABLES, rows_of
 
 FOLDER = "/root/testdata/sf0.001"
@@ -44,3 +46,14 @@ def test_query_equals_sql(spark, con, name):
     cols = [d[0] for d in cur.description]
     assert sorted(cols) == sorted(df.columns)
     assert got == rows_of(cols, cur.fetchall())
+
+
+def test_judged_rows_of_a_query_are_read_where_they_lie(spark):
+    summary = metrics.query_summary(tables.queries(spark, FOLDER), tables.judged(spark, FOLDER))
+    assert "Exchange hashpartitioning" not in summary._jdf.queryExecution().executedPlan().toString()
+
+
+def test_runs_draw_by_their_own_digits(spark, con):
+    sql = f"WITH {sqlviews.judged_views(tables.ALL_RUNS)} SELECT run, query_id, raw, ord FROM raw_c"
+    got = tables.raw_candidates(spark, FOLDER, tables.ALL_RUNS).select("run", "query_id", "raw", "ord").collect()
+    assert sorted(map(tuple, got)) == sorted(con.execute(sql).fetchall())
