@@ -13,7 +13,7 @@ from ..operators import anatomy, arms, ensembles, judge, metrics, paired, policy
 from ..operators.bandjoin import count_by_band
 from ..operators.guards import same_queries
 from ..plans import protocols
-from ..session import shared_dir
+from ..session import materialize, shared_dir
 from ..sources import tables as t
 from . import sqlviews as v
 from .registry import query
@@ -50,7 +50,7 @@ def dedup_mark(spark, path):
     raw = t.raw_candidates(spark, path).withColumn(
         "pos", F.col("ord") * 128 + F.col("raw")
     )
-    drawn = judge.raw_dedup(raw.select("run", "query_id", "raw", "pos"))
+    drawn = materialize(judge.raw_dedup(raw.select("run", "query_id", "raw", "pos")), "drawn")
     value = F.col("raw")
     q, item = F.col("query_id"), value % 40
     rows = (
