@@ -740,9 +740,9 @@ def recovery_by_bins(spark, path):
     ),
 )
 def success_vs_failure(spark, path):
-    return anatomy.success_vs_failure(
-        _failure_rows(spark, path), ("size", "n_tokens", "n_candidates")
-    )
+    attributes = ("size", "n_tokens", "n_candidates")
+    rows = materialize(_failure_rows(spark, path).select("run", "hit", *attributes), "failures")
+    return anatomy.success_vs_failure(rows, attributes)
 
 
 @query(
