@@ -150,7 +150,7 @@ def tokenized(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> DataFra
         for batch in batches:
             for at in range(0, batch.num_rows, tokens.BATCH):
                 some = batch.slice(at, tokens.BATCH)
-                ids = [np.concatenate([x, end]) for x in encoder.encode_all(some.column(1).to_pylist())]
+                ids = [np.concatenate([x, end]) for x in encoder.encode_column(some.column(1))]
                 counts += np.bincount(np.concatenate(ids), minlength=size)
                 yield pa.RecordBatch.from_pydict(
                     {"doc_id": some.column(0), "n": [len(x) for x in ids], "ids": [x.astype(kind).tobytes() for x in ids]},

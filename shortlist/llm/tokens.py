@@ -4,16 +4,23 @@ A text is cut where the tokenizer would cut it anyway, before it looks at words:
 character that is not white space and a single space followed by another such character.  The
 pieces are encoded by the library once per worker and kept, so frequent words cost a lookup.
 The kept pieces are bounded: beyond ``KEEP`` those that were used once go.
+
+A column of texts (``encode_column``) is cut in Arrow, and a piece is looked up once per batch.  A
+piece that the tokenizer would cut further (line break, letters, signs) is put together from the ids
+of its parts, and letters go to the vocabulary's model without the steps that find words.
 """
 
 from __future__ import annotations
 
+import codecs
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import chain, repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 KEEP = 800_000
 #: Texts that are looked up together, and new pieces that are encoded as one text.
@@ -29,6 +36,14 @@ _CONTROL_SPACE = re.compile("[\x1c-\x1f]")
 _CASED_BY_CONTEXT = re.compile("[\u03a3\u0130]")
 #: A single one of these behind a letter or digit is a token of its own.
 _STOPS = ".,"
+#: White space beside the space and the line break, for Arrow's expressions.
+_RARE_SPACE = r"\t\x0b-\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+#: Texts that ``byte_columns`` does not cut.
+BYTE_ODD = rf"^$|^[ \n]|[ \n]$|[ \n][ \n]|[{_RARE_SPACE}]"
+#: Letters in every version of Unicode that a tokenizer may know, and signs that are neither letters nor digits.
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
+_WORD = re.compile(f"\r?[{_LETTERS}]+")
+_WORD_SIGNS = re.compile(f"(\r?[{_LETTERS}]+)([!-&(-/:-@[-`{{-~]{{1,8}})")
 
 
 def chunks(text: str) -> Iterator[str]:
@@ -59,10 +74,44 @@ def byte_keys(text: str) -> list[str]:
     return keys
 
 
+def byte_columns(texts: pa.Array) -> pa.ListArray:
+    """``byte_keys`` of all texts at once; none matches ``BYTE_ODD``."""
+    return pc.split_pattern(pc.replace_substring(pc.binary_join_element_wise("\r", texts, ""), "\n", " \n"), " ")
+
+
 def byte_unit(key: str) -> str:
     return key[1:] if key[0] == "\r" else key if key[0] == "\n" else " " + key
 
 
+def byte_parts(key: str) -> tuple[str, ...]:
+    """Pieces whose ids, one after the other, are those of the piece: the tokenizer cuts there."""
+    if key[0] == "\n" and len(key) > 1:
+        return ("\r\n", *byte_parts("\r" + key[1:]))
+    if found := _WORD_SIGNS.fullmatch(key):
+        return (found[1], "\r" + found[2])
+    if key[-1] in _STOPS and len(key) > 1 and key[-2].isalnum():
+        return (key[:-1], "\r" + key[-1])
+    return (key,)
+
+
+def _byte_letters() -> str:
+    """The character that byte-level vocabularies write for each byte."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return "".join(chr(b if b in shown else 256 + hidden.index(b)) for b in range(256))
+
+
+_BYTE_LETTERS = _byte_letters()
+
+
+def byte_spelled(key: str) -> str | None:
+    """A word as the model sees it; nothing for pieces that are more than one word."""
+    if not _WORD.fullmatch(key):
+        return None
+    unit = byte_unit(key)
+    return codecs.charmap_decode(unit.encode(), "strict", _BYTE_LETTERS)[0]
+
+
 def word_keys(text: str) -> list[str]:
     """Pieces for vocabularies that drop white space and case: the words."""
     if _CONTROL_SPACE.search(text):  # white space to Python alone
@@ -70,6 +119,14 @@ def word_keys(text: str) -> list[str]:
     return (text if _CASED_BY_CONTEXT.search(text) else text.lower()).split()
 
 
+def word_parts(key: str) -> tuple[str, ...]:
+    return (key[:-1], key[-1]) if key[-1] in _STOPS and len(key) > 1 and key[-2].isalnum() else (key,)
+
+
+def word_spelled(key: str) -> str | None:
+    return key if key.isascii() and key.isalpha() else None
+
+
 class _Growing:
     """An array that is added to at the end."""
 
@@ -88,11 +145,19 @@ class _Growing:
 
 class Encoder:
     """``between`` parts pieces that are encoded in one go; it is one token, and pieces with a
-    character of it are encoded singly.  ``before`` is what the vocabulary writes for the space
-    before a word, if anything."""
+    character of it are encoded singly.  ``parts`` cuts a piece further, ``spelled`` is a piece as
+    the model takes it.  ``columns`` cuts texts that do not match ``odd`` like ``keys``."""
 
     def __init__(
-        self, path: str, keys: Callable[[str], list[str]], unit: Callable[[str], str], between: str, before: str
+        self,
+        path: str,
+        keys: Callable[[str], list[str]],
+        unit: Callable[[str], str],
+        between: str,
+        parts: Callable[[str], tuple[str, ...]],
+        spelled: Callable[[str], str | None],
+        columns: Callable[[pa.Array], pa.ListArray] | None = None,
+        odd: str = "",
     ):
         from tokenizers import Tokenizer
 
@@ -104,9 +169,9 @@ class Encoder:
         self.apart = not any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added.values())
         longest_first = sorted(map(re.escape, self.added), key=len, reverse=True)
         self.cuts = re.compile("(" + "|".join(longest_first) + ")", 0 if self.apart else re.IGNORECASE)
-        self.keys, self.unit, self.between, self.before = keys, unit, between, before
+        self.keys, self.unit, self.between, self.parts, self.spelled, self.columns = keys, unit, between, parts, spelled, columns
+        self.odd = "|".join([odd, *longest_first])
         (self.mark,) = self._plain([between])[0]
-        self.stops = {c: i for c, (i,) in zip(_STOPS, self._plain(list(_STOPS)))}
         self._reset({}, np.zeros(0, np.uint32), np.zeros(0, np.int64))
         if hasattr(self.tokenizer.model, "_resize_cache"):
             self.tokenizer.model._resize_cache(0)  # every piece comes once
@@ -137,12 +202,13 @@ class Encoder:
     def _encode_new(self, keys: list[str]) -> None:
         """Ids of pieces by the library: plain words by its model alone, others by all its steps."""
         whole = self.tokenizer.model.tokenize
-        words = [k for k in keys if k.isascii() and k.isalpha()]
+        spelled = list(map(self.spelled, keys))
+        words = [k for k, x in zip(keys, spelled) if x is not None]
         if words:
-            ids = [[t.id for t in whole(self.before + k)] for k in words]
+            ids = [[t.id for t in whole(x)] for x in spelled if x is not None]
             size = np.fromiter(map(len, ids), np.int64, len(ids))
             self._add(words, np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum())), size)
-            keys = [k for k in keys if not (k.isascii() and k.isalpha())]
+            keys = [k for k, x in zip(keys, spelled) if x is None]
         sign = self.between.strip(" ")
         units = [self.unit(k) for k in keys]
         alone = [i for i, u in enumerate(units) if sign in u]
@@ -158,20 +224,19 @@ class Encoder:
             self._add(keys, ids[ids != self.mark], np.diff(ends, prepend=-1) - 1)
 
     def _learn(self, new: list[str]) -> None:
-        stopped, plain = [], []
-        for k in new:
-            (stopped if k[-1] in _STOPS and len(k) > 1 and k[-2].isalnum() else plain).append(k)
-        inner = {k[:-1] for k in stopped if k[:-1] not in self.known}.difference(plain)
+        plain, joined, parts = [], [], []
+        for k, cut in zip(new, map(self.parts, new)):
+            if len(cut) == 1:
+                plain.append(k)
+            else:
+                joined.append(k)
+                parts.append(cut)
+        inner = {p for p in chain.from_iterable(parts) if p not in self.known}.difference(plain)
         self._encode_new(plain + list(inner))
-        if stopped:
-            base = np.array([self.known[k[:-1]] for k in stopped])
-            size = self.size.data[base] + 1
-            ends = np.cumsum(size)
-            ids = np.empty(ends[-1], np.uint32)
-            last = np.zeros(len(ids), bool)
-            last[ends - 1] = True
-            ids[last], ids[~last] = [self.stops[k[-1]] for k in stopped], self._gather(base)
-            self._add(stopped, ids, size)
+        if joined:
+            index = np.fromiter(map(self.known.__getitem__, chain.from_iterable(parts)), np.int64)
+            ends = np.cumsum(self.size.data[index])[np.cumsum(list(map(len, parts))) - 1]
+            self._add(joined, self._gather(index), np.diff(ends, prepend=0))
 
     def _add(self, keys: list[str], ids: np.ndarray, size: np.ndarray | list[int]) -> None:
         size = np.asarray(size, np.int64)
@@ -208,6 +273,21 @@ class Encoder:
             else:
                 yield from self._encode([self.keys(t) for t in part])
 
+    def encode_column(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """``encode_all`` of a column."""
+        if len(texts) > BATCH or len(texts) > 1 and texts.nbytes > 16 * CHUNK:
+            half = len(texts) // 2
+            yield from self.encode_column(texts[:half])
+            yield from self.encode_column(texts[half:])
+        elif self.columns is None or texts.nbytes > 16 * CHUNK:
+            yield from self.encode_all(texts.to_pylist())
+        else:
+            texts = pc.fill_null(texts.cast(pa.string()), "")
+            odd = pc.match_substring_regex(texts, self.odd)
+            even, rest = iter(self._encode_cut(texts.filter(pc.invert(odd)))), self.encode_all(texts.filter(odd).to_pylist())
+            for is_odd in odd.to_pylist():
+                yield next(rest if is_odd else even)
+
     def _encode(self, keys: list[list[str]]) -> list[np.ndarray]:
         if len(self.known) > KEEP:
             self._forget()
@@ -219,17 +299,37 @@ class Encoder:
             self._learn(list(set(names)))
             index[missing] = [self.known[k] for k in names]
         self.uses.data[: self.uses.size] += np.bincount(index, minlength=self.uses.size)
+        return self._by_text(index, list(map(len, keys)))
+
+    def _encode_cut(self, texts: pa.Array) -> list[np.ndarray]:
+        if len(self.known) > KEEP:
+            self._forget()
+        keys = self.columns(texts)
+        pieces = pc.dictionary_encode(keys.flatten())
+        names = pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
+        index = np.fromiter(map(self.known.get, names, repeat(-1)), np.int64, len(names))
+        missing = np.flatnonzero(index < 0)
+        if len(missing):
+            new = [names[i] for i in missing.tolist()]
+            self._learn(new)
+            index[missing] = [self.known[k] for k in new]
+        at = pieces.indices.to_numpy()
+        self.uses.data[index] += np.bincount(at, minlength=len(names))
+        return self._by_text(index[at], pc.list_value_length(keys).to_pylist())
+
+    def _by_text(self, index: np.ndarray, pieces: list[int]) -> list[np.ndarray]:
+        """Ids of the pieces ``index``, cut into texts of so many pieces."""
         ids = self._gather(index)
-        pieces = np.r_[0, np.cumsum(self.size.data[index])]
-        cuts = pieces[np.cumsum([0, *map(len, keys)])]
+        ends = np.r_[0, np.cumsum(self.size.data[index])]
+        cuts = ends[np.cumsum([0, *pieces])]
         return [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
 
 
 @lru_cache(maxsize=4)
 def byte_encoder(path: str) -> Encoder:
-    return Encoder(path, byte_keys, byte_unit, "\n", "Ġ")
+    return Encoder(path, byte_keys, byte_unit, "\n", byte_parts, byte_spelled, byte_columns, BYTE_ODD)
 
 
 @lru_cache(maxsize=4)
 def word_encoder(path: str) -> Encoder:
-    return Encoder(path, word_keys, lambda k: k, " | ", "")
+    return Encoder(path, word_keys, lambda k: k, " | ", word_parts, word_spelled)
