@@ -461,3 +461,14 @@ def test_codes_of_long_rows_come_from_a_stored_dictionary(spark):
     assert {r.item_id: r.ids for r in ids.collect()} == want
     text = {r.item_id: r.text for r in tx.decode(ids, "item_id", "ids", vocab).collect()}
     assert text == {i: "".join(t for t in ts if t in number) for i, ts in cut.items()}
+
+
+@pytest.mark.parametrize("name", ["tanimoto_topk_join", "near_topk"])
+def test_self_searches_ask_for_every_document(spark, tmp_path, name):
+    from shortlist.catalog import load
+
+    rows = [(i, f"{' '.join(f'w{j}' for j in range(20))} own{i}", "en", "web") for i in (1, 2, 3, 7, 99, 100, 201)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = load()[name].run(spark, str(tmp_path)).collect()
+    assert {r.query_id for r in found} == {r[0] for r in rows}
+    assert {r.query_id: r.item_id for r in found if r["rank"] == 1} == {r[0]: r[0] for r in rows}
