@@ -244,3 +244,19 @@ def test_medians_in_two_passes(spark, ranges, monkeypatch):
     assert got == {g: statistics.median([v for v, w in values for _ in range(w)]) for g, values in groups.items()}
     plain = {r.g: r["median"] for r in quantiles.medians(df, ["g"], "v").collect()}
     assert plain == {g: statistics.median([v for v, _ in values]) for g, values in groups.items()}
+
+
+@pytest.mark.parametrize("most", ["10m", "-1"])
+def test_medians_of_a_small_file_do_not_broadcast_its_rows(spark, tmp_path, most):
+    """A file of well-compressed columns counts as small though it holds many rows."""
+    rows = spark.range(20_000).selectExpr("'s1' AS run", "id % 3 = 0 AS hit", "id % 7 AS size", "id % 5 AS n_tokens")
+    rows.write.parquet(f"{tmp_path}/rows")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+    try:
+        found = anatomy.success_vs_failure(spark.read.parquet(f"{tmp_path}/rows"), ("size", "n_tokens"))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    inner = [x for x in plan.splitlines() if "Join" in x and "Inner" in x]
+    assert inner and all("BuildRight" in x for x in inner)
+    assert {r.attribute: (r.hit_median, r.fail_median) for r in found.collect()} == {"size": (3.0, 3.0), "n_tokens": (2.0, 2.0)}
