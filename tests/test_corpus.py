@@ -472,3 +472,15 @@ def test_self_searches_ask_for_every_document(spark, tmp_path, name):
     found = load()[name].run(spark, str(tmp_path)).collect()
     assert {r.query_id for r in found} == {r[0] for r in rows}
     assert {r.query_id: r.item_id for r in found if r["rank"] == 1} == {r[0]: r[0] for r in rows}
+
+
+def test_near_scan_hashes_each_side_once(sets, monkeypatch):
+    """Band keys come from two stored tables, not from every pass and task."""
+    monkeypatch.setattr(retrieve, "SCAN_QUERIES", 4)
+    index, queries, idf, qdf = sets
+    hashed, keys = [], minhash.band_keys
+    monkeypatch.setattr(minhash, "band_keys", lambda bits: hashed.append(bits) or keys(bits))
+    found = retrieve.near_topk(qdf, idf, 7, 0.6).collect()
+    assert len(hashed) == 2
+    want = [r for r in brute(index, queries, 7) if r[2] >= 0.6]
+    assert sorted((r["query_id"], r["item_id"], round(r["similarity"], 9), r["rank"]) for r in found) == want
